@@ -48,7 +48,9 @@ def second_elements(nested: Column | str) -> Column:
 
 
 def union_lists(*lists: Column | str) -> Column:
-    """Distinct non-null values of all lists."""
+    """Distinct non-null values of all lists; the empty list for none."""
+    if not lists:
+        return no_strings()
     merged = F.flatten(F.array(*[list_or_empty(x) for x in lists]))
     return F.array_distinct(F.array_compact(merged))
 
