@@ -144,7 +144,7 @@ def r01(t: Inputs):
     log = t.scratch("accepted")
     stream = submission_stream(t)
     S.accept_stream(stream, log, t.scratch("accepted-state")).awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(log)
+    return t.spark.read.schema(stream.schema).parquet(log).drop("batch")
 
 
 @query("r02_stream_progress", """with c as (select (select count(*) from v_notes) as total, (select count(distinct idx) from v_submissions) as annotated,
