@@ -8,13 +8,14 @@ deep; beyond that, or when tags are left open, an element ends at the first clos
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.text import col, trim_u
+from notewright.functions.text import col, let, trim_u
 
 BLOCK_TAGS = "div|li|ul|ol|h[1-6]|article|section|header|footer|nav|main|aside|table|tr|form|blockquote"
 ENTITIES = {
@@ -206,7 +207,7 @@ def site2_abstract(html: Column | str) -> Column:
         ).otherwise(t),
     )
     return F.coalesce(
-        keyword_abstract(inner_text(html)), *picks, meta, F.try_element_at(main, F.lit(1)), F.lit(V.MISSING_ABSTRACT)
+        let(inner_text(html), keyword_abstract), *picks, meta, F.try_element_at(main, F.lit(1)), F.lit(V.MISSING_ABSTRACT)
     )
 
 
@@ -216,8 +217,8 @@ def page_abstract(html: Column | str, site: str = "site2") -> Column:
 
 def shows_no_results(html: Column | str, site: str = "site1") -> Column:
     """A page that says that nothing was found, by text or (site 1) by element class."""
-    text = F.lower(inner_text(html))
-    said = F.exists(F.lit(list(V.NO_RESULT_TEXTS[site])), lambda m: F.contains(text, F.lower(m)))
+    marks = [m.lower() for m in V.NO_RESULT_TEXTS[site]]
+    said = let(F.lower(inner_text(html)), lambda t: reduce(or_, [F.contains(t, F.lit(m)) for m in marks]))
     if site != "site1":
         return said
     token = r"(?:[^\"'>]*\s)?(?:" + "|".join(V.NO_RESULT_CLASSES) + r")(?:\s[^\"'>]*)?"
@@ -282,7 +283,7 @@ def pdf_links(html: Column | str, by_text: bool = False) -> Column:
     def wanted(a: Column) -> Column:
         if not by_text:
             return F.contains(F.lower(a["href"]), F.lit(".pdf"))
-        said = F.exists(F.lit(list(V.PDF_MARKS)), lambda m: F.contains(F.lower(a["text"]), m))
+        said = reduce(or_, [F.contains(F.lower(a["text"]), F.lit(m)) for m in V.PDF_MARKS])
         return a["href"].isNotNull() & (F.contains(a["href"], F.lit(".pdf")) | said)
 
     return F.transform(F.filter(links, lambda a: F.coalesce(wanted(a), F.lit(False))), lambda a: a["href"])
@@ -297,5 +298,5 @@ def frame_pdf_links(html: Column | str) -> Column:
 def is_content_link(text: Column) -> Column:
     """Link text that looks like a title and not like site navigation."""
     low, high = V.LINK_TEXT_BAND
-    noise = F.exists(F.lit(list(V.LINK_NOISE)), lambda w: F.contains(text, w))
+    noise = reduce(or_, [F.contains(text, F.lit(w)) for w in V.LINK_NOISE])
     return F.length(text).between(low, high) & ~noise

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.text import col, trim_u
+from notewright.functions.text import col, let, trim_u
 
 STRINGS = "array<string>"
 
@@ -51,8 +51,8 @@ def union_lists(*lists: Column | str) -> Column:
     """Distinct non-null values of all lists; the empty list for none."""
     if not lists:
         return no_strings()
-    merged = F.flatten(F.array(*[list_or_empty(x) for x in lists]))
-    return F.array_distinct(F.array_compact(merged))
+    # leaving out null also removes repeats
+    return F.array_except(F.concat(*[list_or_empty(x) for x in lists]), F.lit([None]).cast(STRINGS))
 
 
 def default_labels(labels: Column | str, keys: tuple[str, ...] = V.TRUTH_KEYS) -> Column:
@@ -61,6 +61,11 @@ def default_labels(labels: Column | str, keys: tuple[str, ...] = V.TRUTH_KEYS) -
     return F.struct(*[list_or_empty(labels[k]).alias(k) for k in keys])
 
 
+def _first_per_id(structs: Column) -> Column:
+    ids = F.transform(structs, lambda s: s["hpo_id"])
+    return let(ids, lambda known: F.filter(structs, lambda s, i: F.array_position(known, s["hpo_id"]) == i + 1))
+
+
 def parse_annotations(response: Column | str) -> Column:
     """Rows of a model answer: code fences dropped, malformed JSON gives no rows.
 
@@ -74,6 +79,5 @@ def parse_annotations(response: Column | str) -> Column:
             *[F.try_element_at(r, F.lit(i + 1)).alias(n) for i, n in enumerate(("hpo_id", "name_en", "name_zh", "mention"))]
         ),
     )
-    ids = F.transform(structs, lambda s: s["hpo_id"])
-    firsts = F.filter(structs, lambda s, i: F.array_position(ids, s["hpo_id"]) == i + 1)
+    firsts = let(structs, _first_per_id)
     return F.coalesce(firsts, F.array().cast("array<struct<hpo_id:string,name_en:string,name_zh:string,mention:string>>"))

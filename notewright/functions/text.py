@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def trim_u(c: Column | str) -> Column:
     """Strip all Unicode white space from both ends."""
     return F.btrim(col(c), F.lit(SPACE))

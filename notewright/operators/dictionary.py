@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
 from notewright.functions.text import col, trim_u
-from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join
+from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join, spread
 
-# Terms are looked up by one run of this many characters (fewer for shorter terms).
-GRAM = 4
+# Terms are looked up by runs of characters. Each kind of run is (length, stride): texts are
+# opened at every stride-th place, and terms of at least length + stride - 1 characters can
+# be found that way. Terms use the last kind that fits.
+RUNS = ((1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (8, 4))
 
 
 def term_id(c: Column | str) -> Column:
@@ -64,42 +68,56 @@ def validate_terms(df: DataFrame, terms: DataFrame, term: str = "term", spread:
     )
 
 
-def grams(text: Column | str, n: int) -> Column:
-    """Distinct runs of n characters, found in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def grams(text: Column | str, length: int, stride: int) -> Column:
+    """Distinct runs of ``length`` characters that start at every ``stride``-th place, found in one pass."""
+    pattern = rf"(?s)(?=(.{{{length}}})).{{{stride}}}"
+    return F.array_distinct(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1)))
 
 
-def _filed_terms(terms: DataFrame, term: str) -> DataFrame:
-    """Each term with the one run of characters it is looked up by: its rarest among all terms."""
-    runs = F.coalesce(*[F.when(F.col("_n") == n, grams(term, n)) for n in range(1, GRAM + 1)])
-    opened = terms.withColumn("_gram", F.explode(runs)).select(term, "_gram")
-    shared = opened.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
-    return opened.join(shared, "_gram").groupBy(term).agg(F.min(F.struct("_df", "_gram")).getField("_gram").alias("_gram"))
+def _filed_terms(terms: DataFrame, term: str, length: int, stride: int) -> DataFrame:
+    """Terms with the runs they are looked up by: the ``stride`` consecutive ones that fewest terms share."""
+    n = F.length(term)
+    starts = F.sequence(F.lit(1), n - F.lit(length - 1))
+    opened = terms.select(term, F.posexplode(F.transform(starts, lambda i: F.substring(F.col(term), i, F.lit(length)))).alias("_at", "_run"))
+    counted = opened.join(opened.groupBy("_run").agg(F.count(F.lit(1)).alias("_shared")), "_run")
+    ahead = Window.partitionBy(term).orderBy("_at").rowsBetween(0, stride - 1)
+    cost = counted.withColumn("_cost", F.max("_shared").over(ahead)).where(F.col("_at") <= n - F.lit(length + stride - 1))
+    best = cost.groupBy(term).agg(F.min(F.struct("_cost", "_at")).getField("_at").alias("_from"))
+    chosen = opened.join(best, term).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + stride))
+    return chosen.select(term, "_run").distinct()
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str,
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every pair ``(key, term)`` where the text contains the term, without comparing all pairs.
 
-    Each term is filed under its rarest run of ``GRAM`` characters (a shorter term
-    under itself). A text is opened into its distinct runs, which meet the filed runs
-    in an equality join; what meets is then checked against the whole text. Empty
-    terms match nothing. ``key`` is unique per text, ``term`` per term.
+    Terms are filed by runs of characters that are as long as their length allows, and
+    among those by the ones that fewest other terms share. A text is opened into its
+    distinct runs at every ``stride``-th place; of ``stride`` consecutive runs of a term
+    it contains, one starts at such a place. Runs meet in an equality join, and what
+    meets is checked against the whole text. Empty terms match nothing. ``key`` is
+    unique per text, ``term`` per term.
 
     A dictionary of at most ``max_rows`` terms is broadcast and nothing is shuffled.
     A larger one is joined by shuffle: only keys and runs travel, salted by key so that
     a frequent run is spread, and the texts come back in for the final check.
     """
-    usable = terms.where(F.length(term) > 0).select(term, F.least(F.length(term), F.lit(GRAM)).alias("_n"))
-    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("_n")).alias("lengths")).first()
-    filed = _filed_terms(usable, term)
-    runs = F.explode(F.concat(*[grams(text, n) for n in facts["lengths"] or [GRAM]]))
+    n = F.length(term)
+    kind = F.lit(None).cast("int")
+    for i, (length, stride) in enumerate(RUNS):
+        kind = F.when(n >= length + stride - 1, i).otherwise(kind)
+    usable = terms.where(n > 0).select(term, kind.alias("_kind"))
+    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_kind").alias("kinds")).first()
+    kinds = sorted(facts["kinds"]) or [0]
+    filed = reduce(DataFrame.unionByName, [_filed_terms(usable.where(F.col("_kind") == k), term, *RUNS[k]) for k in kinds])
+    runs = F.explode(F.concat(*[grams(text, *RUNS[k]) for k in kinds]))
+    texts = spread(texts.select(key, text))
     if facts["n"] <= max_rows:
-        met = texts.select(key, text, runs.alias("_gram")).join(F.broadcast(filed), "_gram")
+        met = texts.select(key, text, runs.alias("_run")).join(F.broadcast(filed), "_run")
     else:
-        met = salted_join(texts.select(key, runs.alias("_gram")), filed, ["_gram"], [key]).select(key, term)
-        met = met.join(texts.select(key, text), key)
-    return met.where(F.contains(F.col(text), F.col(term))).select(key, term)
+        met = salted_join(texts.select(key, runs.alias("_run")), filed, ["_run"], [key]).select(key, term).distinct()
+        met = met.join(texts, key)
+    return met.where(F.contains(F.col(text), F.col(term))).select(key, term).distinct()
 
 
 def match_pages(diseases: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -10,7 +10,7 @@ from notewright import fixed_values as V
 from notewright.functions.deid import deidentify
 from notewright.functions.phenotypes import no_strings
 from notewright.functions.text import col, drop_literal, ltrim_u, missing_to, pattern, trim_u, zero_pad
-from notewright.operators.scaling import running_index
+from notewright.operators.scaling import is_first, running_index
 
 # ---- projections ---------------------------------------------------------------------
 
@@ -96,13 +96,10 @@ def has_stop_phrase(c: Column | str) -> Column:
 def once_per_patient(notes: DataFrame, order: str = "index") -> DataFrame:
     """Keep a daily note only when it is its patient's first note; keep all others.
 
-    The first note per patient is a partial aggregate, and the daily notes are matched
-    on patient and order together, so a patient with very many notes is no hot spot.
+    One pass over the notes; a patient with very many notes is no hot spot.
     """
-    first = notes.groupBy(F.col("patient_id").alias("_patient")).agg(F.min(order).alias("_first"))
     daily = F.col("scenario").eqNullSafe(V.DAILY_SCENARIO)
-    same = F.col("patient_id").eqNullSafe(F.col("_patient")) & (F.col(order) == F.col("_first"))
-    return notes.where(~daily).unionByName(notes.where(daily).join(first, same, "left_semi"))
+    return is_first(notes, "patient_id", order).where(~daily | F.col("is_first")).drop("is_first")
 
 
 def candidates(notes: DataFrame, k: int = V.MAX_NOTE_LENGTH, min_len: int = V.MIN_NOTE_LENGTH,

@@ -13,6 +13,15 @@ SALTS = 16
 BUCKET = 1 << 17
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that, for work that is heavy per row.
+
+    Inputs of many splits, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str | Column], how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Join with ``dim`` (unique on ``on``) after spreading every fact key over ``salts`` tasks.
@@ -33,6 +42,21 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str
     return salted_join(fact, dim, on, spread, how)
 
 
+def is_first(df: DataFrame, key: str, order: str, salts: int = 1024) -> DataFrame:
+    """Add ``is_first``: whether a row has the lowest ``order`` (an integer, unique within the key) of its key.
+
+    A key is cut into ``salts`` groups by a hash of the order, and the lowest row of each
+    group then meets the others of its key, at most ``salts`` rows. All other rows stay
+    groups of their own, so a key with very many rows is nowhere gathered.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    in_group = Window.partitionBy(key, "_salt").orderBy(order)
+    lowest = salted.withColumn("_low", F.row_number().over(in_group) == 1)
+    alone = F.when(~F.col("_low"), F.col(order))
+    in_key = Window.partitionBy(key, alone).orderBy(order)
+    return lowest.withColumn("is_first", F.col("_low") & (F.row_number().over(in_key) == 1)).drop("_salt", "_low")
+
+
 def running_index(df: DataFrame, position: str, lead: list[str] | None = None, name: str = "index",
                   start: int = 0, width: int = BUCKET) -> DataFrame:
     """Number rows from ``start`` in the order of ``lead`` and then ``position``.

@@ -144,7 +144,7 @@ def j01_legacy(t: Inputs):
 @query("j02_translate_ids", f"with {DICTIONARY} select e.idx, e.pos, e.hpo_id, d.zh from v_extracted e join d on d.hpo_id = e.hpo_id where d.zh <> '未找到中文翻译'")
 def j02(t: Inputs):
     found = T.translate_ids(t("v_extracted"), T.term_dictionary(t("v_term_dict")))
-    return found.select("idx", F.col("pos").cast("bigint").alias("pos"), "hpo_id", "zh")
+    return found.select("idx", "pos", "hpo_id", "zh")
 
 
 LINES = """l as (select idx, unnest(list_zip(range(len(s) - 1), s[2:])) as z from (select idx, string_split(tagged, chr(10)) as s from v_tagged) y),
