@@ -42,6 +42,11 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str
     return salted_join(fact, dim, on, spread, how)
 
 
+def _bucket(position: str, width: int) -> Column:
+    """First position of the bucket that a position falls into."""
+    return F.col(position) - F.pmod(F.col(position), F.lit(width))
+
+
 def is_first(df: DataFrame, key: str, order: str, salts: int = 1024) -> DataFrame:
     """Add ``is_first``: whether a row has the lowest ``order`` (an integer, unique within the key) of its key.
 
@@ -67,7 +72,7 @@ def running_index(df: DataFrame, position: str, lead: list[str] | None = None, n
     positions, are ever brought into a single sequence.
     """
     keys = [*(lead or []), "_bucket"]
-    placed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)))
+    placed = df.withColumn("_bucket", _bucket(position, width))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -88,7 +93,7 @@ def neighbours(df: DataFrame, position: str, value: str, width: int = BUCKET) ->
     Neighbours inside a bucket come from a window over the bucket; the first and last
     row of a bucket take theirs from the bucket table, one row per ``width`` positions.
     """
-    placed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)))
+    placed = df.withColumn("_bucket", _bucket(position, width))
     by_bucket = Window.orderBy("_bucket")
     edges = (
         placed.groupBy("_bucket")

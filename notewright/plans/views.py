@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.operators.scaling import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -237,6 +239,10 @@ def with_views(sql: str) -> str:
     return f"with {ctes} {body}"
 
 
+# Tables that feed work that is heavy per row.
+SPREAD = ("documents", "pages", "events")
+
+
 class Inputs:
     """The given tables and the stand-in views of one data folder."""
 
@@ -244,7 +250,8 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in SPREAD else df
 
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:

@@ -121,8 +121,8 @@ def read_term_names(spark: SparkSession, path: str) -> DataFrame:
     """``(hpo_id, name)`` from a headerless TSV; lines with one field are skipped, the last of an id wins."""
     fields = F.split(trim_u("line"), "\t")
     rows = numbered_lines(spark, path).where(F.size(fields) >= 2)
-    named = rows.select("line_no", fields[0].alias("hpo_id"), fields[1].alias("name"))
-    return named.groupBy("hpo_id").agg(F.max_by("name", "line_no").alias("name"))
+    named = rows.select("file", "line_no", fields[0].alias("hpo_id"), fields[1].alias("name"))
+    return named.groupBy("hpo_id").agg(F.max_by("name", F.struct("file", "line_no")).alias("name"))
 
 
 def report_paths(spark: SparkSession, folder: str) -> DataFrame:
