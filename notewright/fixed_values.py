@@ -124,6 +124,8 @@ RESULT_SELECTORS = (
     ".s_searchResult_li", ".search-result-item", ".result-item", ".article-item", ".list-item",
     'div[class*="result"]', 'div[class*="item"]',
 )
+RESULT_TITLE_SELECTOR = ".s_searchResult_li_title"
+RESULT_BUTTON_SELECTOR = ".s_searchResult_li_button_r"
 RESULT_ITEM_CLASS = "w_search_item"
 RESULT_LINK_MARK = "cmaid"
 LINK_NOISE = ("搜索", "登录", "注册", "首页")

@@ -76,6 +76,16 @@ def top_results(pages: DataFrame, max_results: int = V.RESULTS_PER_DISEASE, key:
     return pages.select(key, F.posexplode(found).alias("pos", "_r")).select(key, "pos", "_r.title", "_r.href", "_r.text")
 
 
+def titled_results(pages: DataFrame, max_results: int = V.RESULTS_PER_DISEASE, key: str = "page_id",
+                   html: str = "html") -> DataFrame:
+    """Result items with their title link, a numbered title where there is none, and their whole text."""
+    items = F.slice(H.select_all(html, V.RESULT_SELECTORS[0]), 1, max_results)
+    rows = pages.select(key, F.posexplode(items).alias("pos", "_item"))
+    heads = F.try_element_at(H.select_all("_item", f"{V.RESULT_TITLE_SELECTOR} a"), F.lit(1))
+    numbered = F.concat(F.lit("Result "), (F.col("pos") + 1).cast("string"))
+    return rows.select(key, "pos", F.coalesce(H.inner_text(heads), numbered).alias("title"), H.inner_text("_item").alias("text"))
+
+
 def first_results(links: DataFrame, by: str = "disease_id", pos: str = "pos", n: int = V.RESULTS_PER_DISEASE) -> DataFrame:
     """The first n rows per key; Spark trims each key to n rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(pos))
@@ -93,8 +103,17 @@ def pdf_candidates(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     )
 
 
+def search_page_pdfs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The PDF button of each result on a search page: link ``pos`` belongs to result ``pos``."""
+    links = F.flatten(F.transform(H.select_all(html, V.RESULT_BUTTON_SELECTOR), H.anchors))
+    rows = pages.select(key, F.posexplode(links).alias("pos", "_a")).where(F.col("_a.href").isNotNull())
+    return rows.select(key, "pos", F.col("_a.href").alias("href"), H.resolve_url("_a.href", variant="detail").alias("url"))
+
+
 def best_pdf(candidates: DataFrame, payloads: DataFrame, key: str = "page_id") -> DataFrame:
-    """The first candidate of each page whose fetched payload is a PDF.
+    """The first candidate of each page, by ``pos``, whose fetched payload is a PDF.
+
+    Links of the search page come last when they are added with a higher ``pos``.
 
     Only the addresses of valid payloads take part in the join, not their contents.
     """
@@ -195,12 +214,13 @@ def article_text(layout: str, title: Column | str, abstract: Column | str | None
     return F.concat(*head, line("status", F.lit(V.DETAIL_UNREACHABLE)), line("error", F.substring(col(error), 1, V.LENGTHS["error"])))
 
 
-def article_files(found: DataFrame, part: Column, website: Column, text: Column, site: str = "site1") -> DataFrame:
-    """Folder key, file name and text of every article."""
+def article_files(found: DataFrame, part: Column, website: Column, text: Column, site: str = "site1",
+                  suffix: str = ".txt") -> DataFrame:
+    """Folder key, file name and text of every article; files of failed pages end in ``_basic.txt``."""
     with_id = None if site == "site1" else "disease_id"
     return found.select(
         part.alias("part"), website.alias("website"), disease_key("disease_id", "disease").alias("disease_key"),
-        article_file("disease", "title", with_id).alias("file"), text.alias("text"),
+        article_file("disease", "title", with_id, suffix).alias("file"), text.alias("text"),
     )
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.phenotypes import split_phenotypes
+from notewright.functions.phenotypes import no_strings, row_phenotypes, split_phenotypes
 from notewright.functions.text import col
-from notewright.operators.scaling import salted_join
+from notewright.operators.scaling import running_index, salted_join
 
 
 def accepted_text(runs: DataFrame, cell: tuple[str, ...] = ("doc", "table", "row", "col")) -> DataFrame:
@@ -127,19 +127,18 @@ def patient_specific(rows: DataFrame, key: str = "report_id") -> DataFrame:
     return patient.unionByName(family).unionByName(everyone)
 
 
-def nested_labels(long: DataFrame, reports: DataFrame, key: str = "report_id") -> DataFrame:
-    """The record form for export: a struct of three lists per report of ``reports``.
+def label_records(reports: DataFrame, position: str) -> DataFrame:
+    """Report records ``(description, results)`` with nested labels and a running index in place of the results.
 
-    Each list is one value of the exported record; sets are sorted.
+    A record holds its own rows, so all three lists are built inside it.
     """
-
-    def labels(name: str) -> Column:
-        picked = F.collect_list(F.when(F.col("labels") == name, F.struct("pos", "phenotype")))
-        return F.transform(F.array_sort(picked), lambda s: s["phenotype"]).alias(f"{name}_phenotypes")
-
-    empty = F.array().cast("array<string>")
-    lists = long.groupBy(key).agg(labels("patient"), labels("family"), labels("all"))
-    names = [f"{n}_phenotypes" for n in ("patient", "family", "all")]
-    return reports.join(lists, key, "left").withColumn(
-        "human_annotated", F.struct(*[F.coalesce(n, empty).alias(n) for n in names])
-    ).drop(*names)
+    rows = F.coalesce("results", F.array().cast("array<array<string>>"))
+    patient = F.coalesce(row_phenotypes(F.try_element_at(rows, F.lit(1))), no_strings())
+    family = F.array_distinct(F.flatten(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), row_phenotypes)))
+    lists = reports.withColumn("_patient", patient).withColumn("_family", family)
+    labels = F.struct(
+        F.col("_patient").alias("patient_phenotypes"), F.col("_family").alias("family_phenotypes"),
+        F.array_union("_patient", "_family").alias("all_phenotypes"),
+    )
+    labelled = lists.withColumn("human_annotated", labels).drop("results", "_patient", "_family")
+    return running_index(labelled, position)

@@ -71,8 +71,7 @@ def progress(samples: DataFrame, log: DataFrame, key: str = "index") -> DataFram
 
 def queue_neighbours(queue: DataFrame, key: str = "index", position: str = "index") -> DataFrame:
     """Previous and next entry of each queued sample; the first one's previous is itself."""
-    linked = neighbours(queue, position, key)
-    return linked.withColumn("is_first", F.col("prev").isNull()).withColumn("prev", F.coalesce("prev", F.col(key)))
+    return neighbours(queue, position, key).withColumn("prev", F.coalesce("prev", F.col(key)))
 
 
 def navigate(queue: DataFrame, requests: DataFrame, key: str = "index", position: str = "index") -> DataFrame:
@@ -81,10 +80,11 @@ def navigate(queue: DataFrame, requests: DataFrame, key: str = "index", position
     An id that is not queued (or 0, or none) counts as the first position.
     """
     linked = queue_neighbours(queue, key, position).select(
-        F.col(key).alias("_at"), F.col("prev").alias("_prev"), F.col("next").alias("_next"), "is_first"
+        F.col(key).alias("_at"), F.col("prev").alias("_prev"), F.col("next").alias("_next")
     )
-    head = linked.where("is_first").agg(F.max("_at").alias("at"), F.max("_next").alias("next"))
-    first, second = head.select("at").scalar(), head.select("next").scalar()
+    head = queue.select(F.col(position).alias("p"), F.col(key).alias("k")).orderBy("p").limit(2)
+    lowest = head.agg(F.sort_array(F.collect_list(F.struct("p", "k"))).alias("two")).scalar()
+    first, second = (F.try_element_at(lowest, F.lit(i)).getField("k") for i in (1, 2))
     found = F.col("_at").isNotNull()
     target = (
         F.when(F.col("action") == "init", first)

@@ -11,6 +11,8 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 # Positions per numbering bucket; a bucket never holds more rows than this.
 BUCKET = 1 << 17
+# Buckets per bucket of the level above; also the most that any position layout leaves at the top.
+FAN = 1 << 23
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -62,52 +64,73 @@ def is_first(df: DataFrame, key: str, order: str, salts: int = 1024) -> DataFram
     return lowest.withColumn("is_first", F.col("_low") & (F.row_number().over(in_key) == 1)).drop("_salt", "_low")
 
 
+def _rows_before(counts: DataFrame, lead: list[str], widths: list[int]) -> DataFrame:
+    """``_before`` of each bucket: the rows in all earlier ones.
+
+    Buckets are summed inside the buckets of the next level, and those in turn, so that
+    no window covers more than one bucket of the level above, however sparse positions are.
+    """
+    if not widths:
+        earlier = Window.orderBy(*lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(*lead, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    up = counts.withColumn("_up", _bucket("_bucket", widths[0]))
+    earlier = Window.partitionBy(*lead, "_up").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = up.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parents = up.groupBy(*lead, F.col("_up").alias("_bucket")).agg(F.sum("_n").alias("_n"))
+    above = _rows_before(parents, lead, widths[1:]).select(*lead, F.col("_bucket").alias("_up"), F.col("_before").alias("_above"))
+    return inside.join(above, [*lead, "_up"]).select(*lead, "_bucket", (F.col("_inside") + F.col("_above")).alias("_before"))
+
+
 def running_index(df: DataFrame, position: str, lead: list[str] | None = None, name: str = "index",
                   start: int = 0, width: int = BUCKET) -> DataFrame:
     """Number rows from ``start`` in the order of ``lead`` and then ``position``.
 
-    ``position`` is an integer that is unique within ``lead``. Rows are ranked inside
-    buckets of ``width`` consecutive positions, and each bucket is shifted by the
-    number of rows before it. Only the bucket counts, one row per ``width``
-    positions, are ever brought into a single sequence.
+    ``position`` is an integer that is unique within ``lead`` (which has few values).
+    Rows are ranked inside buckets of ``width`` positions, and each bucket is shifted
+    by the number of rows before it, which comes from the bucket counts alone.
     """
-    keys = [*(lead or []), "_bucket"]
+    lead = lead or []
+    keys = [*lead, "_bucket"]
     placed = df.withColumn("_bucket", _bucket(position, width))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(position))
     return (
         placed.withColumn("_rank", rank)
-        .join(offsets, keys)
+        .join(_rows_before(counts, lead, [width * FAN]), keys)
         .withColumn(name, F.col("_before") + F.col("_rank") - F.lit(1) + F.lit(start))
         .drop("_bucket", "_rank", "_before")
     )
 
 
+def _edges(ends: DataFrame, widths: list[int]) -> DataFrame:
+    """The last value before and the first value after each bucket, level by level as in ``_rows_before``."""
+    if not widths:
+        order = Window.orderBy("_bucket")
+        return ends.select("_bucket", F.lag("_last").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"))
+    up = ends.withColumn("_up", _bucket("_bucket", widths[0]))
+    order = Window.partitionBy("_up").orderBy("_bucket")
+    inside = up.withColumn("_prev", F.lag("_last").over(order)).withColumn("_next", F.lead("_first").over(order))
+    parents = up.groupBy(F.col("_up").alias("_bucket")).agg(
+        F.min_by("_first", "_bucket").alias("_first"), F.max_by("_last", "_bucket").alias("_last")
+    )
+    above = _edges(parents, widths[1:]).withColumnRenamed("_bucket", "_up")
+    return inside.join(above, "_up").select(
+        "_bucket", F.coalesce("_prev", "_before").alias("_before"), F.coalesce("_next", "_after").alias("_after")
+    )
+
+
 def neighbours(df: DataFrame, position: str, value: str, width: int = BUCKET) -> DataFrame:
-    """Add ``prev`` and ``next``: the values of the rows before and after, by ``position``.
+    """Add ``prev`` and ``next``: the values of the rows before and after, by ``position`` (unique integers).
 
     Neighbours inside a bucket come from a window over the bucket; the first and last
-    row of a bucket take theirs from the bucket table, one row per ``width`` positions.
+    row of a bucket take theirs from the table of bucket ends.
     """
     placed = df.withColumn("_bucket", _bucket(position, width))
-    by_bucket = Window.orderBy("_bucket")
-    edges = (
-        placed.groupBy("_bucket")
-        .agg(F.min_by(value, position).alias("_first"), F.max_by(value, position).alias("_last"))
-        .select(
-            "_bucket",
-            F.lag("_last").over(by_bucket).alias("_before"),
-            F.lead("_first").over(by_bucket).alias("_after"),
-        )
-    )
+    ends = placed.groupBy("_bucket").agg(F.min_by(value, position).alias("_first"), F.max_by(value, position).alias("_last"))
     inside = Window.partitionBy("_bucket").orderBy(position)
     return (
         placed.withColumn("_prev", F.lag(value).over(inside)).withColumn("_next", F.lead(value).over(inside))
-        .join(edges, "_bucket")
+        .join(_edges(ends, [width * FAN]), "_bucket")
         .withColumn("prev", F.coalesce("_prev", "_before"))
         .withColumn("next", F.coalesce("_next", "_after"))
         .drop("_bucket", "_prev", "_next", "_before", "_after")

@@ -387,18 +387,20 @@ def h07(t: Inputs):
     return R.patient_specific(t("v_report_rows")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("p13_nested_labels", f"""with {LABELLED} select r.report_id, coalesce(p, '') as patient, coalesce(f, '') as family, coalesce(a, '') as everyone
+@query("p13_nested_labels", f"""with {LABELLED} select row_number() over (order by r.report_id) - 1 as idx, r.report_id, coalesce(p, '') as patient, coalesce(f, '') as family, coalesce(a, '') as everyone
   from (select distinct report_id from v_report_rows) r
   left join (select report_id, string_agg(phenotype, '|' order by pos) as p from x where row_no = 0 group by 1) a1 on a1.report_id = r.report_id
   left join (select report_id, string_agg(phenotype, '|' order by encode(phenotype)) as f from (select distinct report_id, phenotype from x where row_no > 0) d group by 1) a2 on a2.report_id = r.report_id
   left join (select report_id, string_agg(phenotype, '|' order by encode(phenotype)) as a from (select distinct report_id, phenotype from x) d group by 1) a3 on a3.report_id = r.report_id""")
 def p13(t: Inputs):
-    rows = t("v_report_rows")
-    nested = R.nested_labels(R.patient_specific(rows), rows.select("report_id").distinct())
+    """Reports as records; the view puts exactly five rows into each."""
+    row = F.struct("row_no", F.array(F.lit("name"), F.col("phenotypes")).alias("fields"))
+    records = t("v_report_rows").groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["fields"]).alias("results"))
     h = F.col("human_annotated")
-    return nested.select("report_id", *[
-        F.array_join(h[f"{k}_phenotypes"], "|").alias(n) for k, n in (("patient", "patient"), ("family", "family"), ("all", "everyone"))
-    ])
+    return R.label_records(records, "report_id").select(
+        F.col("index").alias("idx"), "report_id", F.array_join(h["patient_phenotypes"], "|").alias("patient"),
+        F.array_join(F.array_sort(h["family_phenotypes"]), "|").alias("family"), F.array_join(F.array_sort(h["all_phenotypes"]), "|").alias("everyone"),
+    )
 
 
 def cells(t: Inputs):

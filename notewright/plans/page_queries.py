@@ -188,6 +188,18 @@ def c05_top(t: Inputs):
     return P.top_results(t("v_search_pages")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "title", "href")
 
 
+@query("c05_titled_results", f"""select page_id, z[1] as pos, case when contains(z[2], '_title') then {sql_text("regexp_extract(z[2], '(?is)<p class=.s_searchResult_li_title.>(.*?)</p>', 1)")} else concat('Result ', cast(z[1] + 1 as varchar)) end as title,
+  {sql_text('z[2]')} as text from (select page_id, unnest(list_zip(range(2), regexp_extract_all(html, {q(LI)}, 1)[1:2])) as z from v_search_pages) y where z[2] is not null""")
+def c05_titled(t: Inputs):
+    return P.titled_results(t("v_search_pages")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("c07_search_page_pdfs", f"""select page_id, cast(0 as bigint) as pos, {resolved('href', 'detail')} as url from (
+  select page_id, regexp_extract(html, 'button_r"><a href="([^"]*)"', 1) as href from v_search_pages where contains(html, 'button_r')) b""")
+def c07_search(t: Inputs):
+    return P.search_page_pdfs(t("v_search_pages")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
 ALL_LINKS = f"a as (select page_id, url, unnest({sql_anchors('html')}) as a from v_pages_full)"
 
 
@@ -340,3 +352,14 @@ def k07(t: Inputs):
 def k07_files(t: Inputs):
     text = P.article_text("site1", "title", "abstract")
     return P.article_files(details(t), F.col("disease_id") % 3, F.lit(1), text)
+
+
+@query("k07_basic_files", f"""with {RESULTS} select concat(cast(disease_id as varchar), '_', {sql_safe_name('disease')}) as disease_key,
+  concat(cast(disease_id as varchar), '_', {sql_safe_name('disease')}, '_', {sql_safe_name('title')}, '_basic.txt') as file,
+  concat('疾病名称: ', disease, chr(10), '疾病ID: ', cast(disease_id as varchar), chr(10), '题目: ', title, chr(10), '状态: 无法访问详情页', chr(10), '错误: ', substring(error, 1, 200), chr(10)) as text
+  from j where error is not null""")
+def k07_basic(t: Inputs):
+    failed = details(t).where(F.col("error").isNotNull())
+    text = P.article_text("failed", "title", disease="disease", disease_id="disease_id", error="error")
+    files = P.article_files(failed, F.lit(1), F.lit(2), text, "site2", "_basic.txt")
+    return files.select("disease_key", "file", "text")

@@ -191,7 +191,8 @@ select page_id, url, replace(html, '<article>', concat(
     '<div class="w_search_item"><h1><b>Last</b> item</h1><a href="https://x.example.com/p?cmaid=3">全文</a></div>')
   else '' end,
   case page_id % 8
-    when 1 then concat('<div class="s_searchResult_li"><a href="//h.example.com/d1">Title one of ', url, '</a></div><div class="s_searchResult_li"><a href="/d2">abc</a></div>',
+    when 1 then concat('<div class="s_searchResult_li"><p class="s_searchResult_li_title"><a href="//h.example.com/d1">Title one of ', url,
+      '</a></p><span class="s_searchResult_li_button_r"><a href="/q', cast(page_id as varchar(20)), '.pdf">PDF</a><a>-</a></span></div><div class="s_searchResult_li"><a href="/d2">abc</a></div>',
       '<div class="s_searchResult_li"><a href="/d3">Third title</a></div>')
     when 3 then '<div class="list-item">Plain text of an item</div><div class="list-item">short</div>'
     when 5 then '<div class="my-items"><a onclick="location.href = ''/detail?cmaid=5''">Title by click</a></div><div class="my-items">no link</div>'

@@ -53,9 +53,23 @@ def test_patient_specific(spark):
     rows = spark.createDataFrame(
         [(1, 0, "b；a；b"), (1, 1, "c；a"), (1, 2, "c"), (2, 0, "-"), (3, 1, "x")], "report_id bigint, row_no int, phenotypes string"
     )
-    nested = R.nested_labels(R.patient_specific(rows), rows.select("report_id").distinct())
-    got = {r["report_id"]: tuple(r["human_annotated"]) for r in nested.collect()}
-    assert got == {1: (["b", "a", "b"], ["a", "c"], ["a", "b", "c"]), 2: ([], [], []), 3: ([], ["x"], ["x"])}
+    got = sorted((r["report_id"], r["labels"], -1 if r["pos"] is None else r["pos"], r["phenotype"]) for r in R.patient_specific(rows).collect())
+    assert got == [
+        (1, "all", -1, "a"), (1, "all", -1, "b"), (1, "all", -1, "c"), (1, "family", -1, "a"), (1, "family", -1, "c"),
+        (1, "patient", 0, "b"), (1, "patient", 1, "a"), (1, "patient", 2, "b"), (3, "all", -1, "x"), (3, "family", -1, "x"),
+    ]
+
+
+def test_label_records(spark):
+    rows = [
+        (30, "d1", [["n", "b；a；b"], ["n", "c；a"], ["n", "c"]]), (10, "d2", [["n", "-"]]), (20, "d3", []), (40, "d4", None), (50, "d5", [["n"], ["n", "x"]])
+    ]
+    df = spark.createDataFrame(rows, "place bigint, description string, results array<array<string>>")
+    got = {r["index"]: (r["description"], *map(list, r["human_annotated"])) for r in R.label_records(df, "place").collect()}
+    assert got == {
+        0: ("d2", [], [], []), 1: ("d3", [], [], []), 2: ("d1", ["b", "a", "b"], ["c", "a"], ["b", "a", "c"]),
+        3: ("d4", [], [], []), 4: ("d5", [], ["x"], ["x"]),
+    }
 
 
 def test_a_report_with_most_rows(spark):

@@ -37,10 +37,19 @@ def test_running_index_with_gaps_and_groups(spark):
     assert got == [(g, p, i + 10) for i, (g, p) in enumerate(sorted(data))]
 
 
+def test_running_index_of_very_sparse_positions(spark):
+    rnd = random.Random(9)
+    values = sorted({rnd.randint(-(2**62), 2**62) for _ in range(200)} | set(range(50)))
+    df = spark.createDataFrame([(v,) for v in values], "p bigint")
+    assert rows(S.running_index(df, "p")) == [(v, i) for i, v in enumerate(values)]
+    got = rows(S.neighbours(df, "p", "p").select("p", "prev", "next"))
+    assert got == list(zip(values, [None, *values[:-1]], [*values[1:], None]))
+
+
 def test_neighbours_across_buckets(spark):
     values = sorted(random.Random(4).sample(range(10_000), 300))
     df = spark.createDataFrame([(v,) for v in values], "i bigint")
-    got = rows(S.neighbours(df, "i", "i", width=8).select("i", "prev", "next"))
+    got = rows(S.neighbours(df, "i", "i", width=16).select("i", "prev", "next"))
     assert got == list(zip(values, [None, *values[:-1]], [*values[1:], None]))
 
 
