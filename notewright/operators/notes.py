@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from notewright import fixed_values as V
 from notewright.functions.deid import deidentify
 from notewright.functions.phenotypes import no_strings
-from notewright.functions.text import col, drop_literal, ltrim_u, missing_to, pattern, trim_u, zero_pad
+from notewright.functions.text import col, drop_literal, let, missing_to, pattern, trim_u, zero_pad
 from notewright.operators.scaling import is_first, running_index
 
 # ---- projections ---------------------------------------------------------------------
@@ -77,12 +77,10 @@ def strip_stamp(c: Column | str, legacy: bool = False) -> Column:
     ``legacy`` keeps only the one character behind the stamp, as earlier corpora did,
     so that such notes fail the length band.
     """
-    c = col(c)
-    stamp = pattern("^" + V.STAMP)
     if legacy:
-        rest = F.regexp_replace(c, stamp, "")
-        return F.when(c.rlike(stamp), trim_u(F.substring(rest, 1, 1))).otherwise(c)
-    return F.when(c.rlike(stamp), ltrim_u(F.regexp_replace(c, stamp, ""))).otherwise(c)
+        one = F.regexp_replace(col(c), pattern("^" + V.STAMP + "(.?).*$", dotall=True), "$1")
+        return let(F.struct(col(c).alias("c"), one.alias("one")), lambda s: F.when(s["c"] != s["one"], trim_u(s["one"])).otherwise(s["c"]))
+    return F.regexp_replace(col(c), pattern("^" + V.STAMP + r"\s*"), "")
 
 
 def in_length_band(c: Column | str, k: int = V.MAX_NOTE_LENGTH, min_len: int = V.MIN_NOTE_LENGTH) -> Column:
@@ -99,14 +97,21 @@ def once_per_patient(notes: DataFrame, order: str = "index") -> DataFrame:
     One pass over the notes; a patient with very many notes is no hot spot.
     """
     daily = F.col("scenario").eqNullSafe(V.DAILY_SCENARIO)
-    return is_first(notes, "patient_id", order).where(~daily | F.col("is_first")).drop("is_first")
+    return is_first(notes, "patient_id", order, others=~daily).drop("is_first")
 
 
 def candidates(notes: DataFrame, k: int = V.MAX_NOTE_LENGTH, min_len: int = V.MIN_NOTE_LENGTH,
                legacy_timestamp: bool = False) -> DataFrame:
     """Cleaned notes inside the length band and without the stop phrase."""
-    cleaned = notes.withColumn("description", strip_stamp(strip_boilerplate("description"), legacy_timestamp))
-    return cleaned.where(in_length_band("description", k, min_len) & ~has_stop_phrase("description"))
+    cleaned = strip_stamp(strip_boilerplate("description"), legacy_timestamp)
+
+    def fits(text: Column) -> Column:
+        return in_length_band(text, k, min_len) & ~has_stop_phrase(text)
+
+    # opening a list of at most one text drops the row or keeps it, and cleans each text only
+    # once; a plain filter would clean it again for every condition
+    kept = F.explode(F.filter(F.array(cleaned), fits))
+    return notes.select(*[kept.alias(c) if c == "description" else c for c in notes.columns])
 
 
 def sub_k(notes: DataFrame, k: int = V.MAX_NOTE_LENGTH, min_len: int = V.MIN_NOTE_LENGTH,
