@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as V
 from notewright.functions.text import col, trim_u
 from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join, spread
+from notewright.sources.scratch import settled
 
 # Terms are looked up by runs of characters. Each kind of run is (length, stride): texts are
 # opened at every stride-th place, and terms of at least length + stride - 1 characters can
@@ -100,13 +101,14 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
 
     A dictionary of at most ``max_rows`` terms is broadcast and nothing is shuffled.
     A larger one is joined by shuffle: only keys and runs travel, salted by key so that
-    a frequent run is spread, and the texts come back in for the final check.
+    a frequent run is spread, and the texts come back in for the final check. The terms
+    are written out once, since they are read several times.
     """
     n = F.length(term)
     kind = F.lit(None).cast("int")
     for i, (length, stride) in enumerate(RUNS):
         kind = F.when(n >= length + stride - 1, i).otherwise(kind)
-    usable = terms.where(n > 0).select(term, kind.alias("_kind"))
+    usable = settled(terms.where(n > 0).select(term, kind.alias("_kind")), "terms")
     facts = usable.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_kind").alias("kinds")).first()
     kinds = sorted(facts["kinds"]) or [0]
     filed = reduce(DataFrame.unionByName, [_filed_terms(usable.where(F.col("_kind") == k), term, *RUNS[k]) for k in kinds])

@@ -6,12 +6,10 @@ rule applies to some rows. Each view covers its whole table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from notewright.operators.scaling import spread
+from notewright.sources.scratch import scratch_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -267,6 +265,5 @@ class Inputs:
         return self.spark.sql(text)
 
     def scratch(self, name: str) -> str:
-        """A new folder below the session's checkpoint folder; one of our own only where none is set."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notewright-")
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        """A new folder for what a query writes."""
+        return scratch_path(self.spark, name)
