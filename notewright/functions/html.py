@@ -185,7 +185,7 @@ def site1_abstract(html: Column | str) -> Column:
 
 
 def keyword_abstract(text: Column) -> Column:
-    """Text after a keyword up to the next blank line, over 50 characters."""
+    """Text after a keyword up to the next blank line, over 50 characters; ``text`` is the visible text of the page."""
     n = V.LENGTHS["abstract"]
     picks = []
     for word in V.ABSTRACT_KEYWORDS:

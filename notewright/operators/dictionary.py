@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
@@ -75,17 +73,26 @@ def grams(text: Column | str, length: int, stride: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1)))
 
 
-def _filed_terms(terms: DataFrame, term: str, length: int, stride: int) -> DataFrame:
+def _filed_terms(terms: DataFrame, term: str) -> DataFrame:
     """Terms with the runs they are looked up by: the ``stride`` consecutive ones that fewest terms share."""
-    n = F.length(term)
-    starts = F.sequence(F.lit(1), n - F.lit(length - 1))
-    opened = terms.select(term, F.posexplode(F.transform(starts, lambda i: F.substring(F.col(term), i, F.lit(length)))).alias("_at", "_run"))
-    counted = opened.join(opened.groupBy("_run").agg(F.count(F.lit(1)).alias("_shared")), "_run")
-    ahead = Window.partitionBy(term).orderBy("_at").rowsBetween(0, stride - 1)
-    cost = counted.withColumn("_cost", F.max("_shared").over(ahead)).where(F.col("_at") <= n - F.lit(length + stride - 1))
-    best = cost.groupBy(term).agg(F.min(F.struct("_cost", "_at")).getField("_at").alias("_from"))
-    chosen = opened.join(best, term).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + stride))
-    return chosen.select(term, "_run").distinct()
+    length, stride = (F.element_at(F.lit([kind[i] for kind in RUNS]), F.col("_kind") + 1) for i in (0, 1))
+    sized = terms.select(term, length.alias("_length"), stride.alias("_stride"))
+    starts = F.sequence(F.lit(1), F.length(term) - F.col("_length") + 1)
+    runs = F.transform(starts, lambda i: F.substring(F.col(term), i, F.col("_length")))
+    opened = sized.select("*", F.posexplode(runs).alias("_at", "_run"))
+    shared = opened.groupBy("_run").agg(F.count(F.lit(1)).alias("_shared"))
+    # one short list per term: how many terms share each of its runs, in order
+    counted = opened.join(shared, "_run").groupBy(term, "_length", "_stride").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_shared"))), lambda c: c["_shared"]).alias("_counts")
+    )
+    choices = F.transform(
+        F.sequence(F.lit(1), F.size("_counts") - F.col("_stride") + 1),
+        lambda i: F.struct(F.array_max(F.slice("_counts", i, F.col("_stride"))).alias("cost"), i.alias("at")),
+    )
+    chosen = F.transform(
+        F.sequence(F.lit(0), F.col("_stride") - 1), lambda i: F.substring(F.col(term), F.col("_from") + i, F.col("_length"))
+    )
+    return counted.withColumn("_from", F.array_min(choices)["at"]).select(term, F.explode(F.array_distinct(chosen)).alias("_run"))
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str,
@@ -111,7 +118,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     usable = settled(terms.where(n > 0).select(term, kind.alias("_kind")), "terms")
     facts = usable.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_kind").alias("kinds")).first()
     kinds = sorted(facts["kinds"]) or [0]
-    filed = reduce(DataFrame.unionByName, [_filed_terms(usable.where(F.col("_kind") == k), term, *RUNS[k]) for k in kinds])
+    filed = _filed_terms(usable, term)
     runs = F.explode(F.concat(*[grams(text, *RUNS[k]) for k in kinds]))
     texts = spread(texts.select(key, text))
     if facts["n"] <= max_rows:

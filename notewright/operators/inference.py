@@ -28,7 +28,7 @@ def render_prompt(description: Column | str, template: str = V.ANNOTATION_PROMPT
 
 
 def assign_clients(df: DataFrame, clients: int, position: str, name: str = "client") -> DataFrame:
-    """Clients in turn by position in the list."""
+    """Clients in turn by position in the list (a unique integer)."""
     numbered = running_index(df, position, name="_turn")
     return numbered.withColumn(name, F.pmod("_turn", F.lit(clients)).cast("int")).drop("_turn")
 
@@ -76,6 +76,7 @@ def infer(df: DataFrame, key: str, prompt: str, call: Callable[[int, str], Any],
     evenly, so calls per second stay under ``rate`` for each client however many tasks
     run, and a lost executor costs one lane. Rows stream through in Arrow batches.
 
+    The order of turns follows ``position``, or ``key`` where none is given (unique integers).
     Write the result before using it more than once: every evaluation calls again.
     """
     position = position or key

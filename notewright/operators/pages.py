@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as V
 from notewright.functions import html as H
 from notewright.functions.text import article_file, col, disease_key, preview, trim_u
+from notewright.operators.scaling import salted_join
 
 RESULT_TYPE = "array<struct<title:string,href:string,text:string>>"
 
@@ -115,10 +116,11 @@ def best_pdf(candidates: DataFrame, payloads: DataFrame, key: str = "page_id") -
 
     Links of the search page come last when they are added with a higher ``pos``.
 
-    Only the addresses of valid payloads take part in the join, not their contents.
+    Only the addresses of valid payloads take part in the join, not their contents; an
+    address that very many pages link to is spread over tasks.
     """
     valid = payloads.where(H.is_pdf("content", "content_type")).select("url").distinct()
-    return candidates.join(valid, "url").groupBy(key).agg(F.min_by("url", "pos").alias("pdf_url"))
+    return salted_join(candidates, valid, ["url"], [key, "pos"]).groupBy(key).agg(F.min_by("url", "pos").alias("pdf_url"))
 
 
 def resolve_details(links: DataFrame, details: DataFrame, on: tuple[str, ...] = ("disease_id", "pos")) -> DataFrame:
