@@ -352,10 +352,9 @@ LABELLED = f"""l as (select report_id, row_no, unnest(list_zip(range(len(p)), p)
   x as (select report_id, row_no, z[1] as pos, z[2] as phenotype from l)"""
 
 
-@query("h01_split_phenotypes", f"select report_id, row_no, array_to_string({SPLIT}, '|') as items, cast(len({SPLIT}) as bigint) as n from v_report_rows where not {NONE}")
+@query("h01_split_phenotypes", f"select report_id, row_no, case when {NONE} then '' else array_to_string({SPLIT}, '|') end as items, cast(case when {NONE} then 0 else len({SPLIT}) end as bigint) as n from v_report_rows")
 def h01(t: Inputs):
-    rows = t("v_report_rows").where(F.col("phenotypes").isNotNull() & ~H.is_no_phenotype("phenotypes"))
-    return rows.select("report_id", "row_no", H.split_phenotypes("phenotypes").alias("p")).select(
+    return t("v_report_rows").select("report_id", "row_no", H.split_phenotypes("phenotypes").alias("p")).select(
         "report_id", "row_no", F.array_join("p", "|").alias("items"), F.size("p").cast("bigint").alias("n")
     )
 

@@ -184,26 +184,26 @@ def j05_empty(t: Inputs):
     return T.validate_terms(t("v_entered"), no_terms, spread=["idx"])
 
 
-@query("j06_containment", """select distinct d.doc_id, k.term from documents d join (select distinct substring(text, 1, 24) as term from benchmark) k on contains(d.text, k.term)""")
+@query("j06_containment", """select distinct d.doc_id, k.term from documents d join (select distinct text as term from benchmark) k on contains(d.text, k.term)""")
 def j06(t: Inputs):
-    terms = t("benchmark").select(F.substring("text", 1, 24).alias("term")).distinct()
+    terms = t("benchmark").select(F.col("text").alias("term")).distinct()
     return T.find_terms(t("documents"), terms, "doc_id", "text", "term")
 
 
-@query("j06_containment_shuffled", """select distinct d.doc_id, k.term from documents d join (select distinct substring(text, 1, 24) as term from benchmark) k on contains(d.text, k.term)""")
+@query("j06_containment_shuffled", """select distinct d.doc_id, k.term from documents d join (select distinct text as term from benchmark) k on contains(d.text, k.term)""")
 def j06_shuffled(t: Inputs):
     """The form for dictionaries that are too large to broadcast."""
-    terms = t("benchmark").select(F.substring("text", 1, 24).alias("term")).distinct()
+    terms = t("benchmark").select(F.col("text").alias("term")).distinct()
     return T.find_terms(t("documents"), terms, "doc_id", "text", "term", max_rows=0)
 
 
 WORDS = """w as (select term, min(item_id * 1000 + pos) as n from (select item_id, z[1] as pos, z[2] as term from (
     select item_id, unnest(list_zip(range(len(s)), s)) as z from (select item_id, string_split(text, ' ') as s from benchmark) a) b) c
-    where length(term) >= 7 group by term)"""
+    where length(term) > 0 group by term)"""
 
 
 def word_dictionary(t: Inputs) -> DataFrame:
-    words = t("benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "term")).where(F.length("term") >= 7)
+    words = t("benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "term")).where(F.length("term") > 0)
     return words.groupBy("term").agg(F.min(F.col("item_id") * 1000 + F.col("pos")).alias("n"))
 
 
@@ -225,12 +225,12 @@ def c10(t: Inputs):
     return t("v_disease_raw").select("id", F.array_join(F.array_sort(disease_variants(F.trim("line"))), "|").alias("variants"))
 
 
-@query("c11_page_relevance", f"""with v as (select id, unnest(variants) as variant from {VARIANTS.format(f"(select min(page_id) as id, concat({HEAD_WORD}, '综合征') as n from pages where length({HEAD_WORD}) >= 3 group by 2) x")} y)
+@query("c11_page_relevance", f"""with v as (select id, unnest(variants) as variant from {VARIANTS.format(f"(select min(page_id) as id, concat({HEAD_WORD}, '综合征') as n from pages group by 2) x")} y)
   select p.page_id, v.id as disease_id, arg_min(v.variant, (-length(v.variant), v.variant)) as variant
   from pages p join v on contains(p.html, v.variant) group by 1, 2""")
 def c11(t: Inputs):
     word = F.regexp_extract("html", '<a href="/([^"]*)"', 1)
-    named = t("pages").where(F.length(word) >= 3).groupBy(F.concat(word, F.lit("综合征")).alias("name")).agg(F.min("page_id").alias("disease_id"))
+    named = t("pages").groupBy(F.concat(word, F.lit("综合征")).alias("name")).agg(F.min("page_id").alias("disease_id"))
     diseases = named.select("disease_id", disease_variants("name").alias("variants"))
     return T.match_pages(diseases, t("pages"))
 
