@@ -239,7 +239,7 @@ def with_views(sql: str) -> str:
 
 
 # Tables that feed work that is heavy per row.
-SPREAD = ("documents", "pages", "events")
+SPREAD = ("documents", "pages", "events", "orders")
 
 
 class Inputs:

@@ -138,3 +138,24 @@ def test_article_files(spark, tmp_path):
     assert got == {"3_a_b病": ("a_b病_A_title.txt", "题目: A title\n"), "4_乙": ("乙_B.txt", "题目: B\n\n摘要: text\n")}
     writers.write_articles(files, str(tmp_path / "out"))
     assert (tmp_path / "out" / "part=1" / "website=2" / "disease_key=4_乙").is_dir()
+
+
+def test_links_of_the_search_page_come_last(spark):
+    search = spark.createDataFrame(
+        [(1, '<div class="s_searchResult_li_button_r"><a href="/s0.pdf">PDF</a><a>-</a></div><div class="s_searchResult_li_button_r"><a href="//h/s1.pdf">PDF</a></div>')],
+        "page_id bigint, html string",
+    )
+    buttons = P.search_page_pdfs(search)
+    assert [(r["pos"], r["url"]) for r in buttons.orderBy("pos").collect()] == [(0, "https://www.yiigle.com/s0.pdf"), (2, "https://h/s1.pdf")]
+    detail = spark.createDataFrame([(1, "https://p", '<a href="/a.pdf">x</a>')], "page_id bigint, url string, html string")
+    found = P.pdf_candidates(detail).select("page_id", "pos", "url").unionByName(buttons.select("page_id", (F.col("pos") + 1_000_000).alias("pos"), "url"))
+    kind = "url string, content binary, content_type string"
+    both = spark.createDataFrame([("https://p/a.pdf", b"%PDF", None), ("https://www.yiigle.com/s0.pdf", b"%PDF", None)], kind)
+    assert P.best_pdf(found, both).first()["pdf_url"] == "https://p/a.pdf"
+    assert P.best_pdf(found, both.where("url like '%s0%'")).first()["pdf_url"] == "https://www.yiigle.com/s0.pdf"
+
+
+def test_an_address_most_pages_link_to(spark):
+    found = spark.range(3000).select(F.col("id").alias("page_id"), F.lit(0).alias("pos"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("url"))
+    payloads = spark.createDataFrame([("hot", b"%PDF", None), ("3", b"%PDF", None), ("6", b"no", "text/html")], "url string, content binary, content_type string")
+    assert P.best_pdf(found, payloads).count() == 2001
