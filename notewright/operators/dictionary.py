@@ -121,12 +121,15 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     filed = _filed_terms(usable, term)
     runs = F.explode(F.concat(*[grams(text, *RUNS[k]) for k in kinds]))
     texts = spread(texts.select(key, text))
+    contained = F.contains(F.col(text), F.col(term))
     if facts["n"] <= max_rows:
         met = texts.select(key, text, runs.alias("_run")).join(F.broadcast(filed), "_run")
+        # a term that is a run itself needs no second look
+        contained = (F.col(term) == F.col("_run")) | contained
     else:
         met = salted_join(texts.select(key, runs.alias("_run")), filed, ["_run"], [key]).select(key, term).distinct()
         met = met.join(texts, key)
-    return met.where(F.contains(F.col(text), F.col(term))).select(key, term).distinct()
+    return met.where(contained).select(key, term).distinct()
 
 
 def match_pages(diseases: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
