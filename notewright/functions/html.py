@@ -24,8 +24,6 @@ ENTITIES = {
 }
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 
-LINK_TYPE = "array<struct<href:string,onclick:string,text:string>>"
-
 
 # ---- patterns ----------------------------------------------------------------------------
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.text import col, render
+from notewright.functions.text import render
 from notewright.operators.scaling import running_index
 
 RESULT_FIELDS = "client int, response string, tokens bigint, attempts int, error string"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewright import fixed_values as V
-from notewright.functions.phenotypes import list_or_empty, second_elements, union_lists
+from notewright.functions.phenotypes import second_elements, union_lists
 from notewright.functions.text import col
 
 
