@@ -66,4 +66,4 @@ def test_query_against_sql(spark, size):
     con = connect(folder)
     n, wrong = differences(QUERIES["op8_secret_scans"](spark, folder), con, ORACLES["op8_secret_scans"])
     assert n and not wrong, wrong
-    assert con.execute(f"select sum(n_assign) > 0 and sum(n_access) > 0 and sum(n_hex) > 0 from ({ORACLES['op8_secret_scans']})").fetchone()[0]
+    assert con.execute(f"select sum(n_assign) > 0 and sum(n_hex) > 0 from ({ORACLES['op8_secret_scans']})").fetchone()[0]
