@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -28,9 +29,8 @@ from tokenizers import Tokenizer
 
 from notewright.llm.common import worker_cache
 
-PIECE_CACHE = 400_000  # pieces between blanks whose tokens a worker keeps at once
+PIECE_CACHE = 250_000  # pieces between blanks whose tokens a worker keeps at once
 CACHED_LENGTH = 48
-_LOWERED = str.maketrans({"Σ": "σ"})  # letter by letter, without the final form
 _UNUSUAL = re.compile(r"[^\x00-ɏ]")
 
 
@@ -44,6 +44,29 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class Cache(dict):
+    """Remembers what ``make`` gives for short keys; when full, the keys used since the last time stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= PIECE_CACHE:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class BpeTables:
     """Everything that encoding and decoding look up, built from a vocabulary file's bytes."""
 
@@ -92,14 +115,15 @@ class BpeTables:
                 codes[-1] += 256
             self.length[i] = len(codes)
             texts.append("".join(map(chr, codes)))
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
+        self.packed = [_packed([i]) for i in self.ids]
         self.matches = ahocorasick.Automaton()
         known = {}
         for i, t in enumerate(texts):
             # a token that its own text's merges never reach can't occur
             if i < 512 or self._border_stands(self.left[i], self.right[i], i):
                 known[t] = i
-                self.matches.add_word(t, i)
+                self.matches.add_word(t, (len(t) - 1, i))
         self.matches.make_automaton()
         # the longest shorter token that a token starts with
         self.shorter = [-1] * len(names)
@@ -111,7 +135,8 @@ class BpeTables:
         pieces = [(by_id[i] + " ").encode("utf-8") if i in by_id else b"" for i in range(max(by_id) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._words = Cache(self.encode_word)
+        self._pieces = Cache(self.encode_piece)
 
     def _border_stands(self, a: int, b: int, limit: int) -> bool:
         """Whether merging the joined texts of two tokens, by merges before ``limit``, never crosses their border."""
@@ -129,69 +154,69 @@ class BpeTables:
             else:
                 return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        found = self._compatible.get((a, b))
-        if found is None:
-            if len(self._compatible) > PIECE_CACHE:
-                self._compatible.clear()
-            found = self._compatible[a, b] = self._border_stands(a, b, len(self.left))
-        return found
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-split word."""
-        codes = word.encode("utf-8", "surrogatepass")
+    def encode_word(self, word: str) -> bytes:
+        """Packed token ids of one pre-split word."""
+        codes = word.encode("utf-8")
         n = len(codes)
-        text = "".join(map(chr, codes[:-1])) + chr(codes[-1] + 256)
-        longest, length = [0] * n, self.length
-        for end, token in self.matches.iter(text):
-            longest[end - length[token] + 1] = token  # ends ascend, so the longest match of a start comes last
+        text = codes[:-1].decode("latin-1") + chr(codes[-1] + 256)
+        longest = [0] * n
+        for end, (before, token) in self.matches.iter(text):
+            longest[end - before] = token  # ends ascend, so the longest match of a start comes last
+        at, token, length, known = 0, longest[0], self.length, self._compatible
+        if length[token] == n:
+            return self.packed[token]
         tokens: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
-        while at < n:
+        last = -1
+        while True:
             while token >= 0:
                 end = at + length[token]
-                if not dead[end] and (not tokens or self.compatible(tokens[-1], token)):
-                    break
+                if not dead[end]:
+                    if last < 0:
+                        break
+                    stands = known.get(last << 20 | token)
+                    if stands is None:
+                        if len(known) > PIECE_CACHE:
+                            known.clear()
+                        stands = known[last << 20 | token] = self._border_stands(last, token, len(length))
+                    if stands:
+                        break
                 token = self.shorter[token]
             if token >= 0:
                 tokens.append(token)
-                at += length[token]
-                token = longest[at] if at < n else -1
+                if end == n:
+                    break
+                at, last, token = end, token, longest[end]
             else:
                 dead[at] = 1
-                last = tokens.pop()
-                at -= length[last]
-                token = self.shorter[last]
-        ids = self.ids
-        return tuple(ids[t] for t in tokens)
+                token = tokens.pop()
+                at -= length[token]
+                token = self.shorter[token]
+                last = tokens[-1] if tokens else -1
+        packed = self.packed
+        return b"".join([packed[t] for t in tokens])
 
     def _plain(self, text: str) -> str:
         """The normalised text."""
-        return self._blank.sub(" ", unicodedata.normalize("NFC", text)).translate(_LOWERED).lower()
+        return self._blank.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()  # letter by letter, without the final form
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a text as int32."""
+        out: list[bytes] = []
         for part in self._cut.split(text) if self._cut and "<|" in text else (text,):
             if part in self._special:
-                out.append(self._special[part])
+                out.append(_packed([self._special[part]]))
             elif _UNUSUAL.search(part) and any(unicodedata.category(c) == "Cn" for c in set(part)):
                 # letters newer than this Python's tables: the library's own tables decide where words end
                 plain = self._library.normalizer.normalize_str(part)
-                for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(plain):
-                    out += self.encode_word(plain[a:b])
+                out += [self.encode_word(plain[a:b]) for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(plain)]
             else:
-                cache = self._cache
-                for piece in self._plain(part).split(" "):  # words hold no blanks
-                    ids = cache.get(piece)
-                    if ids is None:
-                        ids = tuple(i for w in self._word.findall(piece) for i in self.encode_word(w))
-                        if len(piece) <= CACHED_LENGTH:
-                            if len(cache) >= PIECE_CACHE:
-                                cache.clear()
-                            cache[piece] = ids
-                    out += ids
-        return out
+                out += map(self._pieces.__getitem__, self._plain(part).split(" "))  # words hold no blanks
+        return np.frombuffer(b"".join(out), dtype=np.int32)
+
+    def encode_piece(self, piece: str) -> bytes:
+        """The packed ids of text between two blanks."""
+        return b"".join([self._words[w] for w in self._word.findall(piece)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' texts joined by one blank; unknown ids are left out."""
@@ -229,7 +254,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def ids_of(texts: pa.Array) -> pa.Array:
         tables = _loaded(digest, shipped)
         # one text at a time: Python's numbers of a whole batch would take many times the texts' room
-        parts = [np.array(tables.encode(t.as_py() or ""), dtype=np.int32) for t in texts]
+        parts = [tables.encode(t.as_py() or "") for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
         values = np.concatenate(parts) if parts else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
