@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the subpackage."""
 
-from notewright.llm import op02_bpe, op04_langid, op06_warc, op08_secrets  # noqa: F401
+from notewright.llm import op01_toxicity, op02_bpe, op04_langid, op06_warc, op08_secrets  # noqa: F401
 from notewright.llm.registry import ORACLES, QUERIES  # noqa: F401
