@@ -47,7 +47,9 @@ def test_quotation_and_misspelling_count_less():
 
 def test_odd_rows(spark):
     rows = [(i, t, 0) for i, t in enumerate([None, "", "x " * 200_000 + "blorgit", "fine words", "fine words"])]
-    rows += [(10 + i, f"some text {i} with blorgit number {i}", 1) for i in range(60)] + [(100 + i, f"some text {i} without number {i}", 0) for i in range(60)]
+    r = random.Random(1)
+    words = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(12))
+    rows += [(10 + i, f"{words()} blorgit {words()}", 1) for i in range(60)] + [(100 + i, words(), 0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxicity int")
     labels = df.where("doc_id >= 10").selectExpr("doc_id", "toxicity as toxic").union(spark.createDataFrame([(None, 1), (11, 1), (12, None)], "doc_id long, toxic int"))
     model = tox.fit(df, labels, F.col("text"), "doc_id", "toxic")
