@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the subpackage."""
 
-from notewright.llm import op01_toxicity, op02_bpe, op03_ngram_join, op04_langid, op06_warc, op07_decontamination, op08_secrets, op09_token_counts  # noqa: F401
+from notewright.llm import op01_toxicity, op02_bpe, op03_ngram_join, op04_langid, op06_warc, op07_decontamination, op08_secrets, op09_token_counts, op10_neighbours  # noqa: F401
 from notewright.llm.registry import ORACLES, QUERIES  # noqa: F401
