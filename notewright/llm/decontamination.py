@@ -32,8 +32,8 @@ class Settings:
     run: int = 5  # words of a run that is compared
     question_share: float = 0.5  # of the question's runs that the document must hold near the passage
     answer_share: float = 0.5  # of the answer's
-    block: int = 64  # postings of a block
-    shard_bytes: int = 16 << 20  # items' text in one index
+    block: int = 4  # items of a block
+    shard_bytes: int = 1 << 20  # items' text in one index
     least_words: int = 5  # shorter items are not looked for
     passage: int = 64  # words; at least twice the step, and never shorter than the shard's longest item
 
@@ -54,7 +54,7 @@ def runs(w: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """BM25 postings in blocks with their largest scores."""
+    """BM25 postings in blocks of items, with the largest score of each term in each block."""
 
     def __init__(self, items: list[tuple[int, str, str]], s: Settings):
         self.s = s
@@ -70,77 +70,64 @@ class Index:
         df = Counter(t for b in bags for t in b)
         self.terms = {t: i for i, t in enumerate(sorted(df))}
         idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.needed = []
+        scores = []
         for d, b in enumerate(bags):
             norm = s.k1 * (1 - s.b + s.b * sizes[d] / max(mean, 1e-9))
-            scores = {t: idf[t] * n * (s.k1 + 1) / (n + norm) for t, n in b.items()}
-            self.needed.append(s.score_share * sum(scores.values()))
-            for t, x in scores.items():
-                lists[self.terms[t]].append((d, x))
-        self.lists = lists
-        self.blocks = [[(p[min(i + s.block, len(p)) - 1][0], max(x for _, x in p[i : i + s.block])) for i in range(0, len(p), s.block)] for p in lists]
-        self.upper = np.array([max(x for _, x in p) for p in lists] + [0.0])
-        self.least = min(self.needed, default=math.inf)
-
-    def retrieve(self, terms: list[int]) -> list[int]:
-        """Items whose score for the distinct terms reaches what they need, by block-max WAND."""
-        cursors = [[self.lists[t][0][0], t, 0] for t in terms]  # current item, term, place in its postings
-        out = []
+            scores.append({t: idf[t] * n * (s.k1 + 1) / (n + norm) for t, n in b.items()})
+        # items that need like scores share a block, so that a block's least threshold says much
+        order = sorted(range(len(kept)), key=lambda d: (s.score_share * sum(scores[d].values()), self.ids[d]))
+        self.ids, self.questions, self.answers = ([x[d] for d in order] for x in (self.ids, self.questions, self.answers))
+        scores = [scores[d] for d in order]
+        self.needed = [s.score_share * sum(x.values()) for x in scores]
+        blocks = -(-len(kept) // s.block)
+        self.lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.terms]
+        self.upper = np.zeros((len(self.terms), blocks), dtype=np.float32)
+        for d, x in enumerate(scores):
+            for t, y in x.items():
+                t, k = self.terms[t], d // s.block
+                self.lists[t].setdefault(k, []).append((d, y))
+                self.upper[t, k] = max(self.upper[t, k], np.nextafter(np.float32(y), np.float32(np.inf)))
+        self.least = np.array([min(self.needed[k * s.block : (k + 1) * s.block]) for k in range(blocks)], dtype=np.float64)
+
+    def live(self, terms: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, block) pairs whose largest scores add up to what an item of the block needs at least.
+
+        ``terms`` has the passages' distinct terms, one passage after the other, each from its place in ``starts``.
+        """
+        bounds = np.add.reduceat(self.upper[terms], starts, axis=0)
+        return [tuple(x) for x in np.argwhere(bounds >= self.least * (1 - 1e-5)).tolist()]
+
+    def retrieve(self, terms: list[int], block: int) -> list[int]:
+        """Items of a block whose score for the distinct terms reaches what they need, by WAND with the block's largest scores."""
+        cursors = [[p, 0, float(self.upper[t, block])] for t in terms if (p := self.lists[t].get(block))]
+        least, out = float(self.least[block]) * (1 - 1e-5), []
         while cursors:
-            cursors.sort()
+            cursors.sort(key=lambda c: c[0][c[1]][0])
             total, pivot = 0.0, -1
-            for i, (_, t, _) in enumerate(cursors):
-                total += self.upper[t]
-                if total >= self.least:
+            for i, c in enumerate(cursors):
+                total += c[2]
+                if total >= least:
                     pivot = i
                     break
             if pivot < 0:
                 break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # bound by the blocks that would hold the item
-            bound, ends = 0.0, []
-            for _, t, at in cursors[: pivot + 1]:
-                k = at // self.s.block
-                while k < len(self.blocks[t]) and self.blocks[t][k][0] < item:
-                    k += 1
-                if k < len(self.blocks[t]):
-                    bound += self.blocks[t][k][1]
-                    ends.append(self.blocks[t][k][0])
-            if bound >= self.least:
-                if cursors[0][0] == item:
-                    score = sum(self.lists[t][at][1] for d, t, at in cursors if d == item)
-                    if score >= self.needed[item]:
-                        out.append(item)
-                    target = item + 1
-                else:
-                    target = item
-            else:  # nothing before the nearest block end, nor before the next list's item, can reach the threshold
-                target = min(ends, default=item) + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                target = max(target, item + 1)
-            cursors = [c for c in cursors if self._advance(c, target)]
+            item = cursors[pivot][0][cursors[pivot][1]][0]
+            if cursors[0][0][cursors[0][1]][0] == item:
+                score = sum(c[0][c[1]][1] for c in cursors if c[0][c[1]][0] == item)
+                if score >= self.needed[item] - 1e-9:
+                    out.append(item)
+                item += 1
+            kept = []
+            for c in cursors:  # nothing before the pivot's item can reach the threshold
+                p, at = c[0], c[1]
+                while at < len(p) and p[at][0] < item:
+                    at += 1
+                if at < len(p):
+                    c[1] = at
+                    kept.append(c)
+            cursors = kept
         return out
 
-    def _advance(self, cursor: list, target: int) -> bool:
-        item, t, at = cursor
-        if item >= target:
-            return True
-        p, blocks, size = self.lists[t], self.blocks[t], self.s.block
-        k = at // size
-        while k < len(blocks) and blocks[k][0] < target:  # whole blocks are passed over
-            k += 1
-        at = max(at, k * size)
-        while at < len(p) and p[at][0] < target:
-            at += 1
-        if at >= len(p):
-            return False
-        cursor[0], cursor[2] = p[at][0], at
-        return True
-
     def verify(self, item: int, w: list[str]) -> tuple[float, float]:
         """Shares of the question's and the answer's runs among a stretch of words; 1 for an empty answer."""
         n = self.s.run
@@ -157,20 +144,26 @@ class Index:
         if not text or not self.ids:
             return []
         w = words(text)
-        none = len(self.terms)
         get = self.terms.get
-        t = np.array([get(x, none) for x in w], dtype=np.int64)
+        t = np.array([get(x, -1) for x in w], dtype=np.int64)
         size = max(self.s.passage, 2 * self.longest)
         step = size // 2
-        # no passage with a smaller sum of its words' largest scores can reach any threshold
-        sums = np.concatenate([[0.0], np.cumsum(self.upper[t])])
-        starts = np.arange(0, max(len(w) - step, 1), step)
-        ends = np.minimum(starts + size, len(w))
+        passages = max(-(-(len(w) - step) // step), 1)  # each begins a step after the last one
+        at = np.flatnonzero(t >= 0)
+        if not len(at):
+            return []
+        # a word is in the passage that begins in its step and in the one before
+        n = len(self.terms)
+        second = at // step
+        keys = np.concatenate([second[second < passages] * n + t[at[second < passages]], (second[second > 0] - 1) * n + t[at[second > 0]]])
+        keys = np.unique(keys)
+        owner, starts = np.unique(keys // n, return_index=True)
         found: dict[int, tuple[float, float]] = {}
-        for i in np.flatnonzero(sums[ends] - sums[starts] >= self.least - 1e-9):
-            a, b = int(starts[i]), int(ends[i])
-            for item in self.retrieve([x for x in np.unique(t[a:b]).tolist() if x != none]):
-                shares = self.verify(item, w[a:b])
+        ends = [*starts[1:].tolist(), len(keys)]
+        for i, block in self.live(keys % n, starts):
+            a = int(owner[i]) * step
+            for item in self.retrieve((keys[starts[i] : ends[i]] % n).tolist(), block):
+                shares = self.verify(item, w[a : a + size])
                 if shares > found.get(item, (-1.0, -1.0)):
                     found[item] = shares
         s = self.s

@@ -22,10 +22,11 @@ def test_wand_against_all_scores():
             terms = sorted({index.terms[w] for w in dc.words(text) if w in index.terms})
             scores = {}
             for t in terms:
-                for d, x in index.lists[t]:
+                for d, x in (y for p in index.lists[t].values() for y in p):
                     scores[d] = scores.get(d, 0.0) + x
             want = {d for d, x in scores.items() if x >= index.needed[d] + 1e-9}
-            got = set(index.retrieve(terms))
+            live = index.live(dc.np.array(terms), dc.np.array([0])) if terms else []
+            got = {d for _, k in live for d in index.retrieve(terms, k)}
             assert want <= got and all(scores[d] >= index.needed[d] - 1e-9 for d in got)
 
 
@@ -38,7 +39,7 @@ def brute(text, items, s):
         part = w[a : a + size]
         for k, i in enumerate(index.ids):
             own = index.needed[k]
-            score = sum(x for t in set(part) if t in index.terms for d, x in index.lists[index.terms[t]] if d == k)
+            score = sum(x for t in set(part) if t in index.terms for d, x in index.lists[index.terms[t]].get(k // s.block, []) if d == k)
             q, n = index.verify(k, part)
             if score >= own - 1e-9 and q >= s.question_share and n >= s.answer_share:
                 out.add(i)
