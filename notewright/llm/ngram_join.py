@@ -24,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import written
+from notewright.llm.common import worker_cache, written
 from notewright.llm.graph import components
 
-WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWERED = bytes(range(256)).lower()  # A to Z alone
 
 
 @dataclass(frozen=True)
@@ -44,13 +44,41 @@ class Settings:
     block_sets: int = 4000
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 500_000:
+            self[word] = value
+        return value
+
+
+def shingle_hashes(text: str | None, words: int, known: dict) -> np.ndarray:
+    """Sorted distinct hashes (64 bits) of a text's shingles; few words make one shingle, none make none."""
+    parts = (text or "").encode("utf-8").translate(LOWERED).split()  # at the six ASCII blanks, as \x20 and \x09-\x0D are
+    if not parts:
+        return np.empty(0, dtype=np.int64)
+    h = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    n = min(words, len(h))
+    mixed = np.full(len(h) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
+
+
 def shingles(df: DataFrame, text: Column, s: Settings) -> DataFrame:
-    """Adds _tokens: sorted distinct hashes of the shingles; few words make one shingle, none make none."""
-    lowered = F.translate(text, UPPER, LOWER)
-    out = df.withColumn("_words", F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>")))
-    many = F.transform(F.sequence(F.lit(1), F.size("_words") - s.words + 1), lambda i: F.xxhash64(F.slice("_words", i, s.words)))
-    few = F.when(F.size("_words") > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    return out.withColumn("_tokens", F.sort_array(F.array_distinct(F.when(F.size("_words") >= s.words, many).otherwise(few)))).drop("_words")
+    """Adds _tokens: the sorted distinct hashes of the shingles of a text."""
+    words = s.words
+
+    @F.arrow_udf("array<long>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        known = worker_cache().setdefault("word-hashes", _WordHashes())
+        parts = [shingle_hashes(t.as_py(), words, known) for t in texts]
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+    return df.withColumn("_tokens", hashes(text))
 
 
 def needed(n: Column, s: Settings) -> Column:
