@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results were written; they go when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -5,7 +5,8 @@ tokens that holds for all sets, the first k shared tokens of such a pair lie in
 tokens of either, its extended prefix.
 
 1. Equal sets are one class; only one of them goes on.
-2. In the order of hashes, sets that share no token of their prefix (k = 1) with another set have no partner.
+2. In the order of hashes, sets that share fewer than k tokens of their prefix with others (k a tenth of the size) have
+   no partner.
 3. Of the sets that are left, tokens are counted. Tokens that one set alone holds can't be shared, so a set with too
    few others drops out. The rest are ordered from rare to frequent.
 4. Rare tokens of the extended prefix are signatures by themselves. Frequent ones are dealt into k - 1 buckets; of k
@@ -20,51 +21,92 @@ tokens of either, its extended prefix.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import worker_cache, written
+from notewright.llm.common import release, worker_cache, written
 from notewright.llm.graph import components
 
 LOWERED = bytes(range(256)).lower()  # A to Z alone
+PIECE = 1 << 17  # bytes whose words are hashed at a time
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 5  # of a shingle
     percent: int = 80  # least Jaccard similarity
+    first_share: float = 0.1  # of a set's size: k of the prefixes in the order of hashes
     frequent: int = 256  # tokens that more sets hold are indexed in pairs
     per_bucket: int = 32  # least overlap for each further bucket of frequent tokens
     block_tokens: int = 1_500_000  # of a block
     block_sets: int = 4000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = value
-        return value
-
-
-def shingle_hashes(text: str | None, words: int, known: dict) -> np.ndarray:
+class WordHashes:
+    """Hashes of a text's words, all at once: sums of byte values times powers of an odd number, modulo 2 to the 64."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        with np.errstate(over="ignore"):
+            self.values = self.mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+        self.powers = self.inverses = np.empty(0, np.uint64)
+        self._extend(PIECE)
+
+    def _extend(self, n: int) -> None:
+        for name, factor in (("powers", self.base), ("inverses", pow(self.base, -1, 1 << 64))):
+            f = np.full(n, factor, dtype=np.uint64)
+            f[0] = 1
+            setattr(self, name, np.multiply.accumulate(f))
+
+    @staticmethod
+    def mixed(x: np.ndarray) -> np.ndarray:
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
+
+    def of_piece(self, data: bytes) -> np.ndarray:
+        b = np.frombuffer(data, dtype=np.uint8)
+        if len(b) > len(self.powers):  # a word longer than a piece
+            self._extend(len(b))
+        blank = BLANK[b]
+        edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(self.values[b] * self.powers[: len(b)], out=sums[1:])
+        return self.mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def of_text(self, data: bytes) -> np.ndarray:
+        if len(data) <= PIECE:
+            return self.of_piece(data)
+        parts, at = [], 0
+        while at < len(data):
+            end = _NEXT_BLANK.search(data, min(at + PIECE, len(data)))
+            end = end.start() if end else len(data)
+            parts.append(self.of_piece(data[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+
+def shingle_hashes(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes (64 bits) of a text's shingles; few words make one shingle, none make none."""
-    parts = (text or "").encode("utf-8").translate(LOWERED).split()  # at the six ASCII blanks, as \x20 and \x09-\x0D are
-    if not parts:
+    h = hashes.of_text((text or "").encode("utf-8").translate(LOWERED))
+    if not len(h):
         return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
     n = min(words, len(h))
     mixed = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for i in range(n):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    return np.unique((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
+    out = hashes.mixed(mixed).view(np.int64)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def shingles(df: DataFrame, text: Column, s: Settings) -> DataFrame:
@@ -73,8 +115,10 @@ def shingles(df: DataFrame, text: Column, s: Settings) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
-        known = worker_cache().setdefault("word-hashes", _WordHashes())
-        parts = [shingle_hashes(t.as_py(), words, known) for t in texts]
+        cache = worker_cache()
+        if "word-hashes" not in cache:
+            cache["word-hashes"] = WordHashes()
+        parts = [shingle_hashes(t.as_py(), words, cache["word-hashes"]) for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
@@ -165,7 +209,7 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settin
     print_ = F.when(F.size("_tokens") > 0, F.struct(F.xxhash64("_tokens").alias("p"), F.xxhash64(F.lit(1), "_tokens").alias("q")))
     tokens = tokens.select("id", F.size("_tokens").alias("n"), print_.alias("set"), "_tokens")
     sets = written(tokens.select("id", "n", "set"), "shingle-sets")  # narrow
-    classes = sets.where("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    classes = sets.where("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     links = components(_links(df.sparkSession, rows, tokens, classes, s)).withColumnRenamed("component", "_least")
     known = classes.join(links, F.col("rep") == F.col("node"), "left").select(F.col("set").alias("_set"), F.coalesce("_least", "rep").alias("_component"))
     out = sets.join(known, F.col("set") == F.col("_set"), "left")
@@ -175,19 +219,26 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settin
 def _links(spark, rows: DataFrame, tokens: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Edges between classes' representatives whose sets are similar: enough of them to connect what links connect."""
     least = math.ceil(s.percent / (100 - s.percent)) if s.percent < 100 else 1 << 30  # smaller sets have no partner but equals
-    # 2. prefixes in the order of hashes
-    prefix = tokens.where(F.col("n") >= least).select(F.col("set.p").alias("p"), F.explode(F.slice("_tokens", 1, F.col("n") - needed(F.col("n"), s) + 1)).alias("token"))
+    # 2. prefixes in the order of hashes, extended so that partners share k of their tokens
+    k = F.greatest(F.lit(1), F.floor(F.col("n") * s.first_share)).cast("int")
+    length = F.col("n") - needed(F.col("n"), s) + k
+    prefix = tokens.where(F.col("n") >= least).select(F.col("set.p").alias("p"), F.explode(F.slice("_tokens", 1, length)).alias("token"))
     shared = prefix.groupBy("token").agg(F.min("p").alias("_low"), F.max("p").alias("_high")).where("_low <> _high").select("token")
-    alive = prefix.join(shared, "token", "left_semi").select("p").distinct()
-    reps = written(classes.join(alive, F.col("set.p") == F.col("p"), "left_semi").select("rep", "n", "set"), "shingle-candidates")
+    alive = prefix.join(shared, "token", "left_semi").groupBy("p").agg(F.count(F.lit(1)).alias("_shared"))
+    # each copy of a set brought its tokens once
+    reps = classes.join(alive, F.col("set.p") == F.col("p")).where(F.col("_shared") >= k * F.col("copies"))
+    reps = written(reps.select("rep", "n", "set"), "shingle-candidates")
+    release(spark)
     # 3. all tokens of the candidates
     texts = rows.join(reps.select(F.col("rep").alias("id"), "set"), "id")
     full = shingles(texts, F.col("text"), s).where((F.xxhash64("_tokens") == F.col("set.p")) & (F.xxhash64(F.lit(1), "_tokens") == F.col("set.q")))
     full = written(full.dropDuplicates(["id"]).select("id", F.size("_tokens").alias("n"), "_tokens"), "shingle-tokens")
+    release(spark)
     each = full.select("id", "n", F.explode("_tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     kept = each.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     ordered = written(kept.where(F.size("shared") >= needed(F.col("n"), s)), "shingle-order")
+    release(spark)
     # 4. signatures, and clusters of what they connect
     signatures = written(_signatures(ordered, s), "signatures")
     first = signatures.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("_b")).where("a <> _b")

@@ -13,8 +13,6 @@ Neighbours in that order with a common prefix of at least ``length`` bytes are e
 
 from __future__ import annotations
 
-import gc
-import hashlib
 import tempfile
 from dataclasses import dataclass
 
@@ -23,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import written
+from notewright.llm.common import release, written
 
 
 @dataclass(frozen=True)
@@ -230,12 +228,6 @@ def anchors(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return cuts, np.diff(np.append(cuts, n)), h[where[cuts]].view(np.int64)
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of steps whose results were written; they go when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
     """(doc_id, spans): per document with any, the byte ranges [start, end) covered by strings that also start in a smaller document.
 
@@ -254,7 +246,7 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     shared = runs.groupBy("key").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low <> _high").select("key")
     # a document's anchors that others hold too; folded per document
     flagged = written(runs.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set("first").alias("firsts")), "shared-anchors")
-    _release(df)
+    release(df.sparkSession)
 
     def cut(batches):
         for b in batches:
@@ -268,7 +260,7 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     stretches = docs.join(flagged, "doc").mapInArrow(cut, "doc long, first int, key long, stretch binary")
     stretches = stretches.select("doc", "first", "key", "stretch", F.struct(F.xxhash64("stretch").alias("p"), F.xxhash64(F.lit(1), "stretch").alias("q")).alias("name"))
     stretches = written(stretches, "stretches")
-    _release(df)
+    release(df.sparkSession)
     distinct = stretches.groupBy("key", "stretch").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("name").alias("name"))
     distinct = written(distinct, "distinct-stretches")
     volume = distinct.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
@@ -311,7 +303,7 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
     out = written(spans.select(F.col("doc").alias("doc_id"), merged("spans").alias("spans")), "repeated-spans")
-    _release(df)
+    release(df.sparkSession)
     return out
 
 
