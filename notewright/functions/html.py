@@ -1,9 +1,9 @@
 """Reading fetched pages with column expressions.
 
-Elements are found by regular expressions that run inside the JVM. The body of an
-element is matched with possessive groups, which Java walks in a loop and not by
-recursion, so page length is no limit. Elements of the same name may be nested three
-deep; beyond that, or when tags are left open, an element ends at the first closing tag.
+A page is first brought into a regular form (``markup.canonical``), in which the tags of an
+element carry its depth. Elements are then found by regular expressions inside the JVM, at
+any depth. Functions of whole pages do this themselves; ``select_all``, ``select_first``,
+``first_main``, ``anchors``, ``meta_contents`` and ``inner_text`` expect the regular form.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
+from notewright.functions.markup import canonical
 from notewright.functions.text import col, let, trim_u
 
 BLOCK_TAGS = "div|li|ul|ol|h[1-6]|article|section|header|footer|nav|main|aside|table|tr|form|blockquote"
@@ -22,24 +23,15 @@ ENTITIES = {
     "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
     "&copy;": "©", "&middot;": "·", "&amp;": "&",
 }
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+HIDDEN = r"(?is)<head\b.*?</head\b[^>]*>"
 
 
 # ---- patterns ----------------------------------------------------------------------------
 
 
-def _balanced(depth: int) -> str:
-    r"""Text up to the closing tag of group 1, allowing ``depth`` levels of the same tag inside."""
-    plain = r"<(?!/?\1\b)"
-    if depth == 0:
-        return rf"[^<]*+(?:{plain}[^<]*+)*+"
-    nested = rf"<\1\b[^>]*+>{_balanced(depth - 1)}</\1\s*>"
-    return rf"[^<]*+(?:(?:{plain}|{nested})[^<]*+)*+"
-
-
-def _closed(opening: str) -> str:
-    r"""Element whose opening tag binds group 1 to its name; group 2 is the inside."""
-    return rf"(?is){opening}((?:{_balanced(3)}(?=</\1\s*>))|.*?)</\1\s*>"
+def _closed(name: str, attributes: str = "") -> str:
+    r"""Element of a name in the regular form: group 1 is its name, 2 its depth, 3 the inside."""
+    return rf'(?is)<({name}) _d="(\d+)"{attributes}[^>]*>(.*?)</\1 _d="\2">'
 
 
 def _class_test(value: str) -> str:
@@ -49,25 +41,23 @@ def _class_test(value: str) -> str:
 @cache
 def element_pattern(selector: str) -> str:
     """Pattern of one simple selector: ``tag``, ``.class``, ``[class*="x"]`` or ``tag[class*="x"]``."""
-    if selector == "p":
-        return rf"(?is)<(p)\b[^>]*>(.*?)(?=</p\s*>|<p\b|</?(?:{BLOCK_TAGS}|body|html)\b|$)"
     tag, part = selector, None
     if '[class*="' in selector:
         tag, part = selector.removesuffix('"]').split('[class*="')
     any_tag = tag or "[a-z][a-z0-9]*"
     if part is not None:
         inside = "[^\"'>]*" + part + "[^\"'>]*"
-        return _closed(rf"<({any_tag})\b{_class_test(inside)}[^>]*>")
+        return _closed(any_tag, _class_test(inside))
     if selector.startswith("."):
         token = r"(?:[^\"'>]*\s)?" + selector[1:] + r"(?:\s[^\"'>]*)?"
-        return _closed(rf"<([a-z][a-z0-9]*)\b{_class_test(token)}[^>]*>")
-    return _closed(rf"<({selector})\b[^>]*>")
+        return _closed("[a-z][a-z0-9]*", _class_test(token))
+    return _closed(selector)
 
 
 def _group_pattern(tag: str, classes: list[str]) -> str:
     """First of a tag or any of several classes, in page order."""
     token = r"(?:[^\"'>]*\s)?(?:" + "|".join(classes) + r")(?:\s[^\"'>]*)?"
-    return _closed(rf"<(?:(?={tag}\b)|(?=[a-z][a-z0-9]*\b[^>]*\sclass\s*=\s*[\"'](?-i:{token})[\"']))([a-z][a-z0-9]*)\b[^>]*>")
+    return _closed(rf"(?:(?={tag}\b)|(?=[a-z][a-z0-9]*\b[^>]*\sclass\s*=\s*[\"'](?-i:{token})[\"']))[a-z][a-z0-9]*")
 
 
 # ---- text ------------------------------------------------------------------------------------
@@ -96,11 +86,11 @@ def inner_text(html: Column | str) -> Column:
 def select_all(html: Column | str, selector: str) -> Column:
     """Inside HTML of every element of a selector; a space in it means "inside of"."""
     outer, _, inner = selector.partition(" ")
-    found = F.regexp_extract_all(col(html), F.lit(element_pattern(outer)), F.lit(2))
+    found = F.regexp_extract_all(col(html), F.lit(element_pattern(outer)), F.lit(3))
     if not inner:
         return found
     return F.flatten(
-        F.transform(found, lambda h: F.regexp_extract_all(h, F.lit(element_pattern(inner)), F.lit(2)))
+        F.transform(found, lambda h: F.regexp_extract_all(h, F.lit(element_pattern(inner)), F.lit(3)))
     )
 
 
@@ -108,13 +98,13 @@ def select_first(html: Column | str, selector: str) -> Column:
     """Inside HTML of the first element; empty when there is none."""
     if " " in selector:
         return F.coalesce(F.try_element_at(select_all(html, selector), F.lit(1)), F.lit(""))
-    return F.regexp_extract(col(html), element_pattern(selector), 2)
+    return F.regexp_extract(col(html), element_pattern(selector), 3)
 
 
 def first_main(html: Column | str) -> Column:
     tag, *classes = V.MAIN_SELECTORS
     p = _group_pattern(tag, [c[1:] for c in classes])
-    return F.regexp_extract(col(html), p, 2)
+    return F.regexp_extract(col(html), p, 3)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -126,7 +116,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def anchors(html: Column | str) -> Column:
     """All links in page order with href, onclick and text."""
-    tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    tags = F.regexp_extract_all(col(html), F.lit(r'(?is)<a _d="(\d+)"[^>]*>.*?</a _d="\1">'), F.lit(0))
     return F.transform(
         tags,
         lambda a: F.struct(
@@ -158,6 +148,7 @@ def _pick(text: Column, n: int) -> Column:
 
 def page_title(html: Column | str) -> Column:
     """Title by selectors (more than 5 characters), then meta tags, then a fixed text."""
+    html = canonical(html)
     picks = [_pick(inner_text(select_first(html, s)), V.LENGTHS["title"]) for s in V.TITLE_SELECTORS]
     meta = trim_u(F.try_element_at(meta_contents(html, V.TITLE_META), F.lit(1)))
     return F.coalesce(*picks, meta, F.lit(V.MISSING_TITLE))
@@ -165,12 +156,14 @@ def page_title(html: Column | str) -> Column:
 
 def heading_title(html: Column | str, result_title: Column | str) -> Column:
     """The h1 cut to 200 characters, then the title of the result list, then a fixed text."""
+    html = canonical(html)
     h1 = F.substring(inner_text(select_first(html, "h1")), 1, V.LENGTHS["page_title"])
     return F.coalesce(F.nullif(h1, F.lit("")), F.nullif(col(result_title), F.lit("")), F.lit(V.UNTITLED))
 
 
 def site1_abstract(html: Column | str) -> Column:
     """First element over 50 characters by selector, then a line with the word for abstract."""
+    html = canonical(html)
     n = V.LENGTHS["abstract"]
     picks = [
         _first_over(F.transform(select_all(html, s), lambda e: inner_text(e)), n) for s in V.ABSTRACT_SELECTORS["site1"]
@@ -195,6 +188,7 @@ def keyword_abstract(text: Column) -> Column:
 
 def site2_abstract(html: Column | str) -> Column:
     """Keyword text, then selectors, then meta tags, then the start of the main text."""
+    html = canonical(html)
     n = V.LENGTHS["abstract"]
     picks = [_pick(inner_text(select_first(html, s)), n) for s in V.ABSTRACT_SELECTORS["site2"]]
     meta = trim_u(_first_over(meta_contents(html, V.ABSTRACT_META), n))
@@ -215,6 +209,7 @@ def page_abstract(html: Column | str, site: str = "site2") -> Column:
 
 def shows_no_results(html: Column | str, site: str = "site1") -> Column:
     """A page that says that nothing was found, by text or (site 1) by element class."""
+    html = canonical(html)
     marks = [m.lower() for m in V.NO_RESULT_TEXTS[site]]
     said = let(F.lower(inner_text(html)), lambda t: reduce(or_, [F.contains(t, F.lit(m)) for m in marks]))
     if site != "site1":
@@ -276,6 +271,7 @@ def onclick_target(onclick: Column) -> Column:
 
 def pdf_links(html: Column | str, by_text: bool = False) -> Column:
     """Links to PDF files; ``by_text`` also takes links whose text says so (and then wants a lower-case suffix)."""
+    html = canonical(html)
     links = anchors(html)
 
     def wanted(a: Column) -> Column:
@@ -288,6 +284,7 @@ def pdf_links(html: Column | str, by_text: bool = False) -> Column:
 
 
 def frame_pdf_links(html: Column | str) -> Column:
+    html = canonical(html)
     tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<i?frame\b[^>]*>"), F.lit(0))
     links = F.transform(tags, lambda t: attribute(t, "src"))
     return F.filter(links, lambda u: F.contains(F.lower(u), F.lit(".pdf")))

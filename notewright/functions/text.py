@@ -68,8 +68,8 @@ def longer(c: Column | str, n: int) -> Column:
 
 
 def missing_to(c: Column | str, default: str = "") -> Column:
-    """Null and the text of a missing number both count as missing."""
-    return F.coalesce(col(c).cast("string"), F.lit(default))
+    """Null and NaN, a missing number or its text, both count as missing."""
+    return F.coalesce(F.nullif(col(c).cast("string"), F.lit("NaN")), F.lit(default))
 
 
 def safe_name(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
 from notewright.functions.text import col, trim_u
-from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join, spread
+from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join
 from notewright.sources.scratch import settled
 
 # Terms are looked up by runs of characters. Each kind of run is (length, stride): texts are
@@ -120,7 +120,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     kinds = sorted(facts["kinds"]) or [0]
     filed = _filed_terms(usable, term)
     runs = F.explode(F.concat(*[grams(text, *RUNS[k]) for k in kinds]))
-    texts = spread(texts.select(key, text))
+    texts = texts.select(key, text)
     contained = F.contains(F.col(text), F.col(term))
     if facts["n"] <= max_rows:
         met = texts.select(key, text, runs.alias("_run")).join(F.broadcast(filed), "_run")

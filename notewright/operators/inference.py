@@ -72,19 +72,23 @@ def infer(df: DataFrame, key: str, prompt: str, call: Callable[[int, str], Any],
     """``(key, client, response, tokens, attempts, error)`` for every row; a failed row has a null response.
 
     ``call(client, prompt)`` returns a text, or a pair of text and token count. Rows
-    take clients in turn. Each client works in ``lanes`` tasks that share its rate
-    evenly, so calls per second stay under ``rate`` for each client however many tasks
-    run, and a lost executor costs one lane. Rows stream through in Arrow batches.
+    take clients in turn. Under a rate each client works in ``lanes`` tasks that share it
+    evenly, so prompts per second stay under ``rate`` for each client however many tasks
+    run, and a lost executor costs one lane; tries after a failure follow at once and do
+    not wait again. Without a rate the input's own partitions do the calls. Rows stream
+    through in Arrow batches.
 
     The order of turns follows ``position``, or ``key`` where none is given (unique integers).
     Write the result before using it more than once: every evaluation calls again.
     """
     position = position or key
     prompts = df.select(*dict.fromkeys([key, position]), F.col(prompt).alias("_prompt"))
-    turned = assign_clients(prompts, clients, position)
-    lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
-    placed = turned.select(key, "client", "_prompt", (F.col("client") * lanes + lane).alias("_part"))
-    placed = placed.repartitionById(clients * lanes, F.col("_part")).select(key, "client", "_prompt")
+    # one client needs no turns
+    turned = assign_clients(prompts, clients, position) if clients > 1 else prompts.withColumn("client", F.lit(0))
+    placed = turned.select(key, "client", "_prompt")
+    if rate:
+        lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
+        placed = placed.withColumn("_part", F.col("client") * lanes + lane).repartitionById(clients * lanes, F.col("_part")).drop("_part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cap = RateCap(rate / lanes) if rate else None
@@ -142,8 +146,10 @@ def infer_in_steps(df: DataFrame, key: str, prompt: str, call: Callable[[int, st
 def _rows_written(spark: SparkSession, path: str) -> int | None:
     try:
         return spark.read.parquet(path).count()
-    except AnalysisException:  # nothing there yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there yet, or nothing whole
+            return None
+        raise
 
 
 def counters(results: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from notewright import fixed_values as V
 from notewright.functions.deid import deidentify
 from notewright.functions.phenotypes import no_strings
 from notewright.functions.text import col, drop_literal, let, missing_to, pattern, trim_u, zero_pad
-from notewright.operators.scaling import is_first, running_index
+from notewright.operators.scaling import running_index
 
 # ---- projections ---------------------------------------------------------------------
 
@@ -94,10 +94,13 @@ def has_stop_phrase(c: Column | str) -> Column:
 def once_per_patient(notes: DataFrame, order: str = "index") -> DataFrame:
     """Keep a daily note only when it is its patient's first note; keep all others.
 
-    One pass over the notes; a patient with very many notes is no hot spot.
+    Patients' first notes come from narrow rows. Only daily notes are joined with them;
+    all others pass without a shuffle.
     """
     daily = F.col("scenario").eqNullSafe(V.DAILY_SCENARIO)
-    return is_first(notes, "patient_id", order, others=~daily).drop("is_first")
+    first = notes.groupBy(F.col("patient_id").alias("_patient")).agg(F.min(order).alias("_lowest"))
+    met = F.col("patient_id").eqNullSafe(F.col("_patient")) & (F.col(order) == F.col("_lowest"))
+    return notes.where(~daily).unionByName(notes.where(daily).join(first, met, "left_semi"))
 
 
 def candidates(notes: DataFrame, k: int = V.MAX_NOTE_LENGTH, min_len: int = V.MIN_NOTE_LENGTH,

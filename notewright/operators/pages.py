@@ -21,7 +21,7 @@ def articles(pages: DataFrame, site: str = "site2", html: str = "html") -> DataF
 def search_results(pages: DataFrame, max_results: int = V.RESULTS_PER_DISEASE, key: str = "page_id",
                    html: str = "html") -> DataFrame:
     """Result items of site-1 search pages: title and full-text link; items without a link are dropped."""
-    items = F.slice(H.select_all(html, f".{V.RESULT_ITEM_CLASS}"), 1, max_results)
+    items = F.slice(H.select_all(H.canonical(html), f".{V.RESULT_ITEM_CLASS}"), 1, max_results)
     rows = pages.select(key, F.posexplode(items).alias("pos", "_item"))
     n = V.LENGTHS["result_title"]
     heads = F.concat(H.select_all("_item", "h1 a"), H.select_all("_item", "h1"))
@@ -51,6 +51,7 @@ def _item_result(item: Column) -> Column:
 
 def listed_results(html: Column | str, max_results: int = V.RESULTS_PER_DISEASE) -> Column:
     """Results from the first container selector that yields any; null when none does."""
+    html = H.canonical(html)
     per_selector = []
     for selector in V.RESULT_SELECTORS:
         items = H.select_all(html, selector)
@@ -63,7 +64,7 @@ def listed_results(html: Column | str, max_results: int = V.RESULTS_PER_DISEASE)
 
 def generic_results(html: Column | str, max_results: int = V.RESULTS_PER_DISEASE) -> Column:
     """Results from the page's first 50 links, navigation left out."""
-    links = F.filter(F.slice(H.anchors(html), 1, V.LINK_SCAN), lambda a: H.is_content_link(a["text"]))
+    links = F.filter(F.slice(H.anchors(H.canonical(html)), 1, V.LINK_SCAN), lambda a: H.is_content_link(a["text"]))
     return F.transform(
         F.slice(links, 1, max_results),
         lambda a: F.struct(a["text"].alias("title"), F.coalesce(a["href"], F.lit("")).alias("href"), a["text"].alias("text")),
@@ -80,7 +81,7 @@ def top_results(pages: DataFrame, max_results: int = V.RESULTS_PER_DISEASE, key:
 def titled_results(pages: DataFrame, max_results: int = V.RESULTS_PER_DISEASE, key: str = "page_id",
                    html: str = "html") -> DataFrame:
     """Result items with their title link, a numbered title where there is none, and their whole text."""
-    items = F.slice(H.select_all(html, V.RESULT_SELECTORS[0]), 1, max_results)
+    items = F.slice(H.select_all(H.canonical(html), V.RESULT_SELECTORS[0]), 1, max_results)
     rows = pages.select(key, F.posexplode(items).alias("pos", "_item"))
     heads = F.try_element_at(H.select_all("_item", f"{V.RESULT_TITLE_SELECTOR} a"), F.lit(1))
     numbered = F.concat(F.lit("Result "), (F.col("pos") + 1).cast("string"))
@@ -106,7 +107,7 @@ def pdf_candidates(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 def search_page_pdfs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """The PDF button of each result on a search page: link ``pos`` belongs to result ``pos``."""
-    links = F.flatten(F.transform(H.select_all(html, V.RESULT_BUTTON_SELECTOR), H.anchors))
+    links = F.flatten(F.transform(H.select_all(H.canonical(html), V.RESULT_BUTTON_SELECTOR), H.anchors))
     rows = pages.select(key, F.posexplode(links).alias("pos", "_a")).where(F.col("_a.href").isNotNull())
     return rows.select(key, "pos", F.col("_a.href").alias("href"), H.resolve_url("_a.href", variant="detail").alias("url"))
 
@@ -141,15 +142,16 @@ def resolve_details(links: DataFrame, details: DataFrame, on: tuple[str, ...] =
     )
 
 
-def crawl_results(diseases: DataFrame, details: DataFrame, searches: DataFrame | None = None) -> DataFrame:
+def crawl_results(diseases: DataFrame, details: DataFrame, searches: DataFrame | None = None,
+                  max_results: int = V.RESULTS_PER_DISEASE) -> DataFrame:
     """One record per disease: result count, whether the search had results, details and error.
 
-    Details are cut to the first results per disease before they are collected, so a
+    Details are cut to the first ``max_results`` per disease before they are collected, so a
     record's list never holds more than that many entries. ``searches`` optionally holds
     disease_id, has_results and error of the search itself.
     """
     entry = F.struct("pos", "url", "title", "disease", "txt_file", "pdf_file")
-    kept = first_results(details).withColumn("txt_file", article_file("disease", "title"))
+    kept = first_results(details, n=max_results).withColumn("txt_file", article_file("disease", "title"))
     per = kept.groupBy("disease_id").agg(
         F.count(F.lit(1)).alias("result_count"), F.array_sort(F.collect_list(entry)).alias("details")
     )

@@ -49,23 +49,16 @@ def _bucket(position: str, width: int) -> Column:
     return F.col(position) - F.pmod(F.col(position), F.lit(width))
 
 
-def is_first(df: DataFrame, key: str, order: str, others: Column | None = None, salts: int = 1024) -> DataFrame:
+def is_first(df: DataFrame, key: str, order: str, others: Column | None = None) -> DataFrame:
     """Add ``is_first``: whether a row has the lowest ``order`` (an integer, unique within the key) of its key.
 
-    A key is cut into ``salts`` groups by a hash of the order, and the lowest row of each
-    group then meets the others of its key, at most ``salts`` rows. All other rows stay
-    groups of their own, so a key with very many rows is nowhere gathered. With
-    ``others``, rows that are not first stay only where it holds, and go before the second
-    shuffle.
+    The lowest order of each key comes from narrow rows, folded in every task before they
+    move; a key with very many rows is nowhere gathered, and the join leaves its rows to be
+    split. With ``others``, rows that are not first stay only where it holds.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    in_group = Window.partitionBy(key, "_salt").orderBy(order)
-    lowest = salted.withColumn("_low", F.row_number().over(in_group) == 1)
-    if others is not None:
-        lowest = lowest.where(F.col("_low") | others)
-    alone = F.when(~F.col("_low"), F.col(order))
-    in_key = Window.partitionBy(key, alone).orderBy(order)
-    out = lowest.withColumn("is_first", F.col("_low") & (F.row_number().over(in_key) == 1)).drop("_salt", "_low")
+    lowest = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_lowest"))
+    joined = df.join(lowest, F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_lowest")), "left")
+    out = joined.withColumn("is_first", F.col("_lowest").isNotNull()).drop("_key", "_lowest")
     return out if others is None else out.where(F.col("is_first") | others)
 
 

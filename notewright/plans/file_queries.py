@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notewright.functions import phenotypes as H
 from notewright.operators import inference as I
 from notewright.operators import pages as P
-from notewright.plans.inference_queries import annotate
+from notewright.plans.inference_queries import annotate, gist
 from notewright.plans.page_queries import RESULTS, details
 from notewright.plans.registry import query
 from notewright.plans.views import Inputs
@@ -120,12 +120,9 @@ def l04(t: Inputs):
     return out.select("index", "response", "attempts")
 
 
-@query("l06_rejected_answers", """select doc_id as "index", case when length(text) % 7 <> 0 then concat(cast(length(text) as varchar), ':', substring(text, 1, 20)) end as response,
+@query("l06_rejected_answers", """select doc_id as "index", case when length(text) % 7 <> 0 then concat(cast(length(text) as varchar), ':', md5(text)) end as response,
   case when length(text) % 7 = 0 then 'rejected answer' end as error from documents""")
 def l06(t: Inputs):
-    def gist(client: int, text: str) -> str:
-        return f"{len(text)}:{text[:20]}"
-
     def unusable(answer: str) -> bool:
         return int(answer.split(":", 1)[0]) % 7 == 0
 

@@ -120,7 +120,7 @@ def f10(t: Inputs):
 @query("f12_minimum_length", f"select page_id, {over(first_text(H1), 5)} as title, {over(first_text(ABSTRACT_DIV), 50)} as abstract from v_pages_full")
 def f12(t: Inputs):
     return t("v_pages_full").select(
-        "page_id", H.inner_text(H.select_first("html", "h1")).alias("a"), H.inner_text(H.select_first("html", ".abstract")).alias("b")
+        "page_id", H.inner_text(H.select_first(H.canonical("html"), "h1")).alias("a"), H.inner_text(H.select_first(H.canonical("html"), ".abstract")).alias("b")
     ).select("page_id", longer("a", V.LENGTHS["title"]).alias("title"), longer("b", V.LENGTHS["abstract"]).alias("abstract"))
 
 
@@ -179,7 +179,7 @@ def c06(t: Inputs):
 
 @query("f11_content_links", f"""select page_id, z.href as href, z.text as text from (select page_id, unnest(list_filter({sql_anchors('html')}[1:50], lambda a: length(a.text) between 10 and 200)) as z from pages) y""")
 def f11(t: Inputs):
-    links = F.filter(F.slice(H.anchors("html"), 1, V.LINK_SCAN), lambda a: H.is_content_link(a["text"]))
+    links = F.filter(F.slice(H.anchors(H.canonical("html")), 1, V.LINK_SCAN), lambda a: H.is_content_link(a["text"]))
     return t("pages").select("page_id", F.explode(links).alias("a")).select("page_id", "a.href", "a.text")
 
 
@@ -222,7 +222,7 @@ VARIANTS = ("results", "results_legacy", "direct", "page", "detail", "detail_leg
 
 @query("c08_resolved_urls", f"with {ALL_LINKS} select page_id, a.href as href, {', '.join(resolved('a.href', v) + f' as {v}' for v in VARIANTS)} from a where a.href is not null")
 def c08(t: Inputs):
-    links = t("v_pages_full").select("page_id", "url", F.explode(H.anchors("html")).alias("a")).where(F.col("a.href").isNotNull())
+    links = t("v_pages_full").select("page_id", "url", F.explode(H.anchors(H.canonical("html"))).alias("a")).where(F.col("a.href").isNotNull())
     return links.select("page_id", "a.href", *[H.resolve_url("a.href", "url", v).alias(v) for v in VARIANTS])
 
 
@@ -305,7 +305,7 @@ def w03(t: Inputs):
 
 @query("w04_result_positions", f"""select page_id, z[1] as pos, z[2].href as href from (select page_id, unnest(list_zip(range(len(a)), a)) as z from (select page_id, {sql_anchors('html')} as a from pages) x) y""")
 def w04(t: Inputs):
-    rows = t("pages").select("page_id", F.posexplode(H.anchors("html")).alias("pos", "a"))
+    rows = t("pages").select("page_id", F.posexplode(H.anchors(H.canonical("html"))).alias("pos", "a"))
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "a.href")
 
 

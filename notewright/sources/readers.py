@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +41,30 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType = SA
 def read_sheets(spark: SparkSession, path: str, columns: dict[str, str] = V.NOTE_COLUMNS) -> DataFrame:
     """Note extracts stored per sheet under ``sheet=<name>/``, with short column names.
 
-    Each extract holds the workbook's columns and ``row_no``.
+    Each extract holds ``row_no`` and the workbook's columns, of which a sheet may lack some (null) and each sheet may
+    have its own types: all come as text, whole numbers without a fraction, missing numbers as null.
     """
-    raw = spark.read.option("basePath", path).parquet(path)
-    have = set(raw.columns)
-    picked = [F.col(f"`{c}`").alias(n) if c in have else F.lit(None).cast("string").alias(n) for n, c in columns.items()]
-    return raw.select("sheet", "row_no", *picked)
+    names = [r["sheet"] for r in spark.read.option("basePath", path).parquet(path).select("sheet").distinct().collect()]  # one per department
+    out = None
+    for name in sorted(names):
+        raw = spark.read.option("basePath", path).parquet(path).where(F.col("sheet") == name) if len(names) == 1 else _one_sheet(spark, path, name)
+        types = dict(raw.dtypes)
+        picked = [_as_text(F.col(f"`{c}`"), types[c]).alias(n) if c in types else F.lit(None).cast("string").alias(n) for n, c in columns.items()]
+        rows = raw.select(F.lit(name).alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), *picked)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _one_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A sheet's own files with their own columns."""
+    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/sheet={name}")
+
+
+def _as_text(c: Column, kind: str) -> Column:
+    if kind not in ("double", "float"):
+        return c.cast("string")
+    known = F.when(~F.isnan(c), c)
+    return F.when(known == F.floor(known), known.cast("bigint").cast("string")).otherwise(known.cast("string"))
 
 
 def union_sheets(sheets: dict[str, DataFrame]) -> DataFrame:
@@ -139,3 +157,9 @@ def only_parts(df: DataFrame, parts: tuple[int, ...] = V.PARTS, column: str = "p
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, website, disease_key, file, text)`` of written articles."""
+    schema = "disease_key string, file string, text string, part int, website int"
+    return spark.read.schema(schema).parquet(path).select("part", "website", "disease_key", "file", "text")

@@ -62,6 +62,9 @@ def write_errors(errors: DataFrame, path: str) -> bool:
 
 
 def write_articles(files: DataFrame, path: str, text: Column | str = "text") -> None:
-    """Article texts under ``part=/website=/disease_key=``, one line-separated record per article."""
-    out = files.select("part", "website", "disease_key", col(text).alias("value"))
-    out.write.mode("overwrite").partitionBy("part", "website", "disease_key").text(path)
+    """Article texts under ``part=/website=`` as Parquet: one row (disease_key, file, text) per article.
+
+    Texts hold line breaks, so a row keeps each article whole and under its file's name; ``read_articles`` reads them.
+    """
+    out = files.select("part", "website", "disease_key", "file", col(text).alias("text"))
+    out.write.mode("overwrite").partitionBy("part", "website").parquet(path)

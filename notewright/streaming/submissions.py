@@ -41,8 +41,13 @@ def write_batch(log_path: str, after: Callable[[DataFrame, int], None] | None =
 
 
 def accept_stream(stream: DataFrame, log_path: str, checkpoint: str, key: str = "index", arrival: str = "seq",
-                  after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Start the stream into the log; it stops when the input present at its start is used up."""
+                  after: Callable[[DataFrame, int], None] | None = None, logged: DataFrame | None = None) -> StreamingQuery:
+    """Start the stream into the log; it stops when the input present at its start is used up.
+
+    ``logged`` holds submissions from before the stream's first start; their ids are not accepted again.
+    """
+    if logged is not None:
+        stream = stream.join(logged.select(key).distinct(), key, "left_anti")
     return (
         newly_accepted(stream, key, arrival).writeStream.outputMode("update")
         .foreachBatch(write_batch(log_path, after))

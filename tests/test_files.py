@@ -39,6 +39,17 @@ def test_sheets(spark, tmp_path):
     assert [r["index"] for r in got] == list(range(5))
 
 
+def test_sheets_with_columns_and_types_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    spark.createDataFrame([(0, "a", 12.0), (1, "b", float("nan"))], "row_no bigint, `病历内容` string, `患者ID` double").write.parquet(f"{path}/sheet=产科")
+    spark.createDataFrame([(0, "c", "7x", "肺炎")], "row_no int, `病历内容` string, `患者ID` string, `诊断` string").write.parquet(f"{path}/sheet=儿科")
+    got = {(r.sheet, r.row_no): (r.content, r.patient, r.diagnosis) for r in R.read_sheets(spark, path).collect()}
+    assert got == {("产科", 0): ("a", "12", None), ("产科", 1): ("b", None, None), ("儿科", 0): ("c", "7x", "肺炎")}
+    spark.createDataFrame([(0, "d")], "row_no bigint, `病历内容` string").write.parquet(f"{path}/sheet=别科")
+    with pytest.raises(Exception, match="unknown department"):
+        N.standardise_notes(R.read_sheets(spark, path)).collect()
+
+
 def test_terms(spark, tmp_path, capsys):
     p = write(tmp_path / "t.csv", "HPO编号,中文翻译\nHP:1,发热\n2,\n")
     assert [(r["hpo_id"], r["zh"]) for r in R.read_terms(spark, p).orderBy("row_no").collect()] == [("HP:1", "发热"), ("2", None)]

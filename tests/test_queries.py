@@ -6,6 +6,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from notewright.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -17,16 +18,16 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    rows, wrong = differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
+    rows, wrong = differences(QUERIES[name](spark, FOLDER), con, ORACLES[name])
     assert not wrong, "\n".join(wrong)
     if name != "c09_best_pdf":
         assert rows > 0

@@ -47,3 +47,11 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     write(rows, 0)
     write(rows, 0)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_ids_logged_before_the_start_are_skipped(spark, tmp_path):
+    spark.createDataFrame([(7, 1, "new"), (8, 2, "new"), (8, 3, "late")], SCHEMA.replace("bigint", "bigint")).write.parquet(str(tmp_path / "in"))
+    before = spark.createDataFrame([(7,)], "index bigint")
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    S.accept_stream(stream, str(tmp_path / "log"), str(tmp_path / "state"), logged=before).awaitTermination()
+    assert [(r["index"], r["seq"]) for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "log")).collect()] == [(8, 2)]
