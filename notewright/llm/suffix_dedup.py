@@ -27,7 +27,7 @@ from notewright.llm.common import release, written
 @dataclass(frozen=True)
 class Settings:
     length: int = 50  # bytes of a string that counts as repeated
-    gram: int = 8  # bytes of an anchor
+    gram: int = 16  # bytes of an anchor
     shard_bytes: int = 6 << 20  # distinct stretches sorted together, about
     queue_bytes: int = 64 << 20  # of a shard's queues in memory
 
@@ -203,29 +203,45 @@ def equal_windows(stretches: list[bytes], length: int, room: int) -> tuple[np.nd
 # ---- anchors and stretches --------------------------------------------------------------------------------------
 
 
+BASE = 0x9E3779B97F4A7C15
+
+
 def anchors(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: (first string's place, number of strings, anchor's hash)."""
+    """Runs of strings with one anchor: (first string's place, number of strings, anchor's hash).
+
+    A run is usually the strings around one place; where a gram repeats at short distance it is longer.
+    """
     n = len(data) - s.length + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    h = np.zeros(len(b) - s.gram + 1, dtype=np.uint64)
-    for i in range(s.gram):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + b[i : i + len(h)]
+    h, span = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1), 1
+    # hashes of ever longer grams, put together of two shorter ones
+    while span < s.gram:
+        step = min(span, s.gram - span)
+        h = h[: len(h) - step] * np.uint64(pow(BASE, step, 1 << 64)) + (h[step:] if step == span else h[step:])
+        span += step
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    # least hash of each string's grams, by doubling; ties go to the leftmost
-    span, least = 1, (h & ~np.uint64(0))
-    where = np.arange(len(h))
-    target = s.length - s.gram + 1
+    least, span, target = h, 1, s.length - s.gram + 1
     while span < target:
         step = min(span, target - span)
-        a, c = least[:-step], least[step:]
-        right = c < a
-        least, where = np.where(right, c, a), np.where(right, where[step:], where[:-step])
+        least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-    return cuts, np.diff(np.append(cuts, n)), h[where[cuts]].view(np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    return cuts, np.diff(np.append(cuts, n)), least[cuts].view(np.int64)
+
+
+def _batches(pieces, schema: pa.Schema, most: int = 500_000):
+    """Record batches of lists of columns, joined to larger ones."""
+    held, n = [], 0
+    for columns in pieces:
+        held.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        n += held[-1].num_rows
+        if n >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
@@ -236,11 +252,16 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data"))
 
     def placed(batches):
-        for b in batches:
-            for doc, data in zip(b["doc"].to_pylist(), b["data"]):
-                first, _, key = anchors(data.as_py(), s)
-                if len(key):
-                    yield pa.RecordBatch.from_pydict({"doc": pa.array(np.full(len(key), doc, np.int64)), "first": pa.array(first.astype(np.int32)), "key": pa.array(key)})
+        schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64())])
+
+        def pieces():
+            for b in batches:
+                for doc, data in zip(b["doc"].to_pylist(), b["data"]):
+                    first, _, key = anchors(data.as_py(), s)
+                    if len(key):
+                        yield [pa.array(np.full(len(key), doc, np.int64)), pa.array(first.astype(np.int32)), pa.array(key)]
+
+        yield from _batches(pieces(), schema)
 
     runs = docs.mapInArrow(placed, "doc long, first int, key long")
     shared = runs.groupBy("key").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low <> _high").select("key")
@@ -249,13 +270,19 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     release(df.sparkSession)
 
     def cut(batches):
-        for b in batches:
-            for doc, data, firsts in zip(b["doc"].to_pylist(), b["data"], b["firsts"]):
-                data, firsts = data.as_py(), set(firsts.as_py())
-                found = [x for x in zip(*(a.tolist() for a in anchors(data, s))) if x[0] in firsts]
-                yield pa.RecordBatch.from_pydict({
-                    "doc": pa.array([doc] * len(found), pa.int64()), "first": pa.array([x[0] for x in found], pa.int32()), "key": pa.array([x[2] for x in found], pa.int64()),
-                    "stretch": pa.array([data[f : f + n + s.length - 1] for f, n, _ in found], pa.binary())})
+        schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("stretch", pa.binary())])
+
+        def pieces():
+            for b in batches:
+                for doc, data, firsts in zip(b["doc"].to_pylist(), b["data"], b["firsts"]):
+                    data = data.as_py()
+                    first, count, key = anchors(data, s)
+                    keep = np.isin(first, firsts.values.to_numpy())
+                    first, ends = first[keep], first[keep] + count[keep] + s.length - 1
+                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(first.astype(np.int32)), pa.array(key[keep]),
+                           pa.array([data[f:e] for f, e in zip(first.tolist(), ends.tolist())], pa.binary())]
+
+        yield from _batches(pieces(), schema)
 
     stretches = docs.join(flagged, "doc").mapInArrow(cut, "doc long, first int, key long, stretch binary")
     stretches = stretches.select("doc", "first", "key", "stretch", F.struct(F.xxhash64("stretch").alias("p"), F.xxhash64(F.lit(1), "stretch").alias("q")).alias("name"))
