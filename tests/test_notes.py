@@ -76,3 +76,8 @@ def test_counts(spark):
     assert sorted(map(tuple, N.count_by(df, "department").collect())) == [("a", 2), ("b", 1)]
     assert N.from_row(spark.range(1, 6).withColumnRenamed("id", "row_no"), 2).count() == 3
     assert N.unlabelled(df.withColumn("label", F.when(F.col("department") == "b", "x"))).count() == 2
+
+
+def test_missing_numbers(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (3.5,)], "x double")
+    assert [r[0] for r in df.select(N.scenario("x")).collect()] == [N.V.SCENARIO_PREFIX, N.V.SCENARIO_PREFIX, N.V.SCENARIO_PREFIX + "3.5"]

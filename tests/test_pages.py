@@ -174,3 +174,11 @@ def test_an_address_most_pages_link_to(spark):
     found = spark.range(3000).select(F.col("id").alias("page_id"), F.lit(0).alias("pos"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("url"))
     payloads = spark.createDataFrame([("hot", b"%PDF", None), ("3", b"%PDF", None), ("6", b"no", "text/html")], "url string, content binary, content_type string")
     assert P.best_pdf(found, payloads).count() == 2001
+
+
+def test_crawl_results_keep_as_many_as_asked_for(spark):
+    diseases = spark.createDataFrame([(3, "x")], "disease_id bigint, disease string")
+    details = spark.createDataFrame([(3, i, "x", f"u{i}", f"t{i}", None) for i in range(5)],
+                                    "disease_id bigint, pos int, disease string, url string, title string, pdf_file string")
+    for n in (2, 5):
+        assert len(P.crawl_results(diseases, details, max_results=n).first().details) == n
