@@ -50,23 +50,36 @@ def body_layout(cells: DataFrame) -> DataFrame:
     )
 
 
-def body_cells(cells: DataFrame) -> DataFrame:
-    """Cells between the first body row and the sentinel, at most up to row 99.
+def without_sentinel(cells: DataFrame) -> DataFrame:
+    """``(doc, table)`` of the documents whose body has no sentinel row, for a check before their rows are used."""
+    return body_layout(cells).where(F.col("_end").isNull()).select("doc", "table")
+
+
+def body_cells(cells: DataFrame, legacy: bool = False) -> DataFrame:
+    """Cells between the first body row and the sentinel, or the table's end where there is none (``without_sentinel``).
+
+    With ``legacy`` rows after the 99th are left out, as in older corpora.
 
     Documents join on document, table and a salt of the row, so that a document with a
     very long table is not handled by one task.
     """
     joined = salted_join(cells, body_layout(cells), ["doc", "table"], ["row"])
-    stop = F.least(F.coalesce("_end", F.lit(V.LAST_BODY_ROW + 1)), F.lit(V.LAST_BODY_ROW + 1))
-    return joined.where((F.col("row") >= F.col("_start")) & (F.col("row") < stop)).drop("_start", "_end")
+    inside = (F.col("row") >= F.col("_start")) & F.coalesce(F.col("row") < F.col("_end"), F.lit(True))
+    if legacy:
+        inside &= F.col("row") <= V.LAST_BODY_ROW
+    return joined.where(inside).drop("_start", "_end")
 
 
-def rows_before(cells: DataFrame, sentinel: str = V.RESULT_SENTINEL) -> DataFrame:
-    """Cells of the rows above each document's first sentinel row."""
+def rows_before(cells: DataFrame, sentinel: str = V.RESULT_SENTINEL, legacy: bool = False) -> DataFrame:
+    """Cells of the rows above each document's first sentinel row, all rows where there is none.
+
+    With ``legacy`` a document without a sentinel ends after row 99.
+    """
     ends = (F.col("col") == 0) & F.col("cell").startswith(sentinel)
     stops = cells.groupBy("doc").agg(F.min(F.when(ends, F.col("row"))).alias("_end"))
     joined = salted_join(cells, stops, ["doc"], ["row"])
-    return joined.where(F.col("row") < F.coalesce("_end", F.lit(V.LAST_BODY_ROW + 1))).drop("_end")
+    none = F.col("row") <= V.LAST_BODY_ROW if legacy else F.lit(True)
+    return joined.where(F.coalesce(F.col("row") < F.col("_end"), none)).drop("_end")
 
 
 def collapse_repeats(cells: DataFrame, row_key: tuple[str, ...] = ("doc", "row")) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from notewright.functions import phenotypes as H
+from notewright import fixed_values as V
 from notewright.operators import reports as R
 
 
@@ -20,7 +21,7 @@ def test_layouts_and_sentinel(spark):
     df = cells(spark, tables)
     assert dict(map(tuple, R.description_cells(df).collect())) == {"long": "描述", "short": "短", "open": "描述", "endless": "描述"}
     got = {}
-    for r in R.report_rows(R.body_cells(df)).orderBy("doc", "row").collect():
+    for r in R.report_rows(R.body_cells(df, legacy=True)).orderBy("doc", "row").collect():
         got.setdefault(r["doc"], []).append(r["fields"])
     assert got["long"] == [["long", "a", "m", "b", "m"], ["long", "p", "q"]]
     assert got["short"] == [["short", "x", "y"]]
@@ -86,3 +87,13 @@ def test_answers(spark):
     )
     got = [[tuple(x) for x in r[0]] for r in df.select(H.parse_annotations("r")).collect()]
     assert got == [[("HP:1", "a", "b", "c"), ("HP:2", None, None, None)], [], [], []]
+
+
+def test_long_tables_are_read_to_the_sentinel(spark):
+    rows = [("a", 1, r, 0, f"r{r}") for r in range(150)] + [("b", 1, r, 0, V.RESULT_SENTINEL if r == 120 else f"r{r}") for r in range(150)]
+    cells = spark.createDataFrame(rows, "doc string, table int, row int, col int, cell string")
+    count = lambda df: {r.doc: r["count"] for r in df.groupBy("doc").count().collect()}
+    assert count(R.rows_before(cells)) == {"a": 150, "b": 120}
+    assert count(R.rows_before(cells, legacy=True)) == {"a": 100, "b": 120}
+    assert count(R.body_cells(cells))["a"] > count(R.body_cells(cells, legacy=True))["a"]
+    assert {r.doc for r in R.without_sentinel(cells).collect()} >= {"a"}
