@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from notewright.llm.common import release, written
 class Settings:
     length: int = 50  # bytes of a string that counts as repeated
     gram: int = 16  # bytes of an anchor
-    shard_bytes: int = 6 << 20  # distinct stretches sorted together, about
+    shard_bytes: int = 3 << 20  # distinct stretches sorted together, about
     queue_bytes: int = 64 << 20  # of a shard's queues in memory
 
 
@@ -181,6 +182,8 @@ def suffix_order(s: np.ndarray, letters: int, depth: int, room: int) -> np.ndarr
 
 def equal_windows(stretches: list[bytes], length: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretch, place, group) of every string of ``length`` bytes of the stretches; equal strings share a group."""
+    if not stretches:
+        return (np.empty(0, np.int64),) * 3
     sizes = np.array([len(x) for x in stretches], dtype=np.int64)
     plain = np.frombuffer(b"\0".join(stretches) + b"\0" * 9, dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
@@ -297,19 +300,26 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         table = table.combine_chunks()
         names = table["name"].combine_chunks()
         least = table["least"].to_numpy()
-        owner, place, group = equal_windows(table["stretch"].to_pylist(), s.length, s.queue_bytes)
+        # an anchor with one stretch: all its strings are those of the least document
+        _, of, count = np.unique(table["key"].to_numpy(), return_inverse=True, return_counts=True)
+        alone, several = np.flatnonzero(count[of] == 1), np.flatnonzero(count[of] > 1)
+        sizes = pc.binary_length(table["stretch"]).to_numpy()
+        owner, place, group = equal_windows(table["stretch"].take(pa.array(several)).to_pylist(), s.length, s.queue_bytes)
+        owner = several[owner]
         lowest = np.minimum.reduceat(least[owner], np.flatnonzero(np.diff(group, prepend=-1))) if len(group) else least[:0]
         # back in the order of stretches; runs of strings with the same least document
         back = np.lexsort((place, owner))
         owner, place, low = owner[back], place[back], lowest[group[back]]
         cut = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(low) != 0)]) if len(owner) else np.zeros(0, bool)
         at = np.flatnonzero(cut)
-        count = np.diff(np.append(at, len(owner)))
-        return pa.table({"p": names.field("p").take(pa.array(owner[at])), "q": names.field("q").take(pa.array(owner[at])),
-                         "skip": place[at].astype(np.int32), "count": count.astype(np.int32), "low": low[at]})
+        rows = np.concatenate([owner[at], alone])
+        skip = np.concatenate([place[at], np.zeros(len(alone), np.int64)]).astype(np.int32)
+        count = np.concatenate([np.diff(np.append(at, len(owner))), sizes[alone] - s.length + 1]).astype(np.int32)
+        low = np.concatenate([low[at], least[alone]])
+        return pa.table({"p": names.field("p").take(pa.array(rows)), "q": names.field("q").take(pa.array(rows)), "skip": skip, "count": count, "low": low})
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    runs_of = distinct.select(shard, "stretch", "least", "name").groupBy("shard").applyInArrow(judged, "p long, q long, skip int, count int, low long")
+    runs_of = distinct.select(shard, "key", "stretch", "least", "name").groupBy("shard").applyInArrow(judged, "p long, q long, skip int, count int, low long")
     told = runs_of.groupBy("p", "q").agg(F.collect_list(F.struct("skip", "count", "low")).alias("runs"))
     covered = stretches.select("doc", "first", "name").join(told, (F.col("name.p") == F.col("p")) & (F.col("name.q") == F.col("q")))
     covered = covered.select("doc", "first", F.inline("runs")).where("low < doc").select(
