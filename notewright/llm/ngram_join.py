@@ -231,12 +231,14 @@ def _links(spark, rows: DataFrame, tokens: DataFrame, classes: DataFrame, s: Set
     release(spark)
     # 3. all tokens of the candidates
     texts = rows.join(reps.select(F.col("rep").alias("id"), "set"), "id")
-    full = shingles(texts, F.col("text"), s).where((F.xxhash64("_tokens") == F.col("set.p")) & (F.xxhash64(F.lit(1), "_tokens") == F.col("set.q")))
-    full = written(full.dropDuplicates(["id"]).select("id", F.size("_tokens").alias("n"), "_tokens"), "shingle-tokens")
+    # compared only after it was written: as a condition of the join it would move tokens in the place of texts
+    full = written(shingles(texts, F.col("text"), s).select("id", "set", F.size("_tokens").alias("n"), "_tokens"), "shingle-tokens")
+    full = full.where((F.xxhash64("_tokens") == F.col("set.p")) & (F.xxhash64(F.lit(1), "_tokens") == F.col("set.q")))
     release(spark)
+    # rows that repeat id and text count twice in df, which only prunes less; collect_set takes them together
     each = full.select("id", "n", F.explode("_tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = each.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    kept = each.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
     ordered = written(kept.where(F.size("shared") >= needed(F.col("n"), s)), "shingle-order")
     release(spark)
     # 4. signatures, and clusters of what they connect
