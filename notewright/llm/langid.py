@@ -32,7 +32,7 @@ class Settings:
     rate: float = 0.5
     kept_back: int = 4  # every so many-th sampled row calibrates
     rejected_share: float = 0.002  # share of rightly predicted rows that the threshold may reject
-    highest_threshold: float = 0.6
+    highest_threshold: float = 0.35  # unless that is no more than chance; short and mixed texts stay
 
 
 def has_letter(text: str | None) -> bool:
@@ -138,7 +138,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings
     p = softmax(logits / model.temperature)
     scores = p.max(axis=1)[p.argmax(axis=1) == right]
     limit = float(np.quantile(scores, s.rejected_share)) if len(scores) else 0.0
-    model.threshold = min(max(limit, 1.2 / k), s.highest_threshold)
+    chance = 1.2 / k
+    model.threshold = max(chance, min(limit, s.highest_threshold))
     return model
 
 
