@@ -230,7 +230,7 @@ def _links(spark, rows: DataFrame, tokens: DataFrame, classes: DataFrame, s: Set
     reps = written(reps.select("rep", "n", "set"), "shingle-candidates")
     release(spark)
     # 3. all tokens of the candidates
-    texts = rows.join(reps.select(F.col("rep").alias("id"), "set"), "id")
+    texts = rows.join(reps.select(F.col("rep").alias("id"), "set").hint("merge"), "id")  # the same plan at any size
     # compared only after it was written: as a condition of the join it would move tokens in the place of texts
     full = written(shingles(texts, F.col("text"), s).select("id", "set", F.size("_tokens").alias("n"), "_tokens"), "shingle-tokens")
     full = full.where((F.xxhash64("_tokens") == F.col("set.p")) & (F.xxhash64(F.lit(1), "_tokens") == F.col("set.q")))
