@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from notewright.llm.common import worker_cache
 
-PIECE_CACHE = 250_000  # pieces between blanks whose tokens a worker keeps at once
+PIECE_CACHE = 150_000  # pieces between blanks whose tokens a worker keeps at once
 CACHED_LENGTH = 48
 _UNUSUAL = re.compile(r"[^\x00-ɏ]")
 
