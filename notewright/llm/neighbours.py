@@ -1,11 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
-Random projections deal the vectors into small buckets, whose members are compared with each other: the first
-neighbour lists. Rounds of neighbours-of-neighbours joins refine them: around each vector whose list changed, its
-neighbours and a bounded number of those that list it are compared. Pairs that reach the threshold give components.
-A list that is full of such pairs may lack more of them, so it is enlarged to its whole component: blocks of a
-component are compared with each other, or counted at once where their radii leave no doubt. A bounded, random
-choice of vectors is then compared with all; if too few of their links were found, more rounds follow.
+Equal vectors are folded into one. Random projections deal the vectors into small buckets, whose members are compared
+with each other: the first neighbour lists. Rounds of neighbours-of-neighbours joins refine them: around each vector
+whose list changed, its neighbours and a bounded number of those that list it are compared. Pairs that reach the
+threshold give components; every comparison puts out a spanning forest of those it saw, whether or not the lists had
+room for them. A vector has one list within its component and one of vectors outside it, so that links between
+components are looked for however many a component holds. Attempts with new projections follow until one joins no
+more components and a bounded, random choice of vectors, compared with all, has its links within its components. Links are then counted within each component: its blocks are compared with each
+other, or counted at once where their radii leave no doubt.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def best_pairs(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each vector the k closest others that are closer than its floor: (id, other, similarity)."""
+def best_pairs(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector the k closest others (of the allowed pairs) that are closer than its floor: (id, other, similarity)."""
     sims = x @ x.T
     sims[ids[:, None] == ids[None, :]] = -2
+    if allowed is not None:
+        sims[~allowed] = -2
     k = min(k, len(ids))
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(len(ids)), k)
@@ -54,25 +58,52 @@ def best_pairs(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tup
     return ids[rows[keep]], ids[top.ravel()[keep]], values[keep]
 
 
-PAIRS = "id long, other long, sim double"
+def forest(hits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with this symmetric matrix."""
+    left, out = hits.any(axis=1), []
+    for root in np.flatnonzero(left).tolist():
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(hits[i] & left).tolist()
+            left[new] = False
+            out += [(i, j) for j in new]
+            todo += new
+    return out
 
 
-def _joined(groups: DataFrame, k: int) -> DataFrame:
-    """Best pairs within each group of (g, id, v, floor) rows."""
+PAIRS = "id long, other long, sim double, same boolean, edge boolean"
+
+
+def _joined(groups: DataFrame, s: Settings) -> DataFrame:
+    """Best pairs inside and outside of components, and edges, within each group of (g, id, v, component, inside, outside) rows."""
 
     def join(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         _, first = np.unique(ids, return_index=True)
-        table = table.take(pa.array(first))
-        a, b, s = best_pairs(ids[first], matrix(table["v"]), table["floor"].to_numpy(), k)
-        return pa.table({"id": a, "other": b, "sim": s})
+        table, ids = table.take(pa.array(first)), ids[first]
+        x, c = matrix(table["v"]), table["component"].to_numpy()
+        same = c[:, None] == c[None, :]
+        near = best_pairs(ids, x, table["inside"].to_numpy(), s.neighbours, same)
+        far = best_pairs(ids, x, table["outside"].to_numpy(), s.neighbours, ~same)
+        tree = np.array(forest((x @ x.T >= s.threshold) & ~same), dtype=np.int64).reshape(-1, 2)
+        sizes = [len(near[0]), len(far[0]), len(tree)]
+        return pa.table({
+            "id": np.concatenate([near[0], far[0], ids[tree[:, 0]]]), "other": np.concatenate([near[1], far[1], ids[tree[:, 1]]]),
+            "sim": np.concatenate([near[2], far[2], np.ones(len(tree))]),
+            "same": np.repeat([True, False, False], sizes), "edge": np.repeat([False, False, True], sizes)})
 
     return groups.groupBy("g").applyInArrow(join, PAIRS)
 
 
+def _bits(count: int, s: Settings) -> int:
+    return max(1, min(30, math.ceil(math.log2(max(count, 2) / (s.bucket / 4)))))
+
+
 def _buckets(vectors: DataFrame, dim: int, count: int, seed: int, s: Settings) -> DataFrame:
-    """(g, id, v, floor): every vector in one bucket of each table; large buckets are divided at random."""
-    bits = max(1, min(30, math.ceil(math.log2(max(count, 2) / (s.bucket / 4)))))
+    """(g, id, v, component, inside, outside): every vector in one bucket of each table; large buckets are divided at random."""
+    bits = _bits(count, s)
 
     @F.arrow_udf("array<long>")
     def signatures(v: pa.Array) -> pa.Array:
@@ -80,42 +111,60 @@ def _buckets(vectors: DataFrame, dim: int, count: int, seed: int, s: Settings) -
         signs = (matrix(v) @ planes > 0).reshape(len(v), s.tables, bits)
         return pa.array((signs @ (1 << np.arange(bits))).tolist(), pa.list_(pa.int64()))
 
-    dealt = vectors.select("id", "v", F.posexplode(signatures("v")).alias("t", "sig"))
+    dealt = vectors.select("id", "v", "component", F.posexplode(signatures("v")).alias("t", "sig"))
     sizes = dealt.groupBy("t", "sig").count().where(F.col("count") > 1)
     part = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("count") / s.bucket))
-    return dealt.join(sizes, ["t", "sig"]).select(F.struct("t", "sig", part.alias("part")).alias("g"), "id", "v", F.lit(-2.0).alias("floor"))
+    return dealt.join(sizes, ["t", "sig"]).select(F.struct("t", "sig", part.alias("part")).alias("g"), "id", "v", "component", F.lit(-2.0).alias("inside"), F.lit(-2.0).alias("outside"))
 
 
 def _merged(old: DataFrame | None, found: DataFrame, s: Settings) -> DataFrame:
-    """Lists (id, list: array<struct<sim, other>> closest first, changed) of the k closest known ones."""
-    rows = found.select("id", "other", "sim", F.lit(True).alias("new"))
+    """Lists (id, inside, outside: array<struct<sim, other>> closest first, changed) of the k closest known ones in and out of the component."""
+    rows = found.where("not edge").select("id", "other", "sim", "same", F.lit(True).alias("new"))
     if old is not None:
-        rows = rows.unionByName(old.select("id", F.inline("list")).select("id", "other", "sim", F.lit(False).alias("new")))
-    once = rows.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+        rows = rows.unionByName(_listed(old).withColumn("new", F.lit(False)))
+    once = rows.groupBy("id", "other", "same").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     # a vector that many groups compare is cut down in parts first
-    part = once.groupBy("id", F.pmod(F.xxhash64("other"), F.lit(16)).alias("_part")).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("sim", "other", "new")), asc=False), 1, s.neighbours).alias("some"))
-    best = part.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some")), asc=False), 1, s.neighbours).alias("list"))
-    return best.select("id", F.transform("list", lambda x: F.struct(x["sim"].alias("sim"), x["other"].alias("other"))).alias("list"), F.exists("list", lambda x: x["new"]).alias("changed"))
+    some = lambda of: F.slice(F.sort_array(of, asc=False), 1, s.neighbours)
+    part = once.groupBy("id", "same", F.pmod(F.xxhash64("other"), F.lit(16)).alias("_part")).agg(some(F.collect_list(F.struct("sim", "other", "new"))).alias("some"))
+    kinds = [some(F.flatten(F.collect_list(F.when(F.col("same") == same, F.col("some"))))).alias(name) for same, name in ((True, "inside"), (False, "outside"))]
+    best = part.groupBy("id").agg(*kinds)
+    plain = lambda name: F.transform(name, lambda x: F.struct(x["sim"].alias("sim"), x["other"].alias("other"))).alias(name)
+    return best.select("id", plain("inside"), plain("outside"), F.exists(F.concat("inside", "outside"), lambda x: x["new"]).alias("changed"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """The lists' pairs: (id, other, sim, same)."""
+    pairs = [lists.select("id", F.inline(name)).select("id", "other", "sim", F.lit(name == "inside").alias("same")) for name in ("inside", "outside")]
+    return pairs[0].unionByName(pairs[1])
+
+
+def _relabelled(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
+    """The lists divided anew by the components that the vectors have now."""
+    mine, theirs = vectors.select("id", F.col("component").alias("c")), vectors.select(F.col("id").alias("other"), F.col("component").alias("d"))
+    pairs = _listed(lists).join(mine, "id").join(theirs, "other")
+    return _merged(None, pairs.select("id", "other", "sim", (F.col("c") == F.col("d")).alias("same"), F.lit(False).alias("edge")), s)
 
 
 def _around(lists: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
-    """(g, id, v, floor): around each vector with a changed list that isn't full of links, its neighbours and some that list it."""
+    """(g, id, v, component, inside, outside): around each vector with changed lists, its neighbours and some that list it."""
     k = s.neighbours
-    # a list that is full of links needs no closer ones; the component's blocks find the rest
-    last = F.when(F.size("list") >= k, F.element_at("list", -1)["sim"]).otherwise(-2.0)
-    floors = lists.select("id", F.when(last >= s.threshold, 2.0).otherwise(last).alias("floor"))
-    open_ = lists.where("changed").where(~((F.size("list") >= k) & (F.element_at("list", -1)["sim"] >= s.threshold)))
-    forth = open_.select(F.col("id").alias("g"), F.explode(F.transform("list", lambda x: x["other"])).alias("id"))
+    full = lambda name: (F.size(name) >= k) & (F.element_at(name, -1)["sim"] >= s.threshold)
+    # a list that is full of links needs no closer ones: the component's blocks find those inside, and those outside are about to join it
+    floor = lambda name: F.when(full(name), 2.0).when(F.size(name) >= k, F.element_at(name, -1)["sim"]).otherwise(-2.0).alias(name)
+    floors = lists.select("id", floor("inside"), floor("outside"))
+    open_ = lists.where("changed").where(~full("outside"))
+    forth = open_.select(F.col("id").alias("g"), F.explode(F.transform(F.concat("inside", "outside"), lambda x: x["other"])).alias("id"))
     salted = forth.select(F.col("id").alias("g"), F.struct(F.xxhash64("g", "id").alias("h"), F.col("g").alias("id")).alias("x"))
     parts = salted.groupBy("g", F.pmod("x.h", F.lit(16)).alias("_p")).agg(F.slice(F.sort_array(F.collect_list("x")), 1, k).alias("some"))
     back = parts.groupBy("g").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("some")).select("g", F.explode(F.col("some.id")).alias("id"))
     members = forth.unionByName(back).unionByName(open_.select(F.col("id").alias("g"), "id")).distinct()
-    return members.join(vectors, "id").join(floors, "id", "left").select("g", "id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    return members.join(vectors, "id").join(floors, "id", "left").select(
+        "g", "id", "v", "component", F.coalesce("inside", F.lit(-2.0)).alias("inside"), F.coalesce("outside", F.lit(-2.0)).alias("outside"))
 
 
-def count_links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many of y each of x reaches, and the other way round; decided by the blocks' radii where they allow it."""
+def count_links(x: np.ndarray, y: np.ndarray, threshold: float, wx: np.ndarray | None = None, wy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many of y (with their weights) each of x reaches, and the other way round; decided by the blocks' radii where they allow it."""
+    wx, wy = (np.ones(len(z), dtype=np.int64) if w is None else w for z, w in ((x, wx), (y, wy)))
     centres = [z.mean(axis=0) for z in (x, y)]
     if all(np.linalg.norm(c) > 1e-6 for c in centres):
         a, b = (c / np.linalg.norm(c) for c in centres)
@@ -123,15 +172,15 @@ def count_links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
         spread = angle(x @ a).max() + angle(y @ b).max()
         between, limit = angle(a @ b), math.acos(threshold)
         if between + spread < limit - 1e-6:
-            return np.full(len(x), len(y)), np.full(len(y), len(x))
+            return np.full(len(x), wy.sum()), np.full(len(y), wx.sum())
         if between - spread > limit + 1e-6:
             return np.zeros(len(x), int), np.zeros(len(y), int)
     hits = x @ y.T >= threshold
-    return hits.sum(axis=1), hits.sum(axis=0)
+    return hits @ wy, wx @ hits
 
 
 def _component_links(members: DataFrame, s: Settings) -> DataFrame:
-    """(id, n_links) within the components of (id, v, component), a pair of blocks at a time."""
+    """(id, n_links) within the components of (id, v, weight, component), a pair of blocks at a time."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -139,32 +188,40 @@ def _component_links(members: DataFrame, s: Settings) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        ids, b, x = table["id"].to_numpy(), table["b"].to_numpy(), matrix(table["v"])
+        ids, b, w, x = table["id"].to_numpy(), table["b"].to_numpy(), table["weight"].to_numpy(), matrix(table["v"])
         low, high = b == b.min(), b == b.max()
         if b.min() == b.max():
-            n, _ = count_links(x, x, s.threshold)
+            n, _ = count_links(x, x, s.threshold, w, w)
             return pa.table({"id": ids, "n_links": (n - 1).astype(np.int64)})
-        n, m = count_links(x[low], x[high], s.threshold)
+        n, m = count_links(x[low], x[high], s.threshold, w[low], w[high])
         return pa.table({"id": np.concatenate([ids[low], ids[high]]), "n_links": np.concatenate([n, m]).astype(np.int64)})
 
     # a unit of one block alone: its own pairs; of two, the pairs across them
-    found = dealt.select(unit, "id", "b", "v").groupBy("unit").applyInArrow(count, "id long, n_links long")
+    found = dealt.select(unit, "id", "b", "v", "weight").groupBy("unit").applyInArrow(count, "id long, n_links long")
     return found.groupBy("id").agg(F.sum("n_links").cast("long").alias("n_links"))
 
 
-def _true_links(vectors: DataFrame, s: Settings) -> DataFrame:
-    """(id, n): links of a random choice of about ``audited`` vectors, from comparing them with all."""
-    chosen = vectors.orderBy(F.xxhash64(F.lit(77), "id"), "id").limit(s.audited).toArrow()
-    ids, x = chosen["id"].to_numpy(), matrix(chosen["v"]) if len(chosen) else np.zeros((0, 1))
+def audit(vectors: DataFrame, s: Settings) -> float:
+    """Share of the true links of a random choice of about ``audited`` vectors, compared with all, that lie within components."""
+    chosen = vectors.orderBy(F.xxhash64(F.lit(77), "id"), "id").limit(s.audited).select("id", "v", "component").toArrow()
+    if not len(chosen):
+        return 1.0
+    ids, c, x = chosen["id"].to_numpy(), chosen["component"].to_numpy(), matrix(chosen["v"])
 
     def count(batches):
-        total = np.zeros(len(ids), dtype=np.int64)
+        total, found = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                total += ((x @ matrix(b["v"]).T >= s.threshold) & (ids[:, None] != b["id"].to_numpy()[None, :])).sum(axis=1)
-        yield pa.RecordBatch.from_pydict({"id": ids, "n": total})
+                hits = (x @ matrix(b["v"]).T >= s.threshold) & (ids[:, None] != b["id"].to_numpy()[None, :])
+                w = b["weight"].to_numpy()
+                total += hits @ w
+                found += (hits & (c[:, None] == b["component"].to_numpy()[None, :])) @ w
+        yield pa.RecordBatch.from_pydict({"id": ids, "n": total, "found": found})
 
-    return vectors.select("id", "v").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = vectors.select("id", "v", "weight", "component").mapInArrow(count, "id long, n long, found long")
+    each = counted.groupBy("id").agg(F.sum("n").alias("n"), F.sum("found").alias("found")).where("n > 0")
+    over = each.agg(F.sum("found") / F.sum("n")).first()[0]
+    return 1.0 if over is None else over
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", s: Settings = Settings()) -> tuple[DataFrame, float]:
@@ -183,19 +240,32 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         return ids.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")), 1.0
     dim, count = common
     vectors = written(good.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    truth = written(_true_links(vectors, s), "audit")
-    lists, recall = None, 0.0
+    # equal vectors are one with a weight, under their smallest id
+    distinct = written(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "distinct-vectors")
+    count = distinct.count()
+    now, lists, edges, recall, roots = distinct.withColumn("component", F.col("id")), None, None, 0.0, count
     for attempt in range(s.attempts):
-        lists = written(_merged(lists, _joined(_buckets(vectors, dim, count, attempt, s), s.neighbours), s), "neighbours")
+        found = written(_joined(_buckets(now, dim, count, attempt, s), s), "pairs")
+        seen = [found]
+        lists = written(_merged(None if lists is None else _relabelled(lists, now, s), found, s), "neighbours")
         for _ in range(s.rounds):
-            lists = written(_merged(lists, _joined(_around(lists, vectors, s), s.neighbours), s), "neighbours")
-        pairs = lists.select("id", F.inline("list")).where(F.col("sim") >= s.threshold)
-        parts = components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
-        links = written(_component_links(vectors.join(parts, "id"), s).join(parts, "id"), "vector-links")
-        found, all_ = truth.join(links, "id", "left").agg(F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))), F.sum("n")).first()
-        recall = (found or 0) / all_ if all_ else 1.0
-        if recall >= s.recall:
+            found = written(_joined(_around(lists, now, s), s), "pairs")
+            seen.append(found)
+            lists = written(_merged(lists, found, s), "neighbours")
+        for x in seen:
+            new = x.where("edge").select(F.col("id").alias("a"), F.col("other").alias("b"))
+            edges = new if edges is None else edges.unionByName(new)
+        parts = written(components(edges), "components")
+        edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        joined = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left")
+        now = written(joined.select("id", "v", "weight", F.coalesce("component", "id").alias("component")), "labelled-vectors")
+        before, roots = roots, now.where("id = component").count()
+        recall = audit(now, s)
+        if recall >= s.recall and roots == before:
             break
+    linked = now.join(parts.select(F.col("node").alias("id")), "id", "left_semi")
+    counted = now.join(_component_links(linked, s), "id", "left").select("v", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"), "component")
+    links = written(vectors.join(counted, "v").select("id", "n_links", "component"), "vector-links")
     out = ids.join(links, "id", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), recall

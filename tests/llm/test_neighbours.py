@@ -58,3 +58,44 @@ def test_query_against_all_pairs(spark):
     assert got.keys() == want.keys() and all(g[0] <= want[k][0] for k, g in got.items())
     assert sum(g == want[k] for k, g in got.items()) >= 0.99 * len(want)
     assert sum(g[0] for g in got.values()) >= 0.95 * sum(w[0] for w in want.values())
+
+
+def near(r, centre, cosine):
+    """A unit vector at this cosine to a unit vector."""
+    e = r.standard_normal(len(centre))
+    e -= (e @ centre) * centre
+    return cosine * centre + np.sqrt(1 - cosine**2) * e / np.linalg.norm(e)
+
+
+def grouped(seed, dim=32):
+    """Rows of saturated groups linked across, exact copies, a hot group and planted pairs."""
+    r = np.random.default_rng(seed)
+    unit = lambda: (z := r.standard_normal(dim)) / np.linalg.norm(z)
+    out = []
+    for _ in range(4):
+        a = unit()
+        for c in (a, near(r, a, 0.93)):
+            out += [near(r, c, 0.9995) for _ in range(20)]
+    for _ in range(4):
+        a = unit()
+        out += [a] * 9 + [near(r, a, 0.93)] * 9
+    hot = unit()
+    out += [near(r, hot, 0.99) for _ in range(300)]
+    for _ in range(60):
+        a = unit()
+        out += [a, near(r, a, 0.91)]
+    out += [unit() for _ in range(200)]
+    return [(int(i), out[j].tolist()) for j, i in enumerate(r.permutation(len(out)))]
+
+
+def test_saturated_groups_copies_and_pairs_beside_a_hot_group(spark):
+    rows = grouped(3)
+    found, recall = nn.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), s=nn.Settings(block=100, bucket=32))
+    got = {x.vec_id: (x.n_links, x.component_id) for x in found.collect()}
+    want = brute([i for i, _ in rows], [v for _, v in rows])
+    assert recall >= 0.98 and got.keys() == want.keys() and all(g[0] <= want[k][0] for k, g in got.items())
+    few = [k for k, w in want.items() if w[0] == 1]
+    many = [k for k, w in want.items() if w[0] in (17, 39)]
+    assert len(few) >= 100 and len(many) >= 200
+    assert all(got[k] == want[k] for k in many)
+    assert sum(got[k] == want[k] for k in few) >= 0.95 * len(few)
