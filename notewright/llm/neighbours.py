@@ -6,7 +6,8 @@ whose list changed, its neighbours and a bounded number of those that list it ar
 threshold give components; every comparison puts out a spanning forest of those it saw, whether or not the lists had
 room for them. A vector has one list within its component and one of vectors outside it, so that links between
 components are looked for however many a component holds. Attempts with new projections follow until one joins no
-more components and a bounded, random choice of vectors, compared with all, has its links within its components. Links are then counted within each component: its blocks are compared with each
+more components and a bounded, random choice of vectors, compared with all, has its links within its components; if
+they never do, an error is raised. Links are then counted within each component: its blocks are compared with each
 other, or counted at once where their radii leave no doubt.
 """
 
@@ -33,8 +34,8 @@ class Settings:
     rounds: int = 2  # of neighbours-of-neighbours joins in an attempt
     block: int = 1000  # vectors of a component's block
     audited: int = 200  # vectors compared with all
-    recall: float = 0.98  # to be reached in the audit
-    attempts: int = 3
+    recall: float = 0.98  # to be reached in the audit, over links and as the mean over vectors
+    attempts: int = 3  # allowed at least; more where a pair at the threshold needs more tables to share a bucket
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -101,6 +102,12 @@ def _bits(count: int, s: Settings) -> int:
     return max(1, min(30, math.ceil(math.log2(max(count, 2) / (s.bucket / 4)))))
 
 
+def _attempts(count: int, s: Settings) -> int:
+    """Attempts after which a pair at the threshold shared a bucket with the odds of the recall, by the tables alone."""
+    shared = (1 - math.acos(s.threshold) / math.pi) ** _bits(count, s)
+    return max(s.attempts, math.ceil(math.log(max(1 - s.recall, 1e-9)) / math.log(1 - shared) / s.tables))
+
+
 def _buckets(vectors: DataFrame, dim: int, count: int, seed: int, s: Settings) -> DataFrame:
     """(g, id, v, component, inside, outside): every vector in one bucket of each table; large buckets are divided at random."""
     bits = _bits(count, s)
@@ -202,7 +209,11 @@ def _component_links(members: DataFrame, s: Settings) -> DataFrame:
 
 
 def audit(vectors: DataFrame, s: Settings) -> float:
-    """Share of the true links of a random choice of about ``audited`` vectors, compared with all, that lie within components."""
+    """Share of the true links of a random choice of about ``audited`` vectors, compared with all, that lie within components.
+
+    The lesser of the share over all their links and of the mean over those that have links, so that large groups can't
+    speak for small ones.
+    """
     chosen = vectors.orderBy(F.xxhash64(F.lit(77), "id"), "id").limit(s.audited).select("id", "v", "component").toArrow()
     if not len(chosen):
         return 1.0
@@ -220,12 +231,12 @@ def audit(vectors: DataFrame, s: Settings) -> float:
 
     counted = vectors.select("id", "v", "weight", "component").mapInArrow(count, "id long, n long, found long")
     each = counted.groupBy("id").agg(F.sum("n").alias("n"), F.sum("found").alias("found")).where("n > 0")
-    over = each.agg(F.sum("found") / F.sum("n")).first()[0]
-    return 1.0 if over is None else over
+    over, mean = each.agg(F.sum("found") / F.sum("n"), F.avg(F.col("found") / F.col("n"))).first()
+    return 1.0 if over is None else min(over, mean)
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", s: Settings = Settings()) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept) of every row, and the audited recall of links.
+    """(vec_id, n_links, component_id, kept) of every row, and the audited recall; an error if that stays below ``recall``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of another
     length than the most frequent one, and rows with a null id. Rows that repeat an id are taken as one vector (the
@@ -244,7 +255,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     distinct = written(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "distinct-vectors")
     count = distinct.count()
     now, lists, edges, recall, roots = distinct.withColumn("component", F.col("id")), None, None, 0.0, count
-    for attempt in range(s.attempts):
+    limit = _attempts(count, s)
+    for attempt in range(limit):
         found = written(_joined(_buckets(now, dim, count, attempt, s), s), "pairs")
         seen = [found]
         lists = written(_merged(None if lists is None else _relabelled(lists, now, s), found, s), "neighbours")
@@ -263,6 +275,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         recall = audit(now, s)
         if recall >= s.recall and roots == before:
             break
+    if recall < s.recall:
+        raise RuntimeError(f"{limit} attempts found {recall:.4f} of the audited links, fewer than {s.recall}")
     linked = now.join(parts.select(F.col("node").alias("id")), "id", "left_semi")
     counted = now.join(_component_links(linked, s), "id", "left").select("v", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"), "component")
     links = written(vectors.join(counted, "v").select("id", "n_links", "component"), "vector-links")

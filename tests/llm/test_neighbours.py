@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from notewright.llm import neighbours as nn
 from notewright.llm.queries import QUERIES
@@ -99,3 +100,12 @@ def test_saturated_groups_copies_and_pairs_beside_a_hot_group(spark):
     assert len(few) >= 100 and len(many) >= 200
     assert all(got[k] == want[k] for k in many)
     assert sum(got[k] == want[k] for k in few) >= 0.95 * len(few)
+
+
+def test_audit_weighs_vectors_and_a_missed_recall_raises(spark):
+    hot = [(i, [1.0, 0.001 * i, 0.0], 1, 0) for i in range(90)]
+    lone = [(100 + i, [0.0, 0.0, 1.0 - 0.001 * i], 1, 100 + i) for i in range(10)]
+    vectors = spark.createDataFrame(hot + lone, "id long, v array<double>, weight long, component long")
+    assert nn.audit(vectors, nn.Settings()) == pytest.approx(0.9)
+    with pytest.raises(RuntimeError):
+        nn.near_duplicates(vectors.select("id", "v"), "id", "v", nn.Settings(recall=1.1, attempts=1))
