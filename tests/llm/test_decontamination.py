@@ -83,3 +83,15 @@ def test_query_against_brute_force(spark, small):
     got = {r.doc_id: r.item_ids for r in QUERIES["op7_decontamination"](spark, small).collect()}
     assert got.keys() == texts.keys()
     assert got == {i: brute(t, items, dc.Settings()) for i, t in texts.items()} and sum(map(bool, got.values())) > 0
+
+
+def test_the_best_shares_of_an_item_may_fail_where_another_passage_passes():
+    r = random.Random(6)
+    v = vocabulary(r)
+    q, a = ([r.choice(v) for _ in range(n)] for n in (16, 8))
+    other = lambda n: " ".join(f"x{r.randrange(10**6)}" for _ in range(n))
+    changed = [*q[:15], "changed"]
+    index = dc.Index([(1, " ".join(q), " ".join(a)), (2, other(12), other(12))], dc.Settings())
+    text = " ".join([*q, other(400), *changed, *a, other(100)])
+    assert [x[0] for x in index.leaks(" ".join([*q, other(400)]))] == []
+    assert [x[0] for x in index.leaks(text)] == [1] == brute(text, [(1, " ".join(q), " ".join(a)), (2, other(12), other(12))], dc.Settings())
