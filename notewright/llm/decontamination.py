@@ -2,7 +2,9 @@
 
 Items are cut into shards of bounded size; each shard's index goes to the workers in turn. Documents are read whole
 as overlapping passages of words. A passage retrieves the items whose BM25 score reaches a share of the score that
-the item gives itself; those are verified by the overlap of word runs with the item's question and answer.
+the item gives itself; those are verified by the overlap of word runs with the item's question and answer, short ones
+also by their words in order with some edits. Items without an answer of their own are plain passages: they are also
+found where runs cover enough of all their words, whichever of their sentences was changed or cut off.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ class Settings:
     b: float = 0.75
     score_share: float = 0.5  # of an item's own score that a passage must reach
     run: int = 5  # words of a run that is compared
-    question_share: float = 0.5  # of the question's runs that the document must hold near the passage
+    question_share: float = 0.5  # of the question's runs that the document must hold near the passage; of all words, of a plain passage
     answer_share: float = 0.5  # of the answer's
     block: int = 4  # items of a block
     shard_bytes: int = 1 << 20  # items' text in one index
@@ -53,11 +55,27 @@ def runs(w: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def edits(part: list[str], w: list[str]) -> int:
+    """The fewest words to change, add or leave out between a part and any stretch of words."""
+    row = list(range(len(part) + 1))
+    best = row[-1]
+    for x in w:
+        new = [0]
+        for i, y in enumerate(part):
+            new.append(min(row[i] + (x != y), row[i + 1] + 1, new[i] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
 class Index:
-    """BM25 postings in blocks of items, with the largest score of each term in each block."""
+    """BM25 postings in blocks of items, with the largest score of each term in each block.
+
+    With ``plain``, questions and answers are the two parts of plain passages.
+    """
 
-    def __init__(self, items: list[tuple[int, str, str]], s: Settings):
-        self.s = s
+    def __init__(self, items: list[tuple[int, str, str]], s: Settings, plain: bool = False):
+        self.s, self.plain = s, plain
         kept = [(i, words(q), words(a)) for i, q, a in items]
         kept = [x for x in kept if len(x[1]) + len(x[2]) >= s.least_words]
         self.ids = [i for i, _, _ in kept]
@@ -74,11 +92,17 @@ class Index:
         for d, b in enumerate(bags):
             norm = s.k1 * (1 - s.b + s.b * sizes[d] / max(mean, 1e-9))
             scores.append({t: idf[t] * n * (s.k1 + 1) / (n + norm) for t, n in b.items()})
+        self.parts = [(q, a) for _, q, a in kept]
+        needed = [s.score_share * sum(x.values()) for x in scores]
+        if plain:  # what is cut off may have the rarer words
+            for d, parts in enumerate(self.parts):
+                for part in parts:
+                    if len(part) >= s.question_share * sizes[d]:
+                        needed[d] = min(needed[d], sum(scores[d][t] for t in set(part)))
         # items that need like scores share a block, so that a block's least threshold says much
-        order = sorted(range(len(kept)), key=lambda d: (s.score_share * sum(scores[d].values()), self.ids[d]))
-        self.ids, self.questions, self.answers = ([x[d] for d in order] for x in (self.ids, self.questions, self.answers))
-        scores = [scores[d] for d in order]
-        self.needed = [s.score_share * sum(x.values()) for x in scores]
+        order = sorted(range(len(kept)), key=lambda d: (needed[d], self.ids[d]))
+        self.ids, self.questions, self.answers, self.parts = ([x[d] for d in order] for x in (self.ids, self.questions, self.answers, self.parts))
+        scores, self.needed = [scores[d] for d in order], [needed[d] for d in order]
         blocks = -(-len(kept) // s.block)
         self.lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.terms]
         self.upper = np.zeros((len(self.terms), blocks), dtype=np.float32)
@@ -129,15 +153,48 @@ class Index:
         return out
 
     def verify(self, item: int, w: list[str]) -> tuple[float, float]:
-        """Shares of the question's and the answer's runs among a stretch of words; 1 for an empty answer."""
+        """Shares of the question's and the answer's runs among a stretch of words; 1 for an empty answer.
+
+        A part so short that one edit may take half of its runs has its share of words in order, if that is more and no
+        more than one word in three was edited.
+        """
         n = self.s.run
         have = runs(w, n)
         short = {r for part in (self.questions[item], self.answers[item]) for r in part if len(r) < n}
         if short:  # parts shorter than a run are looked for as they are
             for k in {len(r) for r in short}:
                 have |= runs(w, k)
+        (q, a), s = self.parts[item], self.s
         share = lambda part: len(part & have) / len(part) if part else 1.0
-        return share(self.questions[item]), share(self.answers[item])
+        question, answer = share(self.questions[item]), share(self.answers[item])
+        if question < s.question_share:
+            question = max(question, self.in_order(q, w))
+        if answer < s.answer_share:
+            answer = max(answer, self.in_order(a, w))
+        return question, answer
+
+    def in_order(self, part: list[str], w: list[str]) -> float:
+        """The share of a short part's words that a stretch holds in order; 0 beyond the edits allowed and for long parts."""
+        if not 3 <= len(part) < 3 * self.s.run:
+            return 0.0
+        n = edits(part, w)
+        return 1 - n / len(part) if n <= len(part) // 3 else 0.0
+
+    def verified(self, item: int, w: list[str]) -> tuple[float, float] | None:
+        """The shares, if they are large enough or, for a plain passage, if the stretch holds enough of it as a whole."""
+        s = self.s
+        q, a = self.verify(item, w)
+        if q >= s.question_share and a >= s.answer_share:
+            return q, a
+        if self.plain:
+            whole, n = [*self.parts[item][0], *self.parts[item][1]], s.run
+            have, covered = runs(w, n), np.zeros(len(whole), dtype=bool)
+            for i in range(len(whole) - n + 1):
+                if tuple(whole[i : i + n]) in have:
+                    covered[i : i + n] = True
+            if max(covered.mean(), self.in_order(whole, w)) >= s.question_share:
+                return q, a
+        return None
 
     def leaks(self, text: str) -> list[tuple[int, float, float]]:
         """(item id, question share, answer share) of the verified items of a whole text."""
@@ -158,14 +215,13 @@ class Index:
         keys = np.concatenate([second[second < passages] * n + t[at[second < passages]], (second[second > 0] - 1) * n + t[at[second > 0]]])
         keys = np.unique(keys)
         owner, starts = np.unique(keys // n, return_index=True)
-        s, found = self.s, {}
+        found: dict[int, tuple[float, float]] = {}
         ends = [*starts[1:].tolist(), len(keys)]
         for i, block in self.live(keys % n, starts):
             a = int(owner[i]) * step
             for item in self.retrieve((keys[starts[i] : ends[i]] % n).tolist(), block):
-                shares = self.verify(item, w[a : a + size])
-                # each passage by itself: the largest shares may fail where others pass
-                if shares[0] >= s.question_share and shares[1] >= s.answer_share and shares > found.get(item, (-1.0, -1.0)):
+                shares = self.verified(item, w[a : a + size])  # each passage by itself: the largest shares may fail
+                if shares and shares > found.get(item, (-1.0, -1.0)):
                     found[item] = shares
         return sorted((self.ids[k], q, a) for k, (q, a) in found.items())
 
@@ -188,19 +244,21 @@ def leaked_items(df: DataFrame, items: DataFrame, text: str = "text", item_id: s
                  question: Column | None = None, answer: Column | None = None, s: Settings = Settings(), out: str = "leaks") -> DataFrame:
     """Adds the verified benchmark items of every row's whole text, with the shares of question and answer found.
 
-    Without ``question`` and ``answer`` the items' ``text`` is divided: its last sentence is the answer. Null and empty
+    Without ``question`` and ``answer`` the items are plain passages: their ``text`` is divided, its last sentence taken as
+    the answer, and an item also leaks where enough of the whole is found, whatever the shares. Null and empty
     texts and items leak nothing, nor do items under ``least_words``; repeated items count once, repeated rows stay;
     an existing column of the result's name is replaced.
     """
-    if question is None:
+    plain = question is None
+    if plain:
         split = F.split(F.trim("text"), r"(?<=[.!?])\s+")
         question = F.when(F.size(split) > 1, F.array_join(F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(0))), " ")).otherwise(F.col("text"))
         answer = F.when(F.size(split) > 1, F.element_at(split, -1)).otherwise("")
-    parts = [_searcher(df, rows, k, s)(F.col(text)) for k, rows in enumerate(shards(items, item_id, question, answer if answer is not None else F.lit(""), s))]
+    parts = [_searcher(df, rows, k, s, plain)(F.col(text)) for k, rows in enumerate(shards(items, item_id, question, answer if answer is not None else F.lit(""), s))]
     return df.withColumn(out, F.array_sort(F.concat(*parts)))
 
 
-def _searcher(df: DataFrame, rows: list, k: int, s: Settings):
+def _searcher(df: DataFrame, rows: list, k: int, s: Settings, plain: bool):
     """The function that searches texts for one shard's items."""
     shipped, token = df.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex  # at most shard_bytes of text
 
@@ -208,7 +266,7 @@ def _searcher(df: DataFrame, rows: list, k: int, s: Settings):
     def search(texts: pa.Array) -> pa.Array:
         cache, slot = worker_cache(), f"bm25-{k}"
         if cache.get(slot, ("",))[0] != token:
-            cache[slot] = token, Index(shipped.value, s)
+            cache[slot] = token, Index(shipped.value, s, plain)
         index = cache[slot][1]
         return pa.array([[dict(zip(("item_id", "question", "answer"), x)) for x in index.leaks(t.as_py())] for t in texts], _ARROW)
 

@@ -95,3 +95,33 @@ def test_the_best_shares_of_an_item_may_fail_where_another_passage_passes():
     text = " ".join([*q, other(400), *changed, *a, other(100)])
     assert [x[0] for x in index.leaks(" ".join([*q, other(400)]))] == []
     assert [x[0] for x in index.leaks(text)] == [1] == brute(text, [(1, " ".join(q), " ".join(a)), (2, other(12), other(12))], dc.Settings())
+
+
+def test_near_and_cut_copies_of_plain_passages(spark):
+    r = random.Random(7)
+    v = vocabulary(r, 3000)
+    sentence = lambda n: " ".join(r.sample(v, n)).capitalize() + "."
+    bench, texts, k = [], [], 0
+    for last in range(1, 16):
+        for first in (6, 10, 20, 40):
+            bench.append((k, f"{sentence(first)} {sentence(last)}"))
+            w = bench[-1][1].split()
+            for at in range(first, first + last):  # one edit in the last sentence
+                texts.append((k, " ".join([*w[:at], "edited", *w[at + 1 :]])))
+            if first >= last:
+                texts.append((k, " ".join(w[:first])))
+            k += 1
+    clean = [(-1, " ".join(sentence(12) for _ in range(20))) for _ in range(20)]
+    rows = [(i, f"{sentence(30)} {t} {sentence(30)}") for i, t in texts] + clean
+    got = dc.leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(got) == len(rows)
+    missed = [(x.doc_id, x.text) for x in got if [y.item_id for y in x.leaks] != ([x.doc_id] if x.doc_id >= 0 else [])]
+    assert not missed, (len(missed), missed[:3])
+
+
+def test_short_answers_by_words_in_order():
+    question = "which of the many drugs named above was given on the third day of the stay"
+    index = dc.Index([(1, question, "five milligrams of warfarin at night"), (2, question, "warfarin")], dc.Settings(score_share=0.1))
+    found = lambda text: [x[0] for x in index.leaks(f"{question} {text}")]
+    assert found("five milligrams of warfarin every night") == [1, 2] and found("five milligrams of heparin at night") == [1]
+    assert found("night at milligrams five of heparin") == [] and found("heparin") == []
