@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.llm import bpe, decontamination, langid, ngram_join, secrets
-from notewright.llm.common import shared_folder, table, written
+from notewright.llm.common import free_name, shared_folder, table, written
 from notewright.llm.op02_bpe import VOCABULARY
 from notewright.llm.op04_langid import fitted
 
@@ -21,12 +21,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id; repeated ids give one row.
+    """One document of each group of similar ones, that with the smallest id; one without an id only where none has one.
 
-    Rows without an id can't be named by a group; they stay as they are.
+    Rows are compared by a number of their own, so texts that share an id, or have none, are told apart. Texts without a
+    word are similar to nothing; of those that repeat an id one stays.
     """
-    kept = ngram_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    row = free_name(docs, "_row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    groups = ngram_join.similar(docs, doc_id=row).select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
+    ids = docs.select(F.col(row).alias("_key"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    wordless = F.col("n_shingles") == 0
+    group = F.struct(F.when(~wordless, F.col("component_id")).alias("c"), F.when(wordless, F.col("_id")).alias("d"), F.when(wordless & F.col("_id").isNull(), F.col("_key")).alias("e"))
+    kept = ids.join(groups, "_key").groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_hash", "_key")).alias("_first"))
+    return docs.join(kept.select(F.col("_first._key").alias(row)), row, "left_semi").drop(row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,15 @@ def test_stages_on_odd_rows(spark, small):
             assert [r.text for r in got if r.doc_id is None] == [words + "[secret]"]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0, name
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark, small):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(0)), (2, text(0)), (2, text(1)), (2, text(2)), (3, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (4, text(4)),
+            (5, ""), (5, None), (None, ""), (None, None), (6, text(5)), (6, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.deduplicated(spark, docs, small)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in out.collect()]
+    want = [(1, text(0)), (2, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (5, ""), (None, ""), (None, ""), (6, text(5))]
+    assert sorted(got, key=str) == sorted(want, key=str)
