@@ -350,8 +350,10 @@ def k07(t: Inputs):
   select disease_id % 3 as part, 1 as website, concat(cast(disease_id as varchar), '_', {sql_safe_name('disease')}) as disease_key,
   concat({sql_safe_name('disease')}, '_', {sql_safe_name("replace(title, ' ', '_')")}, '.txt') as file, concat('题目: ', title, chr(10), tail) as text from o""")
 def k07_files(t: Inputs):
-    text = P.article_text("site1", "title", "abstract")
-    return P.article_files(details(t), F.col("disease_id") % 3, F.lit(1), text)
+    """The articles as written to their folders and read back."""
+    text, folder = P.article_text("site1", "title", "abstract"), t.scratch("articles")
+    writers.write_articles(P.article_files(details(t), F.col("disease_id") % 3, F.lit(1), text), folder)
+    return readers.read_articles(t.spark, folder)
 
 
 @query("k07_basic_files", f"""with {RESULTS} select concat(cast(disease_id as varchar), '_', {sql_safe_name('disease')}) as disease_key,
@@ -359,7 +361,9 @@ def k07_files(t: Inputs):
   concat('疾病名称: ', disease, chr(10), '疾病ID: ', cast(disease_id as varchar), chr(10), '题目: ', title, chr(10), '状态: 无法访问详情页', chr(10), '错误: ', substring(error, 1, 200), chr(10)) as text
   from j where error is not null""")
 def k07_basic(t: Inputs):
+    """The files of failed pages as written and read back."""
     failed = details(t).where(F.col("error").isNotNull())
     text = P.article_text("failed", "title", disease="disease", disease_id="disease_id", error="error")
-    files = P.article_files(failed, F.lit(1), F.lit(2), text, "site2", "_basic.txt")
-    return files.select("disease_key", "file", "text")
+    folder = t.scratch("articles-basic")
+    writers.write_articles(P.article_files(failed, F.lit(1), F.lit(2), text, "site2", "_basic.txt"), folder)
+    return readers.read_articles(t.spark, folder).select("disease_key", "file", "text")

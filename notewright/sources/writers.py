@@ -53,11 +53,11 @@ def error_rows(errors: DataFrame, at: Column | None = None) -> DataFrame:
     return errors.select("disease", "error", time.alias("time"))
 
 
-def write_errors(errors: DataFrame, path: str) -> bool:
+def write_errors(errors: DataFrame, path: str, at: Column | None = None) -> bool:
     """Write error rows; nothing is written when there are none. Returns whether there were any."""
     if errors.isEmpty():
         return False
-    error_rows(errors).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    error_rows(errors, at).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return True
 
 

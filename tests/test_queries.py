@@ -31,3 +31,9 @@ def test_query(spark, con, name):
     assert not wrong, "\n".join(wrong)
     if name != "c09_best_pdf":
         assert rows > 0
+
+
+@pytest.mark.parametrize("name, folder", [("k06_error_rows", "errors_csv"), ("k07_article_files", "articles"), ("k07_basic_files", "articles-basic")])
+def test_rows_come_from_written_files(spark, name, folder):
+    files = QUERIES[name](spark, FOLDER).inputFiles()
+    assert files and all(f"/{folder}" in f for f in files)
