@@ -68,6 +68,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Written tables of one job, in a folder of its own below the shared one; those that are used up can be dropped."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.base = spark, shared_folder(spark, job)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written`` does; a name is used once."""
+        with shuffles_dropped(self.spark):
+            df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -15,19 +15,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import free_name, worker_cache, written
+from notewright.llm.common import Steps, free_name, worker_cache
 
-BLANKS = " \t\n\v\f\r"  # fixed values: what stands between words
-BLANK = np.isin(np.arange(256), [ord(c) for c in BLANKS])
-TO_SPACE = bytes(0x20 if BLANK[i] else i for i in range(256))
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])  # fixed values: what stands between words, for bytes.split() too
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -125,7 +125,7 @@ def _joined(columns, schema: pa.Schema, most: int = 200_000):
     """Record batches of lists of columns, put together to larger ones."""
     held, n = [], 0
     for c in columns:
-        held.append(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, schema.types)], schema=schema))
+        held.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(c, schema.types)], schema=schema))
         n += held[-1].num_rows
         if n >= most:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
@@ -137,6 +137,21 @@ def _joined(columns, schema: pa.Schema, most: int = 200_000):
 # ---- automata ----------------------------------------------------------------------------------------------------
 
 
+def encoded(words: pa.Array) -> list[str]:
+    """Texts of words joined by a space as strings of two characters a word, which are equal where the words are.
+
+    Neither character of a word takes more values than about the square root of the number of words, so no node of an
+    automaton has many children, and first characters differ from second ones, so matches begin at words.
+    """
+    split = pc.split_pattern(words, " ")
+    numbers = split.flatten().dictionary_encode().indices.to_numpy()
+    base = math.isqrt(int(numbers.max(initial=0))) + 1
+    pairs = np.stack([numbers // base, numbers % base + base], axis=1).astype("<u4") + 1
+    pairs[pairs >= 0xD800] += 0x800  # no surrogates
+    text, ends = pairs.tobytes().decode("utf-32-le"), (split.offsets.to_numpy().astype(np.int64) * 2).tolist()
+    return [text[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def located(table: pa.Table, s: Settings) -> pa.Table:
     """For a shard's pieces (route, key, print, at, least, most, words): (key, print, skip, count, low) of recurring windows.
 
@@ -144,56 +159,48 @@ def located(table: pa.Table, s: Settings) -> pa.Table:
     document that holds the windows.
     """
     order = np.argsort(table["least"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    routes, least, most = (table[c].to_pylist() for c in ("route", "least", "most"))
-    number: dict[str, int] = {}
-    texts = [tuple([number.setdefault(w, len(number)) for w in t.split(" ")]) for t in table["words"].to_pylist()]
-    alone: dict[int, int] = {}
-    for r in routes:
-        alone[r] = alone.get(r, 0) + 1
-    length, automaton = s.words, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    sizes: list[int] = []  # of each phrase
-    lows: list[int] = []
-    windows: dict[tuple, list] = {}
-    for route, low, high, t in zip(routes, least, most, texts):
-        if alone[route] == 1:
-            if low < high and not automaton.exists(t):  # pieces of different anchors differ, so this is new
-                automaton.add_word(t, len(sizes))
-                sizes.append(len(t))
-                lows.append(low)
+    table = table.take(pa.array(order)).combine_chunks()
+    least, most = table["least"].to_pylist(), table["most"].to_pylist()
+    _, of, together = np.unique(table["route"].to_numpy(), return_inverse=True, return_counts=True)
+    alone = (together[of] == 1).tolist()
+    texts, length = encoded(table["words"].chunk(0) if table.num_rows else pa.array([], pa.string())), 2 * s.words
+    first: dict[str, int] = {}  # least document of each window
+    phrases: dict[str, int] = {}  # least document of those that recur
+    for single, low, high, t in zip(alone, least, most, texts):
+        if single:
+            if low < high:
+                phrases[t] = low
             continue
-        for i in range(len(t) - length + 1):
+        for i in range(0, len(t) - length + 1, 2):
             w = t[i : i + length]
-            seen = windows.get(w)
-            if seen is None:
-                windows[w] = [low, high]  # pieces come by their least document
-            elif high > seen[1]:
-                seen[1] = high
-            if seen is not None and low > seen[1]:
-                seen[1] = low
-    for w, (low, high) in windows.items():
-        if low < high:
-            automaton.add_word(w, len(sizes))
-            sizes.append(length)
-            lows.append(low)
-    del windows
+            before = first.setdefault(w, low)  # pieces come by their least document
+            if high > before:
+                phrases[w] = before
+    del first
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, t in enumerate(phrases):
+        automaton.add_word(t, k)
+    sizes, lows = [len(t) // 2 for t in phrases], list(phrases.values())
+    del phrases
     out: tuple[list, list, list, list] = ([], [], [], [])  # piece, skip, count, low
     if sizes:
         automaton.make_automaton()
         for k, t in enumerate(texts):
             runs: list[list[int]] = []  # first window, windows, least document
             for end, phrase in automaton.iter(t):
-                first, count, low = end + 1 - sizes[phrase], sizes[phrase] - length + 1, lows[phrase]
-                if runs and runs[-1][2] == low and runs[-1][0] + runs[-1][1] == first:
+                start, count, low = (end + 1) // 2 - sizes[phrase], sizes[phrase] - s.words + 1, lows[phrase]
+                if runs and runs[-1][2] == low and runs[-1][0] + runs[-1][1] == start:
                     runs[-1][1] += count
                 else:
-                    runs.append([first, count, low])
-            for first, count, low in runs:
-                for column, x in zip(out, (k, first, count, low)):
-                    column.append(x)
-    of = pa.array(out[0], pa.int64())
-    skip = np.array(out[1], np.int32) + table["at"].take(of).to_numpy().astype(np.int32)
-    return pa.table({"key": table["key"].take(of), "print": table["print"].take(of), "skip": pa.array(skip, pa.int32()),
+                    runs.append([start, count, low])
+            for start, count, low in runs:
+                out[0].append(k)
+                out[1].append(start)
+                out[2].append(count)
+                out[3].append(low)
+    rows = pa.array(out[0], pa.int64())
+    skip = np.array(out[1], np.int32) + table["at"].take(rows).to_numpy().astype(np.int32)
+    return pa.table({"key": table["key"].take(rows), "print": table["print"].take(rows), "skip": pa.array(skip, pa.int32()),
                      "count": pa.array(out[2], pa.int32()), "low": pa.array(out[3], pa.int64())})
 
 
@@ -225,12 +232,14 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
 
         yield from _joined(columns(), schema)
 
-    pieces = written(docs.mapInArrow(placed, "doc long, text_hash long, place long, key long, print long"), "pieces")
-    shared = written(pieces.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key"), "shared-anchors")
-    held = written(pieces.join(shared, "key", "left_semi").select(pieces.columns), "shared-pieces")
+    steps = Steps(df.sparkSession, "phrase-dedup")
+    pieces = steps.written(docs.mapInArrow(placed, "doc long, text_hash long, place long, key long, print long"), "pieces")
+    shared = steps.written(pieces.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key"), "shared-anchors")
+    held = steps.written(pieces.join(shared, "key", "left_semi").select(pieces.columns), "shared-pieces")
+    steps.drop("pieces")
     source = F.min(F.struct("doc", "text_hash", "place")).alias("source")
-    distinct = written(held.groupBy("key", "print").agg(source, F.max("doc").alias("most")), "distinct-pieces")
-    hot = written(distinct.groupBy("key").count().where(F.col("count") > s.hot).select("key", F.lit(True).alias("hot")), "hot-anchors")
+    distinct = steps.written(held.groupBy("key", "print").agg(source, F.max("doc").alias("most")), "distinct-pieces")
+    hot = steps.written(distinct.groupBy("key").count().where(F.col("count") > s.hot).select("key", F.lit(True).alias("hot")), "hot-anchors")
     wanted = distinct.join(hot, "key", "left").groupBy(F.col("source.doc").alias("doc"), F.col("source.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct(F.col("source.place").alias("place"), "key", "print", "most", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
 
@@ -241,20 +250,23 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         def columns():
             for b in batches:
                 for doc, data, asked in zip(b["doc"].to_pylist(), b["data"], b["asked"]):
-                    rows = []
-                    words = data.as_py().translate(TO_SPACE).decode("utf-8").split(" ")
-                    words = [w for w in words if w]
-                    h = None
-                    for x in asked.as_py():
-                        first, count = x["place"] >> 8, x["place"] & 255
-                        if not x["hot"]:
-                            rows.append((x["key"], x["key"], x["print"], 0, doc, x["most"], " ".join(words[first : first + count + s.words - 1])))
-                            continue
-                        h = word_hashes(data.as_py(), powers) if h is None else h
-                        at = np.arange(first, first + count)
-                        routes = stretches(h, at, at + s.words, powers).view(np.int64).tolist()
-                        rows += [(route, x["key"], x["print"], i, doc, x["most"], " ".join(words[first + i : first + i + s.words])) for i, route in enumerate(routes)]
-                    yield list(zip(*rows))
+                    words = data.as_py().split()
+                    text, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                    place, key, mark, most, hot = (asked.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "key", "print", "most", "hot"))
+                    first, count, at, route = place >> 8, place & 255, np.zeros(len(place), np.int64), key
+                    if hot.any():  # a row for each of their windows
+                        whole, each = np.flatnonzero(~hot), np.repeat(np.flatnonzero(hot), count[hot])
+                        nth = np.arange(len(each)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
+                        starts = first[each] + nth
+                        own = stretches(word_hashes(data.as_py(), powers), starts, starts + s.words, powers).view(np.int64)
+                        route = np.concatenate([key[whole], own])
+                        first, count = np.concatenate([first[whole], starts]), np.concatenate([count[whole], np.ones(len(each), np.int64)])
+                        at, of = np.concatenate([at[whole], nth]), np.concatenate([whole, each])
+                        key, mark, most = key[of], mark[of], most[of]
+                    last = ends[first + count + s.words - 2]
+                    begin = np.where(first > 0, ends[first - 1] + 1, 0)
+                    cuts = pa.array([text[x:y] for x, y in zip(begin.tolist(), last.tolist())], pa.binary()).cast(pa.string())
+                    yield route, key, mark, at.astype(np.int32), np.full(len(key), doc), most, cuts
 
         yield from _joined(columns(), schema, 20_000)
 
@@ -266,12 +278,12 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     shards = max(1, -(-volume // s.shard_words))
     judged = texts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(
         lambda table: located(table.drop_columns("shard"), s), "key long, print long, skip int, count int, low long")
-    told = written(judged.groupBy("key", "print").agg(F.collect_set(F.struct("skip", "count", "low")).alias("runs")), "located-phrases")
+    told = steps.written(judged.groupBy("key", "print").agg(F.collect_set(F.struct("skip", "count", "low")).alias("runs")), "located-phrases")
     first = F.shiftright("place", 8).cast("int")
     covered = held.join(told, ["key", "print"]).select("doc", "text_hash", first.alias("first"), F.inline("runs")).where("low < doc").select(
         "doc", "text_hash", (F.col("first") + F.col("skip")).alias("start"), (F.col("first") + F.col("skip") + F.col("count") + s.words - 1).alias("end"))
     spans = covered.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return written(spans.select("doc", "text_hash", merged("spans").alias("spans")), "repeated-words")
+    return steps.written(spans.select("doc", "text_hash", merged("spans").alias("spans")), "repeated-words")
 
 
 def merged(spans: Column) -> Column:
@@ -313,17 +325,16 @@ def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     def rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
         counts, kept = [], []
         for t, x in zip(texts, spans):
-            data = (t.as_py() or "").encode("utf-8").translate(TO_SPACE).decode("utf-8")
-            words, at, parts = [w for w in data.split(" ") if w], 0, []
+            words, at, parts = (t.as_py() or b"").split(), 0, []
             for y in x.as_py() or []:
                 parts += words[at : y["start"]]
                 at = y["end"]
             parts += words[at:]
             counts.append(len(words))
-            kept.append(" ".join(parts))
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(kept, pa.string())], ["n_words", "kept"])
+            kept.append(b" ".join(parts))
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "kept"])
 
-    joined = joined.withColumn(out, rest(F.col(text), F.col(spans)))
+    joined = joined.withColumn(out, rest(F.col(text).cast("binary"), F.col(spans)))
     none = F.array().cast("array<struct<start:int,end:int>>")
     done = joined.withColumn(out, F.struct(F.col(f"{out}.n_words").alias("n_words"), F.coalesce(spans, none).alias("spans"), F.col(f"{out}.kept").alias("kept")))
     return done.withColumn(result, F.col(out)).drop(key, mark, spans, out)
