@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
+from notewright.functions.runs import EXACT, RunFilter, all_runs
 from notewright.functions.text import col, trim_u
-from notewright.operators.scaling import BROADCAST_ROWS, lookup_join, salted_join
+from notewright.operators.scaling import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, salted_join
 from notewright.sources.scratch import settled
 
 # Terms are looked up by runs of characters. Each kind of run is (length, stride): texts are
@@ -67,69 +68,59 @@ def validate_terms(df: DataFrame, terms: DataFrame, term: str = "term", spread:
     )
 
 
-def grams(text: Column | str, length: int, stride: int) -> Column:
-    """Distinct runs of ``length`` characters that start at every ``stride``-th place, found in one pass."""
-    pattern = rf"(?s)(?=(.{{{length}}})).{{{stride}}}"
-    return F.array_distinct(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1)))
-
-
 def _filed_terms(terms: DataFrame, term: str) -> DataFrame:
-    """Terms with the runs they are looked up by: the ``stride`` consecutive ones that fewest terms share."""
+    """(term, _run, _earlier): terms with the runs they are looked up by, each with those that were listed before it.
+
+    Of a term's runs these are the ``stride`` consecutive ones that fewest other terms share.
+    """
     length, stride = (F.element_at(F.lit([kind[i] for kind in RUNS]), F.col("_kind") + 1) for i in (0, 1))
-    sized = terms.select(term, length.alias("_length"), stride.alias("_stride"))
-    starts = F.sequence(F.lit(1), F.length(term) - F.col("_length") + 1)
-    runs = F.transform(starts, lambda i: F.substring(F.col(term), i, F.col("_length")))
-    opened = sized.select("*", F.posexplode(runs).alias("_at", "_run"))
+    sized = terms.select(term, stride.alias("_stride"), all_runs(F.col(term), length).alias("_runs"))
+    opened = sized.select(term, "_stride", F.posexplode("_runs").alias("_at", "_run"))
     shared = opened.groupBy("_run").agg(F.count(F.lit(1)).alias("_shared"))
-    # one short list per term: how many terms share each of its runs, in order
-    counted = opened.join(shared, "_run").groupBy(term, "_length", "_stride").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_shared"))), lambda c: c["_shared"]).alias("_counts")
-    )
+    # one short list per term: its runs in order, and how many terms share each
+    listed = F.array_sort(F.collect_list(F.struct("_at", "_run", "_shared")))
+    counted = salted_join(opened, shared, ["_run"], [term, "_at"]).groupBy(term, "_stride").agg(listed.alias("_list"))
     choices = F.transform(
-        F.sequence(F.lit(1), F.size("_counts") - F.col("_stride") + 1),
-        lambda i: F.struct(F.array_max(F.slice("_counts", i, F.col("_stride"))).alias("cost"), i.alias("at")),
-    )
-    chosen = F.transform(
-        F.sequence(F.lit(0), F.col("_stride") - 1), lambda i: F.substring(F.col(term), F.col("_from") + i, F.col("_length"))
+        F.sequence(F.lit(1), F.size("_list") - F.col("_stride") + 1),
+        lambda i: F.struct(F.array_max(F.transform(F.slice("_list", i, F.col("_stride")), lambda x: x["_shared"])).alias("cost"), i.alias("at")),
     )
-    return counted.withColumn("_from", F.array_min(choices)["at"]).select(term, F.explode(F.array_distinct(chosen)).alias("_run"))
+    cut = F.slice("_list", F.array_min(choices)["at"], F.col("_stride"))
+    chosen = counted.select(term, F.array_distinct(F.transform(cut, lambda x: x["_run"])).alias("_chosen"))
+    return chosen.select(term, F.posexplode("_chosen").alias("_at", "_run"), "_chosen").select(
+        term, "_run", F.slice("_chosen", F.lit(1), F.col("_at")).alias("_earlier"))
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str,
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, max_rows: int = BROADCAST_ROWS,
+               max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every pair ``(key, term)`` where the text contains the term, without comparing all pairs.
 
-    Terms are filed by runs of characters that are as long as their length allows, and
-    among those by the ones that fewest other terms share. A text is opened into its
-    distinct runs at every ``stride``-th place; of ``stride`` consecutive runs of a term
-    it contains, one starts at such a place. Runs meet in an equality join, and what
-    meets is checked against the whole text. Empty terms match nothing. ``key`` is
-    unique per text, ``term`` per term.
-
-    A dictionary of at most ``max_rows`` terms is broadcast and nothing is shuffled.
-    A larger one is joined by shuffle: only keys and runs travel, salted by key so that
-    a frequent run is spread, and the texts come back in for the final check. The terms
-    are written out once, since they are read several times.
+    Terms are filed by runs of characters that are as long as their length allows, and among those by the ones that
+    fewest other terms share. A membership filter over these runs, whose size is bounded, goes to all tasks. Each text
+    tests its runs at every ``stride``-th place against it in its own row and opens only what passes; of ``stride``
+    consecutive runs of a term that it contains, one starts at such a place. Runs meet in an equality join, and what meets
+    is checked against the whole text. Empty terms match nothing. ``key`` is unique per text, ``term`` per term.
+
+    A dictionary of at most ``max_rows`` terms and ``max_bytes`` is broadcast and nothing is shuffled: of several runs
+    that lead from a text to one term, the one listed first counts. A larger one is joined by shuffle: keys and passing
+    runs travel, salted by key so that a frequent run is spread, and texts with such runs come back in for the final
+    check. The filed terms are written out once, since they are read several times.
     """
     n = F.length(term)
     kind = F.lit(None).cast("int")
     for i, (length, stride) in enumerate(RUNS):
         kind = F.when(n >= length + stride - 1, i).otherwise(kind)
-    usable = settled(terms.where(n > 0).select(term, kind.alias("_kind")), "terms")
-    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_kind").alias("kinds")).first()
-    kinds = sorted(facts["kinds"]) or [0]
-    filed = _filed_terms(usable, term)
-    runs = F.explode(F.concat(*[grams(text, *RUNS[k]) for k in kinds]))
-    texts = texts.select(key, text)
-    contained = F.contains(F.col(text), F.col(term))
-    if facts["n"] <= max_rows:
-        met = texts.select(key, text, runs.alias("_run")).join(F.broadcast(filed), "_run")
-        # a term that is a run itself needs no second look
-        contained = (F.col(term) == F.col("_run")) | contained
-    else:
-        met = salted_join(texts.select(key, runs.alias("_run")), filed, ["_run"], [key]).select(key, term).distinct()
-        met = met.join(texts, key)
-    return met.where(contained).select(key, term).distinct()
+    filed = settled(_filed_terms(terms.where(n > 0).select(term, kind.alias("_kind")), term), "filed-terms")
+    size = F.octet_length(term) + 8 * F.size("_earlier") + 16
+    facts = filed.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sort_array(F.collect_set(kind)).alias("kinds")).first()
+    opened = RunFilter.of(filed, "_run", facts["n"]).opened(texts.sparkSession, F.col(text), [RUNS[k] for k in facts["kinds"]])
+    texts = texts.select(key, text, opened.alias("_runs")).where(F.size("_runs") > 0)
+    contained = (F.length(term) <= EXACT) | F.contains(F.col(text), F.col(term))
+    if facts["n"] <= max_rows and (facts["bytes"] or 0) <= max_bytes:
+        met = texts.select(key, text, "_runs", F.explode("_runs").alias("_run")).join(F.broadcast(filed), "_run")
+        first = (F.size("_earlier") == 0) | ~F.arrays_overlap("_runs", "_earlier")
+        return met.where(first & contained).select(key, term)
+    met = salted_join(texts.select(key, F.explode("_runs").alias("_run")), filed.drop("_earlier"), ["_run"], [key]).select(key, term).distinct()
+    return met.join(texts.select(key, text), key).where(contained).select(key, term)
 
 
 def match_pages(diseases: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -137,7 +128,7 @@ def match_pages(diseases: DataFrame, pages: DataFrame, key: str = "page_id", htm
 
     ``diseases`` holds disease_id and variants (a list of names).
     """
-    by_variant = diseases.select("disease_id", F.explode("variants").alias("variant")).where(F.col("variant") != "")
+    by_variant = settled(diseases.select("disease_id", F.explode("variants").alias("variant")).where(F.col("variant") != ""), "variants")
     words = by_variant.select("variant").distinct()
     hits = find_terms(pages, words, key, html, "variant")
     owned = lookup_join(hits, by_variant, ["variant"], [key])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A lookup table is sent to every executor only when it has at most this many rows.
+# A lookup table is sent to every executor only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 # A hot key of the large side is spread over this many tasks.
 SALTS = 16
 # Positions per numbering bucket; a bucket never holds more rows than this.
@@ -37,9 +38,11 @@ def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str | Column], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a lookup table: broadcast when its counted size allows it, salted otherwise."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
+                max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a lookup table: broadcast when its counted rows and bytes allow it, salted otherwise."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*dim.columns))))
+    rows, size = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return fact.join(F.broadcast(dim), on, how)
     return salted_join(fact, dim, on, spread, how)
 

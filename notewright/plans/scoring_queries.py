@@ -13,6 +13,7 @@ from notewright.operators import metrics as M
 from notewright.operators import review as Q
 from notewright.plans.registry import query, sql_sub, sql_trim
 from notewright.plans.views import Inputs
+from notewright.sources.scratch import settled
 
 # ---- scoring ---------------------------------------------------------------------------------
 
@@ -209,7 +210,7 @@ def word_dictionary(t: Inputs) -> DataFrame:
 
 @query("j07_dictionary_tagger", f"with {WORDS} select d.doc_id, concat('HP:', lpad(cast(w.n as varchar), 7, '0')) as hpo_id, w.term from documents d join w on contains(d.text, w.term)")
 def j07(t: Inputs):
-    words = word_dictionary(t).select("term", F.concat(F.lit("HP:"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("hpo_id"))
+    words = settled(word_dictionary(t).select("term", F.concat(F.lit("HP:"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("hpo_id")), "words")
     found = T.find_terms(t("documents"), words, "doc_id", "text", "term")
     return T.lookup_join(found, words, ["term"], ["doc_id"]).select("doc_id", "hpo_id", "term")
 

@@ -1,13 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notewright.functions.runs import MOST_WORDS, RunFilter, Runs
 from notewright.operators import dictionary as T
 
 
 def brute(texts, terms):
-    return sorted((k, w) for k, x in texts for w in terms if w and w in x)
+    return sorted((k, w) for k, x in texts if x for w in terms if w and w in x)
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +25,29 @@ def corpus():
     return texts, sorted(terms)
 
 
+def test_equal_runs_have_equal_numbers():
+    rnd, seen = random.Random(12), {}
+    for _ in range(200):
+        text = "".join(rnd.choices("ab\x00症😀", k=rnd.randint(0, 30)))
+        for length, stride in [*T.RUNS, (15, 1), (7, 3)]:
+            got = Runs(text).of(length, stride).tolist()
+            want = [text[i : i + length] for i in range(0, len(text) - length + 1, stride)]
+            assert len(got) == len(want) and all(seen.setdefault(w, g) == g for w, g in zip(want, got))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_filter_lets_all_members_through_and_few_others(spark):
+    rnd = random.Random(13)
+    members, others = ([rnd.getrandbits(64) - 2**63 for _ in range(20_000)] for _ in range(2))
+    made = RunFilter.of(spark.createDataFrame([(m,) for m in members], "r long"), "r", len(members))
+    assert made.passing(np.array(members)).tolist() == members
+    assert len(made.passing(np.array(others))) < 400 and made.words.nbytes <= 8 * MOST_WORDS
+
+
 @pytest.mark.parametrize("max_rows", [10**6, 0], ids=["broadcast", "shuffled"])
 def test_find_terms(spark, corpus, max_rows):
     texts, terms = corpus
+    texts = [*texts, (5000, None)]
     a = spark.createDataFrame(texts, "k bigint, x string").repartition(4)
     b = spark.createDataFrame([(w,) for w in [*terms, ""]], "w string")
     assert sorted(map(tuple, T.find_terms(a, b, "k", "x", "w", max_rows).collect())) == brute(texts, terms)
@@ -45,6 +67,16 @@ def test_no_pair_is_compared_without_a_shared_run(spark, corpus):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_a_known_dictionary_moves_no_text(spark, corpus):
+    texts, terms = corpus
+    a = spark.createDataFrame(texts, "k bigint, x string")
+    b = spark.createDataFrame([(w,) for w in terms], "w string")
+    plan = T.find_terms(a, b, "k", "x", "w")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    # beyond the bytes the shuffle form takes over
+    assert "_salt" in T.find_terms(a, b, "k", "x", "w", max_bytes=100)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_match_pages_takes_the_longest_variant(spark):
     pages = spark.createDataFrame([(1, "a 甲型肝炎综合征 b"), (2, "甲型肝炎"), (3, "nothing")], "page_id bigint, html string")
     diseases = spark.createDataFrame([(7, ["甲型肝炎综合征", "甲型肝炎"]), (8, ["乙"])], "disease_id bigint, variants array<string>")
