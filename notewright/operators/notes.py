@@ -44,8 +44,11 @@ def standardise_notes(raw: DataFrame, names: str | None = None) -> DataFrame:
     """Six fields and a running index from raw note rows.
 
     ``raw`` holds sheet, row_no, content, template, diagnosis, patient and admission;
-    ``names`` optionally names a column with the person names of each note.
+    ``names`` optionally names a column with the person names of each note. A column
+    ``index``, as ``read_sheets`` gives it, is kept; without one rows are numbered by
+    sheet and ``row_no``, for which they are shuffled once.
     """
+    numbered = ["index"] if "index" in raw.columns else []
     if isinstance(raw.schema["patient"].dataType, (T.DoubleType, T.FloatType)):
         raw = raw.withColumn("patient", F.nanvl("patient", F.lit(None)).cast("bigint"))
     notes = raw.select(
@@ -57,7 +60,10 @@ def standardise_notes(raw: DataFrame, names: str | None = None) -> DataFrame:
         missing_to("admission").alias("admission_date"),
         diagnosis_list("diagnosis").alias("disease"),
         "row_no",
+        *numbered,
     )
+    if numbered:
+        return notes.drop("_sheet", "row_no")
     return running_index(notes, "row_no", ["_sheet"]).drop("_sheet", "row_no")
 
 

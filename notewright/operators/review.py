@@ -52,19 +52,34 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(part / total * F.lit(100), 1)).otherwise(F.lit(0.0))
 
 
+def id_bits(df: DataFrame, key: str = "index") -> DataFrame:
+    """(bucket, bits, side): the distinct ids of a table as bits, one row for every 32,768 possible ids; side is 1. Null ids are passed over.
+
+    Bits are set in every task before rows move, so neither repeated ids nor busy buckets cost more than a bitmap a task.
+    """
+    ids = df.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(F.col(key).cast("bigint")).alias("bucket"), F.bitmap_bit_position(F.col(key).cast("bigint")).alias("_bit"))
+    return ids.groupBy("bucket").agg(F.bitmap_construct_agg("_bit").alias("bits")).select("bucket", "bits", F.lit(1).alias("side"))
+
+
+def submitted_ids(log: DataFrame, key: str = "index") -> DataFrame:
+    """The number of distinct ids in the log."""
+    return id_bits(log, key).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+
+
 def progress(samples: DataFrame, log: DataFrame, key: str = "index") -> DataFrame:
-    """Total, annotated, remaining and percentage in one grouped pass.
+    """Total, annotated, remaining and percentage; ids are unique among the samples.
 
-    ``annotated`` counts every id in the log, also ids without a sample.
+    ``annotated`` counts every id in the log, also ids without a sample. Ids are compared as bits, so what is shuffled is
+    a bitmap for every 32,768 ids and task.
     """
-    marked = samples.select(F.col(key), F.lit(1).alias("_s"), F.lit(0).alias("_l")).unionByName(
-        log.where(F.col(key).isNotNull()).select(F.col(key), F.lit(0).alias("_s"), F.lit(1).alias("_l"))
-    )
-    per_id = marked.groupBy(key).agg(F.sum("_s").alias("_s"), F.max("_l").alias("_l"))
-    counts = per_id.agg(
-        F.coalesce(F.sum("_s"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum("_l"), F.lit(0)).cast("bigint").alias("annotated"),
-        F.coalesce(F.sum(F.when(F.col("_l") == 0, F.col("_s"))), F.lit(0)).alias("remaining"),
+    sides = id_bits(samples, key).unionByName(id_bits(log, key).withColumn("side", F.lit(2)))
+    of = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.bitmap_count("bits"))), F.lit(0))
+    both = F.when(F.count(F.lit(1)) == 2, F.bitmap_count(F.bitmap_and_agg("bits"))).otherwise(0)
+    per_bucket = sides.groupBy("bucket").agg(of(1).alias("s"), of(2).alias("l"), both.alias("b"))
+    counts = per_bucket.agg(
+        F.coalesce(F.sum("s"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("l"), F.lit(0)).alias("annotated"),
+        F.coalesce(F.sum(F.col("s") - F.col("b")), F.lit(0)).alias("remaining"),
     )
     return counts.withColumn("percentage", percent(F.col("annotated"), F.col("total")))
 

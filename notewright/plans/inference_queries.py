@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as V
 from notewright.functions import phenotypes as H
 from notewright.operators import inference as I
+from notewright.operators.review import id_bits
 from notewright.plans.registry import q, query, sql_trim
 from notewright.plans.views import Inputs
 from notewright.sources import readers, writers
+from notewright.sources.scratch import settled
 from notewright.streaming import submissions as S
 
 HEAD, TAIL = V.ANNOTATION_PROMPT.split(V.PROMPT_SLOT)
@@ -149,17 +151,31 @@ def r01(t: Inputs):
     return t.spark.read.schema(stream.schema).parquet(log).drop("batch")
 
 
+@query("r01_accepted_stream_with_log", """with l as (select idx from v_submissions where seq < 500), n as (select * from v_submissions where seq >= 500),
+  f as (select idx, min(seq) as seq from n where idx not in (select idx from l) group by idx)
+  select n.seq, n.idx as "index", n.is_sure from n join f on f.idx = n.idx and f.seq = n.seq""")
+def r01_log(t: Inputs):
+    """The stream started on a log that holds the first submissions already; the same rows as j04_first_submission_with_log accepts."""
+    log, old = t.scratch("accepted"), t.scratch("logged")
+    v = t("v_submissions").withColumnRenamed("idx", "index")
+    v.where("seq < 500").write.parquet(old)
+    stream = submission_stream(t).where("seq >= 500")
+    logged = t.spark.readStream.schema(v.schema).parquet(old)
+    S.accept_stream(stream, log, t.scratch("accepted-state"), logged=logged).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(log).drop("batch")
+
+
 @query("r02_stream_progress", """with c as (select (select count(*) from v_notes) as total, (select count(distinct idx) from v_submissions) as annotated,
     (select count(*) from v_notes where idx not in (select idx from v_submissions)) as remaining)
   select total, annotated, remaining, case when total > 0 then round_even(annotated / total * 100, 1) else 0 end as percentage from c""")
 def r02(t: Inputs):
-    samples = t("v_notes").select(F.col("idx").alias("index"))
+    queued = settled(id_bits(t("v_notes"), "idx"), "queued-ids")
     log, counts = t.scratch("progress-log"), t.scratch("progress")
     stream = submission_stream(t)
-    after = S.progress_writer(samples, counts)
+    after = S.progress_writer(queued, counts)
     S.accept_stream(stream, log, t.scratch("progress-state"), after=after).awaitTermination()
     written = t.spark.read.schema("batch_id bigint, accepted bigint, from_queue bigint").parquet(counts)
-    return S.progress_after_batches(samples, written)
+    return S.progress_after_batches(queued.agg(F.sum(F.bitmap_count("bits"))).first()[0] or 0, written)
 
 
 @query("k03_appended_log", "select seq, idx as \"index\", coalesce(is_sure, true) as is_sure from v_submissions")

@@ -81,11 +81,16 @@ def full_notes(t: Inputs):
 # ---- sources and record standardisation -------------------------------------------------------
 
 
+def sheets(t: Inputs):
+    """The raw notes written as one extract per sheet and read back with their running number."""
+    folder = t.scratch("sheets")
+    writers.write_sheets(t("v_raw_notes"), folder)
+    return readers.read_sheets(t.spark, folder, numbered=True)
+
+
 @query("s04_sheets", f"select row_no, {DEPARTMENT} as department, content from v_raw_notes")
 def s04(t: Inputs):
-    raw = t("v_raw_notes")
-    sheets = {s: raw.where(X.trim_u("sheet") == s).drop("sheet") for s in V.DEPARTMENTS}
-    return readers.union_sheets(sheets).select("row_no", N.department_key("sheet").alias("department"), "content")
+    return sheets(t).select("row_no", N.department_key("sheet").alias("department"), "content")
 
 
 @query("s07_disease_lines", f"select id, {sql_disease_name('line')} as name from v_disease_raw where {sql_trim('line')} <> ''")
@@ -110,7 +115,7 @@ STANDARD = f"""select row_no, {deid_sql('content')} as description, {DEPARTMENT}
 
 @query("p01_standard_notes", f"select description, department, scenario, patient_id, admission_date, diseases, idx from ({STANDARD}) s")
 def p01(t: Inputs):
-    raw = t("v_raw_notes").withColumn("names", F.lit([*NAMES, " 张小 ", "张"]))
+    raw = sheets(t).withColumn("names", F.lit([*NAMES, " 张小 ", "张"]))
     return N.standardise_notes(raw, "names").select(
         "description", "department", "scenario", "patient_id", "admission_date",
         F.array_join("disease", "|").alias("diseases"), F.col("index").alias("idx"),
@@ -146,6 +151,12 @@ def p06(t: Inputs):
 
 @query("p07_running_index", f"select row_no, {DEPARTMENT} as department, row_number() over (order by {SHEET_ORDER}, row_no) - 1 as idx from v_raw_notes")
 def p07(t: Inputs):
+    return sheets(t).select("row_no", N.department_key("sheet").alias("department"), F.col("index").alias("idx"))
+
+
+@query("p07_running_index_by_position", f"select row_no, {DEPARTMENT} as department, row_number() over (order by {SHEET_ORDER}, row_no) - 1 as idx from v_raw_notes")
+def p07_by_position(t: Inputs):
+    """Numbers of rows that no file holds in order."""
     placed = t("v_raw_notes").select("row_no", N.department_key("sheet").alias("department"), N.department_order("sheet").alias("_s"))
     return running_index(placed, "row_no", ["_s"], "idx").drop("_s")
 

@@ -13,6 +13,7 @@ from notewright.operators import metrics as M
 from notewright.operators import review as Q
 from notewright.plans.registry import query, sql_sub, sql_trim
 from notewright.plans.views import Inputs
+from notewright.sources import readers
 from notewright.sources.scratch import settled
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -127,9 +128,18 @@ DICTIONARY = """d as (select case when starts_with(hpo_id, 'HP:') then hpo_id el
 DICTIONARY_LEGACY = DICTIONARY.replace("arg_max(zh, row_no)", "arg_max(coalesce(zh, 'nan'), row_no)").replace("where zh is not null ", "")
 
 
-@query("s05_term_rows", "select row_no, hpo_id, zh from v_term_dict where zh is not null")
+@query("s05_term_rows", """with f as (select row_no, hpo_id, zh, row_number() over (order by row_no % 2, row_no) as place from v_term_dict),
+  d as (select case when starts_with(hpo_id, 'HP:') then hpo_id else concat('HP:', hpo_id) end as hpo_id, arg_max(zh, place) as zh from f where zh is not null group by 1)
+  select f.place as row_no, f.hpo_id, f.zh, d.zh as last_zh from f left join d on d.hpo_id = case when starts_with(f.hpo_id, 'HP:') then f.hpo_id else concat('HP:', f.hpo_id) end""")
 def s05(t: Inputs):
-    return t("v_term_dict").select("row_no", "hpo_id", "zh").dropna(subset=["hpo_id", "zh"])
+    """Term rows written to two CSV files, even rows first, and read by file and line; the last row of an id wins."""
+    folder, rows = t.scratch("terms"), t("v_term_dict").orderBy("row_no")
+    for half in (0, 1):
+        named = rows.where(F.col("row_no") % 2 == half).select(F.col("hpo_id").alias(V.TERM_ID_COLUMN), F.col("zh").alias(V.TERM_NAME_COLUMN))
+        named.coalesce(1).write.option("header", True).csv(f"{folder}/{half}")
+    read = readers.read_terms(t.spark, f"{folder}/*")
+    last = T.term_dictionary(read).withColumnRenamed("hpo_id", "_id").withColumnRenamed("zh", "last_zh")
+    return read.join(last, T.term_id("hpo_id") == F.col("_id"), "left").select("row_no", "hpo_id", "zh", "last_zh")
 
 
 @query("j01_term_dictionary", f"with {DICTIONARY} select hpo_id, zh from d")
@@ -312,7 +322,7 @@ def a12(t: Inputs):
 
 @query("a17_submitted_ids", "select count(distinct idx) as n from v_submissions")
 def a17(t: Inputs):
-    return log(t).select("index").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return Q.submitted_ids(log(t))
 
 
 @query("w02_queue_neighbours", f"with {QUEUE} select idx as \"index\", coalesce(lag(idx) over (order by idx), idx) as prev, lead(idx) over (order by idx) as next from q")
@@ -337,12 +347,7 @@ def w02_navigation(t: Inputs):
 
 @query("x01_union_of_parts", "select id, line from v_disease_raw where part in (1, 2, 4)")
 def x01(t: Inputs):
-    raw = t("v_disease_raw")
-    out = None
-    for part in V.PARTS:
-        rows = raw.where(F.col("part") == part).select("id", "line")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return readers.only_parts(t("v_disease_raw")).select("id", "line")
 
 
 LISTS = """select event_id as idx, [event_type, concat('u', cast(user_id % 3 as varchar)), event_type] as a, [concat('u', cast(event_id % 3 as varchar)), null, event_type] as b from events"""

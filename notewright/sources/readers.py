@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from notewright import fixed_values as V
 from notewright.functions.text import disease_name, trim_u
+from notewright.operators.scaling import lookup_join
 
 LABELS = "struct<" + ", ".join(f"{k}: array<string>" for k in V.TRUTH_KEYS) + ">"
 SAMPLE_SCHEMA = (
@@ -38,26 +39,47 @@ def read_samples(spark: SparkSession, path: str, schema: str | T.StructType = SA
     return reader.option("mode", "PERMISSIVE").json(path).where(F.col("index").isNotNull())
 
 
-def read_sheets(spark: SparkSession, path: str, columns: dict[str, str] = V.NOTE_COLUMNS) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, columns: dict[str, str] = V.NOTE_COLUMNS, numbered: bool = False) -> DataFrame:
     """Note extracts stored per sheet under ``sheet=<name>/``, with short column names.
 
     Each extract holds ``row_no`` and the workbook's columns, of which a sheet may lack some (null) and each sheet may
-    have its own types: all come as text, whole numbers without a fraction, missing numbers as null.
+    have its own types: all come as text, whole numbers without a fraction, missing numbers as null. Every sheet's files
+    are read by a scan of their own; a folder without sheets gives no rows.
+
+    ``numbered`` adds ``index``, the running number over all sheets in their fixed order, for extracts whose files hold
+    the rows in order, as ``writers.write_sheets`` leaves them: it is a row's place in its file plus the rows of all
+    files before it, so no row moves.
     """
-    names = [r["sheet"] for r in spark.read.option("basePath", path).parquet(path).select("sheet").distinct().collect()]  # one per department
-    out = None
-    for name in sorted(names):
-        raw = spark.read.option("basePath", path).parquet(path).where(F.col("sheet") == name) if len(names) == 1 else _one_sheet(spark, path, name)
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in ("sheet", *columns)) + ", row_no bigint, _file string, _at bigint")
+    for name in _sheet_names(spark, path):
+        raw = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/sheet={name}")
         types = dict(raw.dtypes)
         picked = [_as_text(F.col(f"`{c}`"), types[c]).alias(n) if c in types else F.lit(None).cast("string").alias(n) for n, c in columns.items()]
-        rows = raw.select(F.lit(name).alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), *picked)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
+        out = out.unionByName(raw.select(F.lit(name).alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), *picked, *place))
+    if numbered:
+        out = lookup_join(out, _rows_before_files(out), ["_file"], ["_at"]).withColumn("index", F.col("_before") + F.col("_at")).drop("_before")
+    return out.select("sheet", "row_no", *columns, *(["index"] if numbered else []))
+
+
+def _sheet_names(spark: SparkSession, path: str) -> list[str]:
+    """The sheets of a folder, one per department; they come from folder names alone."""
+    try:
+        names = spark.read.option("basePath", path).parquet(path).select("sheet").distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            return []
+        raise
+    return sorted(r["sheet"] for r in names)
 
 
-def _one_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A sheet's own files with their own columns."""
-    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/sheet={name}")
+def _rows_before_files(rows: DataFrame) -> DataFrame:
+    """(_file, _before): how many rows stand in the files before each, by sheet and part number. Only row counts are read."""
+    order = F.array_position(F.lit(list(V.DEPARTMENTS)), trim_u("sheet"))
+    part = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1)
+    files = rows.groupBy("sheet", "_file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(order, "sheet", F.length(part), part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
 
 
 def _as_text(c: Column, kind: str) -> Column:
@@ -79,7 +101,7 @@ def union_sheets(sheets: dict[str, DataFrame]) -> DataFrame:
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Term dictionary rows ``(row_no, hpo_id, zh)`` from a CSV file with a header.
 
-    A missing file or column gives no rows and a warning.
+    A missing file or column gives no rows and a warning. Several files are numbered one after the other, by name.
     """
     empty = spark.createDataFrame([], "row_no bigint, hpo_id string, zh string")
     try:
@@ -91,30 +113,34 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
         print(f"warning: no column {V.TERM_NAME_COLUMN} in {path}, only {rows.columns}")
         return empty
     term_id = F.col(V.TERM_ID_COLUMN) if V.TERM_ID_COLUMN in rows.columns else F.lit(None).cast("string")
-    return rows.select(
-        F.monotonically_increasing_id().alias("row_no"), term_id.alias("hpo_id"), F.col(V.TERM_NAME_COLUMN).alias("zh")
-    )
+    placed = rows.select(*_place(), term_id.alias("hpo_id"), F.col(V.TERM_NAME_COLUMN).alias("zh"))
+    return _in_order(placed, "row_no", []).select("row_no", "hpo_id", "zh")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)`` with blank lines kept, counted from 1 in each file.
+def _place() -> list[Column]:
+    """Where a row of a text file stands: its file, the split of it, and an ascending number within the split."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq")]
 
-    Lines are ranked inside their file split and shifted by the line counts of the
-    splits before it, so a large file is never read by one task.
+
+def _in_order(rows: DataFrame, name: str, within: list[str]) -> DataFrame:
+    """Numbers from 1, in each group of ``within`` or else over all files by name.
+
+    Rows are ranked inside their file split and shifted by the row counts of the splits before it, so a large file is
+    never read by one task.
     """
     split = ["file", "_start"]
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.input_file_block_start().alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("line"),
-    )
-    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(
+    before = Window.partitionBy(*within).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(
         *split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     rank = F.row_number().over(Window.partitionBy(*split).orderBy("_seq"))
-    return lines.withColumn("_rank", rank).join(offsets, split).select(
-        "file", (F.col("_before") + F.col("_rank")).alias("line_no"), "line"
-    )
+    return rows.withColumn("_rank", rank).join(offsets, split).withColumn(name, F.col("_before") + F.col("_rank"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line_no, line)`` with blank lines kept, counted from 1 in each file."""
+    lines = spark.read.text(path).select(*_place(), F.col("value").alias("line"))
+    return _in_order(lines, "line_no", ["file"]).select("file", "line_no", "line")
 
 
 def parse_diseases(lines: DataFrame, line: str = "line", position: str = "id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.text import col
+from notewright.functions.text import col, trim_u
 from notewright.operators.reports import public_fields
 
 
@@ -19,6 +19,14 @@ def write_samples(df: DataFrame, path: str, mode: str = "overwrite", parquet: bo
     writer.parquet(path) if parquet else writer.option("ignoreNullFields", False).json(path)
 
 
+def write_sheets(notes: DataFrame, path: str, columns: dict[str, str] = V.NOTE_COLUMNS) -> None:
+    """Note rows as extracts under ``sheet=<name>/`` with the workbook's columns, files and rows in order of ``row_no``."""
+    named = [F.col(n).alias(c) for n, c in columns.items()]
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many, so that the extracts are read by many tasks again
+    placed = notes.select(trim_u("sheet").alias("sheet"), "row_no", *named).repartitionByRange(parts, "sheet", "row_no")
+    placed.sortWithinPartitions("sheet", "row_no").write.mode("overwrite").partitionBy("sheet").parquet(path)
+
+
 def write_report_rows(rows: DataFrame, path: str, public_path: str) -> None:
     """Report rows in full, and a second copy without the identifying leading fields of each row.
 

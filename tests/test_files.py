@@ -50,6 +50,39 @@ def test_sheets_with_columns_and_types_of_their_own(spark, tmp_path):
         N.standardise_notes(R.read_sheets(spark, path)).collect()
 
 
+def test_sheets_are_numbered_by_place(spark, tmp_path):
+    raw = spark.range(0, 6000, 3).select(
+        F.col("id").alias("row_no"), F.element_at(F.lit([" 神经内科", "产科　"]), (F.col("id") % 2 + 1).cast("int")).alias("sheet"), F.lit("病历").alias("content"),
+        *[F.lit(None).cast("string").alias(c) for c in ("template", "diagnosis", "patient", "admission")])
+    path = str(tmp_path / "notes")
+    W.write_sheets(raw, path)
+    read = R.read_sheets(spark, path, numbered=True)
+    got = read.orderBy("index").select("index", "sheet", "row_no").collect()
+    assert len(list((tmp_path / "notes").rglob("*.parquet"))) > 4
+    assert [r["index"] for r in got] == list(range(2000))
+    assert [(r.sheet, r.row_no) for r in got] == [("产科", i) for i in range(3, 6000, 6)] + [("神经内科", i) for i in range(0, 6000, 6)]
+    # no exchange carries a text
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = N.standardise_notes(read)._jdf.queryExecution().explainString(mode)
+    moved = [x for x in plan.split("\n\n") if "Exchange" in x.split("\n")[0] and "Input" in x]
+    assert moved, plan[:3000]
+    assert not [x for x in moved if "content" in x or "description" in x or "病历" in x]
+
+
+def test_no_folder_or_no_sheets_give_no_rows(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    for name in ("empty", "missing"):
+        for numbered in (False, True):
+            assert R.read_sheets(spark, str(tmp_path / name), numbered=numbered).count() == 0
+
+
+def test_terms_of_several_files(spark, tmp_path):
+    for i in (0, 1):
+        write(tmp_path / f"t{i}.csv", "HPO编号,中文翻译\n" + "".join(f"HP:{k},{i}-{k}\n" for k in range(3)))
+    got = R.read_terms(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [(r.row_no, r.zh) for r in got] == [(3 * i + k + 1, f"{i}-{k}") for i in (0, 1) for k in range(3)]
+
+
 def test_terms(spark, tmp_path, capsys):
     p = write(tmp_path / "t.csv", "HPO编号,中文翻译\nHP:1,发热\n2,\n")
     assert [(r["hpo_id"], r["zh"]) for r in R.read_terms(spark, p).orderBy("row_no").collect()] == [("HP:1", "发热"), ("2", None)]

@@ -16,6 +16,7 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
         part = spark.createDataFrame(subs[i * 200:(i + 1) * 200], SCHEMA).repartition(3)
         part.write.parquet(str(tmp_path / f"part{i}"))
     os.makedirs(source)
+    queued = Q.id_bits(spark.range(60), "id")
 
     def feed(i):
         for f in (tmp_path / f"part{i}").glob("*.parquet"):
@@ -23,8 +24,7 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(SCHEMA).parquet(str(source))
-        samples = spark.range(60).withColumnRenamed("id", "index")
-        S.accept_stream(stream, str(tmp_path / "log"), str(tmp_path / "state"), after=S.progress_writer(samples, str(tmp_path / "counts"))).awaitTermination()
+        S.accept_stream(stream, str(tmp_path / "log"), str(tmp_path / "state"), after=S.progress_writer(queued, str(tmp_path / "counts"))).awaitTermination()
 
     for i in range(6):
         feed(i)
@@ -37,7 +37,7 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, log.select("index", "seq", "note").collect())) == sorted(map(tuple, batch.select("index", "seq", "note").collect()))
     samples = spark.range(60).withColumnRenamed("id", "index")
     counts = spark.read.schema("batch_id bigint, accepted bigint, from_queue bigint").parquet(str(tmp_path / "counts"))
-    assert tuple(S.progress_after_batches(samples, counts).first()) == tuple(Q.progress(samples, log).first())
+    assert tuple(S.progress_after_batches(60, counts).first()) == tuple(Q.progress(samples, log).first())
     assert counts.count() >= 3
 
 
@@ -50,8 +50,26 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
 
 
 def test_ids_logged_before_the_start_are_skipped(spark, tmp_path):
-    spark.createDataFrame([(7, 1, "new"), (8, 2, "new"), (8, 3, "late")], SCHEMA.replace("bigint", "bigint")).write.parquet(str(tmp_path / "in"))
-    before = spark.createDataFrame([(7,)], "index bigint")
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    S.accept_stream(stream, str(tmp_path / "log"), str(tmp_path / "state"), logged=before).awaitTermination()
-    assert [(r["index"], r["seq"]) for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "log")).collect()] == [(8, 2)]
+    # also after a restart, when the log has nothing new
+    source, old = tmp_path / "in", str(tmp_path / "old")
+    spark.createDataFrame([(7,), (7,), (None,), (9,)], "index bigint").write.parquet(old)
+    for rows in ([(7, 1, "new"), (8, 2, "new"), (8, 3, "late"), (None, 4, "none")], [(9, 5, "new"), (8, 6, "again"), (10, 7, None)]):
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+        logged = spark.readStream.schema("index bigint").parquet(old)
+        S.accept_stream(stream, str(tmp_path / "log"), str(tmp_path / "state"), logged=logged).awaitTermination()
+    got = spark.read.schema(SCHEMA).parquet(str(tmp_path / "log")).collect()
+    assert sorted((r["index"], r["seq"], r["note"]) for r in got) == [(8, 2, "new"), (10, 7, None)]
+
+
+def test_progress_by_bits(spark):
+    rnd = random.Random(4)
+    ids = lambda n: [(rnd.choice([rnd.randint(-40, 40), rnd.randint(0, 200_000), 2**40 + rnd.randint(0, 9)]),) for _ in range(n)]
+    samples, log = sorted(set(ids(3000))), [*ids(2000), (None,), (5,), (5,)]
+    a, b = (spark.createDataFrame(rows, "index bigint").repartition(5) for rows in (samples, log))
+    done = {i for i, in log if i is not None}
+    left = sum(i not in done for i, in samples)
+    got = Q.progress(a, b).first()
+    assert (got.total, got.annotated, got.remaining, got.percentage) == (len(samples), len(done), left, round(len(done) / len(samples) * 100, 1))
+    assert Q.submitted_ids(b).first().n == len(done)
+    assert tuple(Q.progress(a.limit(0), b.limit(0)).first()) == (0, 0, 0, 0.0)
