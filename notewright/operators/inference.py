@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Any
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from notewright import fixed_values as V
 from notewright.functions.text import render
 from notewright.operators.scaling import running_index
+from notewright.sources.scratch import scratch_path
 
 RESULT_FIELDS = "client int, response string, tokens bigint, attempts int, error string"
 
@@ -34,25 +36,26 @@ def assign_clients(df: DataFrame, clients: int, position: str, name: str = "clie
 
 
 class RateCap:
-    """Lets at most ``rate`` calls start per second, evenly spaced."""
+    """Lets at most ``rate`` calls start per second: each waits until the last one's start is ``1 / rate`` seconds ago."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic,
                  sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.clock, self.sleep, self.free_at = 1.0 / rate, clock, sleep, None
+        self.gap, self.clock, self.sleep, self.free_at, self.lock = 1.0 / rate, clock, sleep, None, Lock()
 
     def wait(self) -> None:
-        now = self.clock()
-        start = now if self.free_at is None else max(now, self.free_at)
-        self.free_at = start + self.gap
-        if start > now:
-            self.sleep(start - now)
+        with self.lock:  # threads start one after the other
+            while self.free_at is not None and (left := self.free_at - self.clock()) > 0:
+                self.sleep(left)
+            self.free_at = self.clock() + self.gap
 
 
 def call_with_retries(call: Callable[[int, str], Any], client: int, prompt: str, attempts: int,
-                      is_failure: Callable[[Any], bool] | None) -> tuple[Any, int, str | None]:
-    """Answer, number of tries and last error; the answer is None when every try failed."""
+                      is_failure: Callable[[Any], bool] | None, cap: RateCap | None = None) -> tuple[Any, int, str | None]:
+    """Answer, number of tries and last error; the answer is None when every try failed. Every try waits for the cap."""
     error = None
     for n in range(1, attempts + 1):
+        if cap:
+            cap.wait()
         try:
             answer = call(client, prompt)
         except Exception as e:  # the service may fail in any way; the row records how
@@ -73,9 +76,9 @@ def infer(df: DataFrame, key: str, prompt: str, call: Callable[[int, str], Any],
 
     ``call(client, prompt)`` returns a text, or a pair of text and token count. Rows
     take clients in turn. Under a rate each client works in ``lanes`` tasks that share it
-    evenly, so prompts per second stay under ``rate`` for each client however many tasks
-    run, and a lost executor costs one lane; tries after a failure follow at once and do
-    not wait again. Without a rate the input's own partitions do the calls. Rows stream
+    evenly, so calls per second stay under ``rate`` for each client however many tasks
+    run, and a lost executor costs one lane; tries after a failure count as calls and wait
+    as well. Without a rate the input's own partitions do the calls. Rows stream
     through in Arrow batches.
 
     The order of turns follows ``position``, or ``key`` where none is given (unique integers).
@@ -97,9 +100,7 @@ def infer(df: DataFrame, key: str, prompt: str, call: Callable[[int, str], Any],
             for batch in batches:
                 jobs = []
                 for client, text in zip(batch["client"], batch["_prompt"], strict=True):
-                    if cap:
-                        cap.wait()
-                    jobs.append(pool.submit(call_with_retries, call, int(client), text, attempts, is_failure))
+                    jobs.append(pool.submit(call_with_retries, call, int(client), text, attempts, is_failure, cap))
                 out = [j.result() for j in jobs]
                 answers = [a if isinstance(a, tuple) else (a, None) for a, _, _ in out]
                 yield pd.DataFrame({
@@ -131,25 +132,37 @@ def infer_in_steps(df: DataFrame, key: str, prompt: str, call: Callable[[int, st
                    **options: Any) -> DataFrame:
     """Run inference in ``steps`` shares and write each under ``path``; a restart skips finished shares.
 
-    A share is a hash range of the key and has its own folder; it is finished when the
-    folder holds as many rows as the share, so a job that dies repeats one share at most.
+    A share is a hash range of the key and has its own folder. The input is read once, to lay its shares apart in the
+    shared folder. A finished share leaves a note of the fingerprint of its input rows under ``path/_finished``, so a
+    share whose rows have changed is run anew, one that has lost all its rows is emptied, and a job that dies repeats one
+    share at most.
     """
-    spark = df.sparkSession
-    share = F.pmod(F.xxhash64(key), F.lit(steps))
-    for step in range(steps):
-        target, rows = f"{path}/step={step}", df.where(share == step)
-        if _rows_written(spark, target) != rows.count():
-            infer(rows, key, prompt, call, **options).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(path).drop("step")
+    spark, position = df.sparkSession, options.get("position") or key
+    share = F.pmod(F.xxhash64(key), F.lit(steps)).cast("int")
+    staged = scratch_path(spark, "prompts")
+    rows = df.select(*dict.fromkeys([key, position, prompt]), share.alias("step"))
+    rows.write.partitionBy("step").parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    mark = F.xxhash64(*dict.fromkeys([key, position, prompt]))
+    print_ = F.concat_ws(":", F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark))
+    wanted = {r["step"]: r["mark"] for r in rows.groupBy("step").agg(print_.alias("mark")).collect()}
+    finished = {r["step"]: r["mark"] for r in _read_or_empty(spark, f"{path}/_finished", "mark string, step int").collect()}
+    for step in sorted(wanted.keys() | finished.keys()):
+        if wanted.get(step) == finished.get(step):
+            continue
+        infer(rows.where(F.col("step") == step), key, prompt, call, **options).write.mode("overwrite").parquet(f"{path}/step={step}")
+        spark.range(1).select(F.lit(wanted.get(step)).cast("string").alias("mark")).write.mode("overwrite").parquet(f"{path}/_finished/step={step}")
+    kind = df.schema[key].dataType.simpleString()
+    return _read_or_empty(spark, path, f"{key} {kind}, {RESULT_FIELDS}, step int").drop("step")
 
 
-def _rows_written(spark: SparkSession, path: str) -> int | None:
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.parquet(path).count()
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there yet, or nothing whole
-            return None
-        raise
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def counters(results: DataFrame) -> DataFrame:

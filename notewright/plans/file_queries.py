@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notewright.functions import phenotypes as H
@@ -12,6 +16,7 @@ from notewright.plans.page_queries import RESULTS, details
 from notewright.plans.registry import query
 from notewright.plans.views import Inputs
 from notewright.sources import readers, writers
+from notewright.sources.scratch import settled
 
 NOTE_SCHEMA = "index bigint, description string, department string, scenario string, patient_id bigint"
 NOTE_ROWS = 'select idx as "index", description, department, scenario, patient_id from v_notes'
@@ -125,6 +130,33 @@ def l04(t: Inputs):
     return out.select("index", "response", "attempts")
 
 
+def timed():
+    """A service that fails the first try of every third length, and answers with the start of each try (microseconds)."""
+    starts: dict[str, list[int]] = {}
+
+    def call(client: int, prompt: str) -> str:
+        starts.setdefault(prompt, []).append(time.time_ns() // 1000)
+        if len(prompt) % 3 == 0 and len(starts[prompt]) == 1:
+            raise TimeoutError("busy")
+        return json.dumps(starts.pop(prompt))
+
+    return call
+
+
+@query("l05_rate_cap", """select cast((rn - 1) % 2 as int) as client, cast(sum(case when length(prompt) % 3 = 0 then 2 else 1 end) as bigint) as calls, true as under_rate
+  from (select concat(cast(doc_id as varchar), ':', text) as prompt, row_number() over (order by doc_id) as rn from documents) x group by 1""")
+def l05(t: Inputs):
+    """Two clients under a cap: calls, tries after failures included, and whether no second of a client saw more than its rate."""
+    rate, lanes = 4000, 4
+    rows = t("documents").select(F.col("doc_id").alias("index"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("prompt"))
+    out = I.infer(rows, "index", "prompt", timed(), clients=2, rate=rate, lanes=lanes, threads=1)
+    starts = settled(out.select("client", F.explode(F.from_json("response", "array<bigint>")).alias("at")), "call-starts")
+    # a lane's calls are a gap apart, so a second holds one more than the lane's share at most
+    second = Window.partitionBy("client").orderBy("at").rangeBetween(-999_999, 0)
+    seen = starts.withColumn("n", F.count(F.lit(1)).over(second))
+    return seen.groupBy("client").agg(F.count(F.lit(1)).alias("calls"), (F.max("n") <= rate + lanes).alias("under_rate"))
+
+
 @query("l06_rejected_answers", """select doc_id as "index", case when length(text) % 7 <> 0 then concat(cast(length(text) as varchar), ':', md5(text)) end as response,
   case when length(text) % 7 = 0 then 'rejected answer' end as error from documents""")
 def l06(t: Inputs):

@@ -75,13 +75,54 @@ def test_only_pending_rows_are_sent(spark):
 def test_steps_resume(spark, tmp_path):
     df = spark.range(60).select(F.col("id").alias("index"), F.lit("p").alias("prompt"))
     path = str(tmp_path / "out")
-    I.infer_in_steps(df, "index", "prompt", lambda c, p: "first", path, steps=4, rate=None)
-    spark.read.parquet(f"{path}/step=0").limit(1).write.parquet(f"{path}-kept")
-    spark.read.parquet(f"{path}-kept").write.mode("overwrite").parquet(f"{path}/step=1")
-    out = I.infer_in_steps(df, "index", "prompt", lambda c, p: "second", path, steps=4, rate=None)
-    rows = out.groupBy("response").count().collect()
-    assert out.count() == out.select("index").distinct().count() == 60
-    assert {r["response"] for r in rows} == {"first", "second"}
+
+    def run(rows, said):
+        out = I.infer_in_steps(rows, "index", "prompt", lambda c, p: f"{said}:{p}", path, steps=4, rate=None)
+        return {r["index"]: r["response"] for r in out.collect()}
+
+    share = {r["index"]: r["s"] for r in df.select("index", F.pmod(F.xxhash64("index"), F.lit(4)).alias("s")).collect()}
+    assert run(df, "first") == {i: "first:p" for i in range(60)}
+    assert run(df, "second") == {i: "first:p" for i in range(60)}
+    # a share that broke off before its note is run again
+    (tmp_path / "out" / "_finished" / "step=1").rename(tmp_path / "lost")
+    assert run(df, "third") == {i: "third:p" if share[i] == 1 else "first:p" for i in range(60)}
+    # as many rows as before, one of them changed
+    changed = df.withColumn("prompt", F.when(F.col("index") == 7, "q").otherwise(F.col("prompt")))
+    got = run(changed, "fourth")
+    assert got[7] == "fourth:q" and {i for i in got if got[i].startswith("fourth")} == {i for i in share if share[i] == share[7]}
+    # rows that are gone take their results along, also where none of a share is left
+    left = df.where(F.pmod(F.xxhash64("index"), F.lit(4)) != 2)
+    assert set(run(left, "fifth")) == {i for i in share if share[i] != 2}
+    assert run(df.limit(0), "none") == {}
+
+
+def test_the_input_is_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(40).select(F.col("id").alias("index"), F.lit("p").alias("prompt")).mapInArrow(counted, "index bigint, prompt string")
+    assert I.infer_in_steps(df, "index", "prompt", answer, str(tmp_path / "out"), steps=3, rate=None).count() == 40
+    assert seen.value == 40
+
+
+def test_every_try_waits_for_the_cap():
+    now, starts = [0.0], []
+
+    def sleep(s):
+        now[0] += s
+
+    def call(client, prompt):
+        starts.append(now[0])
+        raise ValueError("busy")
+
+    cap = I.RateCap(10, clock=lambda: now[0], sleep=sleep)
+    for _ in range(4):
+        I.call_with_retries(call, 0, "p", 3, None, cap)
+    assert len(starts) == 12 and all(b - a > 0.0999 for a, b in zip(starts, starts[1:]))
 
 
 def test_counters_and_responses(spark):
