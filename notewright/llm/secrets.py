@@ -63,10 +63,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def _hits(text: Column, rule: Rule) -> Column:
     """For each match: the length of the text before it since the last match, its own length, and its group's length."""
     every = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    counted = every if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    return F.transform(every, lambda hit, i: F.struct(
-        i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(hit).alias("size"), F.length(F.get(counted, i)).alias("counted")))
+    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(every))
+    # side by side first: inside the function the text would be searched again for every match
+    groups = [] if rule.group == 0 else [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))]
+    zipped, counted = F.arrays_zip(every, gaps, *groups), "2" if groups else "0"
+    return F.transform(zipped, lambda x, i: F.struct(
+        i.alias("i"), F.length(x["1"]).alias("gap"), F.length(x["0"]).alias("size"), F.length(x[counted]).alias("counted")))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -76,7 +78,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     count code points, ends are exclusive.
     """
     found = F.array(*[
-        F.struct(F.lit(r.key).alias("rule"), F.when(F.col("text").rlike(r.pattern), _hits(F.col("text"), r)).alias("hits"), F.lit(r.least).alias("least"))
+        F.struct(F.lit(r.key).alias("rule"), F.when(F.array_contains("todo", r.key) & F.col("text").rlike(r.pattern), _hits(F.col("text"), r)).alias("hits"), F.lit(r.least).alias("least"))
         for r in rules
     ])
     rows = blobs.select("blob", F.inline(F.filter(found, lambda f: F.array_contains(F.col("todo"), f["rule"]))))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from compare import connect, differences
@@ -47,6 +48,14 @@ def test_against_brute_force_and_second_run(spark):
     assert [tuple(s) for s in got["f" * 24 + "g" + "0" * 30]] == [(25, "hex", 55)]
 
 
+def test_many_matches_in_one_text(spark):
+    texts = [(n, "token=aaaaaa " * n) for n in (8000, 40_000)]
+    for n, text in texts:
+        began = time.time()
+        got = secrets.findings(spark.createDataFrame([(text,)], "text string"), shared_folder(spark, "ledger")).first()
+        assert len(got.secrets) == n and time.time() - began < 30  # in proportion; 8,000 took 39 s when it was not
+
+
 def test_empty_table_and_redaction(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.findings(df, shared_folder(spark, "ledger")).count() == 0
