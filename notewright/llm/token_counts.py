@@ -77,9 +77,16 @@ def signed(events: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def apply_batch(spark: SparkSession, store: str, batch: int, events: DataFrame) -> bool:
-    """Applies one batch of ``EVENTS`` rows; False if it was applied before."""
+    """Applies one batch of ``EVENTS`` rows; False if it was applied before.
+
+    Batches come in ascending order, gaps allowed, since a later one overrides: one below the last that was applied is
+    refused with a ValueError. An event without text or tokens counts none; further columns are passed over.
+    """
     if is_done(spark, store, batch):
         return False
+    last = _done(spark, store).agg(F.max("batch")).first()[0]
+    if last is not None and batch < last:
+        raise ValueError(f"batch {batch} comes after batch {last}")
     end = f"batch={batch}/attempt={uuid.uuid4().hex}"
     signed(events, state(spark, store)).select(
         "doc_id", "tokenizer", "now.source", "now.lang", "now.n_tokens", (F.col("now.op") != "delete").alias("alive"), "changes",

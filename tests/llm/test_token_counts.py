@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from compare import connect, differences
 
 from notewright.llm import token_counts as tc
@@ -46,6 +47,22 @@ def test_a_batch_that_broke_off_is_written_anew(spark):
     assert tc.totals(spark, store).count() == 1
 
 
+def test_batches_out_of_order_are_refused(spark):
+    store = shared_folder(spark, "counts")
+    for batch, n in ((1, 10), (3, 20)):
+        tc.apply_batch(spark, store, batch, spark.createDataFrame([(1, "a", "s", "en", n, "insert", 0, "extra")], tc.EVENTS + ", batch string"))
+    with pytest.raises(ValueError, match="comes after"):
+        tc.apply_batch(spark, store, 2, spark.createDataFrame([(1, "a", "s", "en", 30, "revise", 0)], tc.EVENTS))
+    assert not tc.apply_batch(spark, store, 1, spark.createDataFrame([], tc.EVENTS))
+    tc.apply_batch(spark, store, 7, spark.createDataFrame([(1, "a", "s", "en", 40, "revise", 0)], tc.EVENTS))
+    assert [x.n_tokens for x in tc.totals(spark, store).collect()] == [40]
+
+
+def test_null_texts_count_no_tokens(spark):
+    got = spark.createDataFrame([(None,), ("",), ("a b",)], "text string").select(*[tc.count_tokens(tc.F.col("text"), x) for x in tc.COUNTERS]).collect()
+    assert [tuple(r) for r in got] == [(0, 0), (0, 0), (2, 2)]
+
+
 def test_query_against_sql(spark):
     folder = "/root/testdata/sf0.01"
     n, wrong = differences(QUERIES["op9_token_counts"](spark, folder), connect(folder), ORACLES["op9_token_counts"])
