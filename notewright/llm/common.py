@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from contextlib import contextmanager
 
@@ -93,14 +91,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results were written, before the next step makes its own.
-
-    They go when the driver collects its garbage: first the handles that Python holds, then what those held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)

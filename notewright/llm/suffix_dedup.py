@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import release, written
+from notewright.llm.common import free_name, written
 
 
 @dataclass(frozen=True)
@@ -248,11 +248,11 @@ def _batches(pieces, schema: pa.Schema, most: int = 500_000):
 
 
 def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
-    """(doc_id, spans): per document with any, the byte ranges [start, end) covered by strings that also start in a smaller document.
+    """(doc_id, text_hash, spans): for texts with any, the byte ranges [start, end) covered by strings that also start in a smaller document.
 
     ``spans`` is array<struct<start:int,end:int>>, disjoint, ascending, maximal.
     """
-    docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data"))
+    docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).cast("binary").alias("data"))
 
     def placed(batches):
         schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64())])
@@ -270,27 +270,25 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     shared = runs.groupBy("key").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low <> _high").select("key")
     # a document's anchors that others hold too; folded per document
     flagged = written(runs.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set("first").alias("firsts")), "shared-anchors")
-    release(df.sparkSession)
 
     def cut(batches):
-        schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("stretch", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("stretch", pa.binary())])
 
         def pieces():
             for b in batches:
-                for doc, data, firsts in zip(b["doc"].to_pylist(), b["data"], b["firsts"]):
+                for doc, text_hash, data, firsts in zip(b["doc"].to_pylist(), b["hash"].to_pylist(), b["data"], b["firsts"]):
                     data = data.as_py()
                     first, count, key = anchors(data, s)
                     keep = np.isin(first, firsts.values.to_numpy())
                     first, ends = first[keep], first[keep] + count[keep] + s.length - 1
-                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(first.astype(np.int32)), pa.array(key[keep]),
+                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(np.full(len(first), text_hash, np.int64)), pa.array(first.astype(np.int32)), pa.array(key[keep]),
                            pa.array([data[f:e] for f, e in zip(first.tolist(), ends.tolist())], pa.binary())]
 
         yield from _batches(pieces(), schema)
 
-    stretches = docs.join(flagged, "doc").mapInArrow(cut, "doc long, first int, key long, stretch binary")
-    stretches = stretches.select("doc", "first", "key", "stretch", F.struct(F.xxhash64("stretch").alias("p"), F.xxhash64(F.lit(1), "stretch").alias("q")).alias("name"))
+    stretches = docs.join(flagged, "doc").mapInArrow(cut, "doc long, hash long, first int, key long, stretch binary")
+    stretches = stretches.select("doc", "hash", "first", "key", "stretch", F.struct(F.xxhash64("stretch").alias("p"), F.xxhash64(F.lit(1), "stretch").alias("q")).alias("name"))
     stretches = written(stretches, "stretches")
-    release(df.sparkSession)
     distinct = stretches.groupBy("key", "stretch").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("name").alias("name"))
     distinct = written(distinct, "distinct-stretches")
     volume = distinct.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
@@ -321,10 +319,10 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     runs_of = distinct.select(shard, "key", "stretch", "least", "name").groupBy("shard").applyInArrow(judged, "p long, q long, skip int, count int, low long")
     told = runs_of.groupBy("p", "q").agg(F.collect_list(F.struct("skip", "count", "low")).alias("runs"))
-    covered = stretches.select("doc", "first", "name").join(told, (F.col("name.p") == F.col("p")) & (F.col("name.q") == F.col("q")))
-    covered = covered.select("doc", "first", F.inline("runs")).where("low < doc").select(
-        "doc", (F.col("first") + F.col("skip")).alias("start"), (F.col("first") + F.col("skip") + F.col("count") + s.length - 1).alias("end"))
-    spans = covered.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    covered = stretches.select("doc", "hash", "first", "name").join(told, (F.col("name.p") == F.col("p")) & (F.col("name.q") == F.col("q")))
+    covered = covered.select("doc", "hash", "first", F.inline("runs")).where("low < doc").select(
+        "doc", "hash", (F.col("first") + F.col("skip")).alias("start"), (F.col("first") + F.col("skip") + F.col("count") + s.length - 1).alias("end"))
+    spans = covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def merged(lists: pa.Array) -> pa.Array:
@@ -339,20 +337,19 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
             out.append(spans)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    out = written(spans.select(F.col("doc").alias("doc_id"), merged("spans").alias("spans")), "repeated-spans")
-    release(df.sparkSession)
-    return out
+    return written(spans.select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), merged("spans").alias("spans")), "repeated-spans")
 
 
 def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
     """Adds repeated_spans (byte ranges) and kept (the other bytes, binary) to every row.
 
     Null and empty texts and texts under ``length`` bytes have no spans; a null text keeps no bytes. Rows that repeat an id
-    count as one document for comparison, so they don't repeat each other, and all get the spans of that id's rows together.
+    count as one document for comparison, so they don't repeat each other, but each loses bytes by its own text.
     A row without an id is compared with nothing. Columns of these names are replaced.
     """
-    found = repeated(df, text, doc_id, s).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = df.join(found, F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
+    doc, mark, own = (free_name(df, x) for x in ("_doc", "_text_hash", "_spans"))
+    found = repeated(df, text, doc_id, s).toDF(doc, mark, own)
+    joined = df.join(found, (F.col(doc_id).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(mark)), "left").drop(doc, mark)
 
     @F.arrow_udf("binary")
     def rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -365,5 +362,5 @@ def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
             out.append(b"".join([*parts, data[at:]]))
         return pa.array(out, pa.binary())
 
-    spans = F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))
-    return joined.withColumns({"repeated_spans": spans, "kept": rest(F.col(text), F.col("_spans"))}).drop("_spans")
+    spans = F.coalesce(own, F.array().cast("array<struct<start:int,end:int>>"))
+    return joined.withColumns({"repeated_spans": spans, "kept": rest(F.col(text), F.col(own))}).drop(own)

@@ -81,6 +81,13 @@ def test_rows_against_brute_force(spark):
     assert sd.without_repeats(df.limit(0), s=s).count() == 0
 
 
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    c, x, y = "one passage of forty letters or more, it is" * 3, "with an end" * 9, "nothing that stands anywhere else " * 5
+    df = spark.createDataFrame([(1, c, 5), (2, c + x, 6), (2, y, 7)], "doc_id long, text string, _spans int")
+    got = {(r.doc_id, r.text): (bytes(r.kept).decode(), r._spans) for r in sd.without_repeats(df).collect()}
+    assert got == {(1, c): (c, 5), (2, c + x): (x, 6), (2, y): (y, 7)}
+
+
 def test_query_against_brute_force(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     want = brute(rows, 50)
