@@ -123,6 +123,12 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     return met.join(texts.select(key, text), key).where(contained).select(key, term)
 
 
+def tag_texts(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str) -> DataFrame:
+    """``(key, terms)``: the sorted terms that each text contains, none for a null text; the extractor that needs no service."""
+    found = find_terms(texts, terms, key, text, term).groupBy(key).agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    return texts.select(key).join(found, key, "left").select(key, F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+
+
 def match_pages(diseases: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Pages that contain a disease's name or one of its variants, with the longest variant that matched.
 

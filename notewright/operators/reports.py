@@ -132,12 +132,14 @@ def patient_specific(rows: DataFrame, key: str = "report_id") -> DataFrame:
     ``pos`` orders the patient list, which keeps repeats; family and all are sets with
     ``pos`` null. The long form is the one to compute with: no report is gathered.
     """
-    long = phenotype_rows(rows, key)
-    patient = long.where(F.col("role") == "patient").select(key, F.lit("patient").alias("labels"), "pos", "phenotype")
-    as_set = [F.lit(None).cast("int").alias("pos"), F.col("phenotype")]
-    family = family_phenotypes(rows, key).select(key, F.lit("family").alias("labels"), *as_set)
-    everyone = all_phenotypes(rows, key).select(key, F.lit("all").alias("labels"), *as_set)
-    return patient.unionByName(family).unionByName(everyone)
+    none = F.lit(None).cast("int")
+    in_all = F.struct(F.lit("all").alias("labels"), none.alias("pos"))
+    own = F.when(F.col("role") == "patient", F.struct(F.lit("patient").alias("labels"), "pos")).otherwise(F.struct(F.lit("family").alias("labels"), none.alias("pos")))
+    listed = phenotype_rows(rows, key).select(key, "phenotype", F.explode(F.array(own, in_all)).alias("_l"))
+    # one grouping makes the sets and keeps the patient's repeats by their number
+    counted = listed.groupBy(key, F.col("_l.labels").alias("labels"), F.col("_l.pos").alias("pos"), "phenotype").agg(F.count(F.lit(1)).alias("_n"))
+    times = F.when(F.col("labels") == "patient", F.col("_n")).otherwise(F.lit(1)).cast("int")
+    return counted.select(key, "labels", "pos", "phenotype", F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
 
 def label_records(reports: DataFrame, position: str) -> DataFrame:

@@ -33,6 +33,15 @@ def k01(t: Inputs):
     return t.spark.read.parquet(folder)
 
 
+@query("s01_json_arrays", NOTE_ROWS)
+def s01(t: Inputs):
+    """Notes written as JSON arrays of up to a thousand, a file each, and read by one scan."""
+    folder, rows = t.scratch("arrays"), notes(t)
+    arrays = rows.groupBy(F.expr("index div 1000").alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.write.partitionBy("file").text(folder)
+    return readers.read_samples(t.spark, f"{folder}/*", NOTE_SCHEMA)
+
+
 @query("s02_strict_lines", NOTE_ROWS)
 def s02(t: Inputs):
     folder = t.scratch("lines")

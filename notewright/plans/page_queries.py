@@ -309,6 +309,17 @@ def w04(t: Inputs):
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "a.href")
 
 
+NOISY = f"""(select page_id, concat(substring(url, 1, cast(8 + page_id % 200 as int)), case page_id % {len(V.LINK_NOISE) + 1} {" ".join(f"when {i} then {q(w)}" for i, w in enumerate(V.LINK_NOISE))} else ' title' end) as text from pages)"""
+
+
+@query("f11_noise_links", f"""select page_id, length(text) between {V.LINK_TEXT_BAND[0]} and {V.LINK_TEXT_BAND[1]} and {" and ".join(f"not contains(text, {q(w)})" for w in V.LINK_NOISE)} as kept from {NOISY} x""")
+def f11_noise(t: Inputs):
+    """Link texts of which most hold one of the words of site navigation."""
+    noise = F.element_at(F.lit([*V.LINK_NOISE, " title"]), (F.col("page_id") % (len(V.LINK_NOISE) + 1) + 1).cast("int"))
+    text = F.concat(F.substring(F.col("url"), F.lit(1), (8 + F.col("page_id") % 200).cast("int")), noise)
+    return t("pages").select("page_id", H.is_content_link(text).alias("kept"))
+
+
 SEARCHED = f"""{RESULTS}, s as (select page_id + 1 as disease_id, case when page_id % 7 = 0 then false when page_id % 4 = 3 then true end as has, case when page_id % 7 = 0 then 'TimeoutError: search' end as error from pages),
   cs as (select c.id, c.disease, s.error, case when s.error is null then c.result_count else 0 end as result_count, case when s.error is null then c.titles end as titles,
     case when s.error is null then c.n_pdf else 0 end as n_pdf, coalesce(s.has, c.result_count > 0) as has_results from c left join s on s.disease_id = c.id)"""

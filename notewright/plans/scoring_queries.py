@@ -225,6 +225,13 @@ def j07(t: Inputs):
     return T.lookup_join(found, words, ["term"], ["doc_id"]).select("doc_id", "hpo_id", "term")
 
 
+@query("u02_dictionary_extractor", f"""with {WORDS} select d.doc_id, count(w.term) as n, coalesce(string_agg(w.term, '|' order by w.term), '') as terms
+  from documents d left join w on contains(d.text, w.term) group by d.doc_id""")
+def u02_dictionary(t: Inputs):
+    tagged = T.tag_texts(t("documents"), settled(word_dictionary(t).select("term"), "words"), "doc_id", "text", "term")
+    return tagged.select("doc_id", F.size("terms").cast("bigint").alias("n"), F.array_join("terms", "|").alias("terms"))
+
+
 VARIANTS = f"""(select id, list_distinct(list_filter([n, case when ends_with(n, '型') then n[:-2] end, case when ends_with(n, '综合征') then n[:-4] end,
     case when ends_with(n, '综合征') then {sql_trim("replace(n, '综合征', '')")} end, case when ends_with(n, '症') then n[:-2] end,
     {sql_sub('n', r'[0-9]+型$')}], lambda v: v is not null and v <> '')) as variants from {{}})"""
