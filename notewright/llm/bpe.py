@@ -29,9 +29,10 @@ from tokenizers import Tokenizer
 
 from notewright.llm.common import worker_cache
 
-PIECE_CACHE = 150_000  # pieces between blanks whose tokens a worker keeps at once
+PIECE_CACHE = 250_000  # pieces between blanks whose tokens a worker keeps at once
 CACHED_LENGTH = 48
 _UNUSUAL = re.compile(r"[^\x00-ɏ]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # blanks to Python's split alone
 
 
 def byte_letters() -> list[str]:
@@ -81,6 +82,8 @@ class BpeTables:
             raise ValueError("only vocabularies with NFC, white-space, lower-case normalisation and no decoder are known")
         self._library = Tokenizer.from_str(data.decode("utf-8"))
         self._word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if "(?" in self._word.pattern:
+            raise ValueError("a word must be a word by itself too, whatever stands around it")
         self._blank = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
@@ -123,7 +126,8 @@ class BpeTables:
             # a token that its own text's merges never reach can't occur
             if i < 512 or self._border_stands(self.left[i], self.right[i], i):
                 known[t] = i
-                self.matches.add_word(t, (len(t) - 1, i))
+                if len(t) > 1:  # a single letter is its own token
+                    self.matches.add_word(t, (len(t) - 1, i))
         self.matches.make_automaton()
         # the longest shorter token that a token starts with
         self.shorter = [-1] * len(names)
@@ -135,7 +139,6 @@ class BpeTables:
         pieces = [(by_id[i] + " ").encode("utf-8") if i in by_id else b"" for i in range(max(by_id) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self._words = Cache(self.encode_word)
         self._pieces = Cache(self.encode_piece)
 
     def _border_stands(self, a: int, b: int, limit: int) -> bool:
@@ -159,7 +162,8 @@ class BpeTables:
         codes = word.encode("utf-8")
         n = len(codes)
         text = codes[:-1].decode("latin-1") + chr(codes[-1] + 256)
-        longest = [0] * n
+        longest = list(codes)  # letters' tokens have the letters' numbers
+        longest[-1] += 256
         for end, (before, token) in self.matches.iter(text):
             longest[end - before] = token  # ends ascend, so the longest match of a start comes last
         at, token, length, known = 0, longest[0], self.length, self._compatible
@@ -196,9 +200,12 @@ class BpeTables:
         packed = self.packed
         return b"".join([packed[t] for t in tokens])
 
-    def _plain(self, text: str) -> str:
-        """The normalised text."""
-        return self._blank.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()  # letter by letter, without the final form
+    def _plain_pieces(self, text: str) -> list[str]:
+        """What stands between the blanks of the normalised text."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter, without the final form
+        if any(c in text for c in _SEPARATORS):
+            return self._blank.sub(" ", text).lower().split(" ")
+        return text.lower().split()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text as int32."""
@@ -206,17 +213,18 @@ class BpeTables:
         for part in self._cut.split(text) if self._cut and "<|" in text else (text,):
             if part in self._special:
                 out.append(_packed([self._special[part]]))
-            elif _UNUSUAL.search(part) and any(unicodedata.category(c) == "Cn" for c in set(part)):
+            elif not part.isascii() and _UNUSUAL.search(part) and any(unicodedata.category(c) == "Cn" for c in set(part)):
                 # letters newer than this Python's tables: the library's own tables decide where words end
                 plain = self._library.normalizer.normalize_str(part)
                 out += [self.encode_word(plain[a:b]) for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(plain)]
             else:
-                out += map(self._pieces.__getitem__, self._plain(part).split(" "))  # words hold no blanks
+                out += map(self._pieces.__getitem__, self._plain_pieces(part))  # words hold no blanks
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def encode_piece(self, piece: str) -> bytes:
         """The packed ids of text between two blanks."""
-        return b"".join([self._words[w] for w in self._word.findall(piece)])
+        words = self._word.findall(piece)
+        return self.encode_word(piece) if words == [piece] else b"".join([self._pieces[w] for w in words])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' texts joined by one blank; unknown ids are left out."""
