@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HELD_OUT_REMAINDER = 2
+BATCH_BYTES = 8 << 20  # of the rows that a Python worker gets at once, while a step is written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,24 +45,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Within it, the shuffle files of a query go as soon as the query has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def lean_steps(spark: SparkSession):
+    """Within it, the shuffle files of a query go as soon as it has ended, and Python workers get their rows in small batches."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back; cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    with shuffles_dropped(df.sparkSession):
+    with lean_steps(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,7 +77,7 @@ class Steps:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """As ``written`` does; a name is used once."""
-        with shuffles_dropped(self.spark):
+        with lean_steps(self.spark):
             df.write.parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 

@@ -48,6 +48,11 @@ class Settings:
     block_tokens: int = 1_500_000  # of a block
     block_sets: int = 4000
 
+    @property
+    def least(self) -> int:
+        """Size below which a set has no partner but equals."""
+        return math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 30
+
 
 class WordHashes:
     """Hashes of a text's words, all at once: sums of byte values times powers of an odd number, modulo 2 to the 64."""
@@ -83,6 +88,15 @@ class WordHashes:
         np.cumsum(self.values[b] * self.powers[: len(b)], out=sums[1:])
         return self.mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
+    def of_spans(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges [start, end) of a text."""
+        b = np.frombuffer(data, dtype=np.uint8)
+        if len(b) > len(self.powers):
+            self._extend(len(b))
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(self.values[b] * self.powers[: len(b)], out=sums[1:])
+        return self.mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
     def of_text(self, data: bytes) -> np.ndarray:
         if len(data) <= PIECE:
             return self.of_piece(data)
@@ -130,6 +144,11 @@ def needed(n: Column, s: Settings) -> Column:
     return F.floor((n * s.percent + 99) / 100).cast("int")
 
 
+def first_shared(n: Column, s: Settings) -> Column:
+    """k of the prefixes in the order of hashes, for a set of n tokens."""
+    return F.greatest(F.lit(1), F.floor(n * s.first_share)).cast("int")
+
+
 def link_block(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among a block's sets; tokens of set i are tokens[offsets[i]:offsets[i + 1]]."""
     n = len(ids)
@@ -208,21 +227,21 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settin
     tokens = shingles(rows, F.col("text"), s)
     print_ = F.when(F.size("_tokens") > 0, F.struct(F.xxhash64("_tokens").alias("p"), F.xxhash64(F.lit(1), "_tokens").alias("q")))
     tokens = tokens.select("id", F.size("_tokens").alias("n"), print_.alias("set"), "_tokens")
-    sets = written(tokens.select("id", "n", "set"), "shingle-sets")  # narrow
+    # texts are hashed once; prefixes are exploded from what was written, without Python workers beside it
+    prefix = F.when(F.col("n") >= s.least, F.slice("_tokens", 1, F.col("n") - needed(F.col("n"), s) + first_shared(F.col("n"), s)))
+    sets = written(tokens.select("id", "n", "set", prefix.alias("prefix")), "shingle-sets")
     classes = sets.where("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    links = components(_links(df.sparkSession, rows, tokens, classes, s)).withColumnRenamed("component", "_least")
+    links = components(_links(rows, sets, classes, s)).withColumnRenamed("component", "_least")
     known = classes.join(links, F.col("rep") == F.col("node"), "left").select(F.col("set").alias("_set"), F.coalesce("_least", "rep").alias("_component"))
     out = sets.join(known, F.col("set") == F.col("_set"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("_component")).alias("component_id"))
 
 
-def _links(spark, rows: DataFrame, tokens: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+def _links(rows: DataFrame, sets: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Edges between classes' representatives whose sets are similar: enough of them to connect what links connect."""
-    least = math.ceil(s.percent / (100 - s.percent)) if s.percent < 100 else 1 << 30  # smaller sets have no partner but equals
     # 2. prefixes in the order of hashes, extended so that partners share k of their tokens
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * s.first_share)).cast("int")
-    length = F.col("n") - needed(F.col("n"), s) + k
-    prefix = tokens.where(F.col("n") >= least).select(F.col("set.p").alias("p"), F.explode(F.slice("_tokens", 1, length)).alias("token"))
+    k = first_shared(F.col("n"), s)
+    prefix = sets.where(F.col("n") >= s.least).select(F.col("set.p").alias("p"), F.explode("prefix").alias("token"))
     shared = prefix.groupBy("token").agg(F.min("p").alias("_low"), F.max("p").alias("_high")).where("_low <> _high").select("token")
     alive = prefix.join(shared, "token", "left_semi").groupBy("p").agg(F.count(F.lit(1)).alias("_shared"))
     # each copy of a set brought its tokens once
