@@ -3,8 +3,8 @@
 Every string of ``length`` bytes holds an anchor: of its short grams the one with the least hash. Strings that are equal
 have the same anchor at the same place, so a document's strings with one anchor occurrence (a stretch of at most
 ``2 length - gram`` bytes) can be judged together with those of equal anchors, in one shard, wherever they stem from.
-Anchors that one document alone holds are left out before any text moves; equal stretches are folded into one with the
-least document id.
+Of equal texts only the one with the least id is searched. Anchors that one document alone holds are left out before any
+text moves. Stretches are kept as places with a hash; of equal ones only the least document's bytes go to a shard.
 
 Within a shard all suffixes of its stretches are sorted by induction: the order of the leftmost S suffixes induces that
 of all others, bucket by bucket, through queues of suffix tuples that go to disk when they outgrow their room.
@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import free_name, written
+from notewright.llm.common import Steps, free_name, worker_cache
+from notewright.llm.ngram_join import WordHashes
 
 
 @dataclass(frozen=True)
@@ -252,7 +253,12 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
 
     ``spans`` is array<struct<start:int,end:int>>, disjoint, ascending, maximal.
     """
+    steps = Steps(df.sparkSession, "suffix-dedup")
     docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).cast("binary").alias("data"))
+    # of equal texts the smallest id alone is searched; the others lose all their strings to it
+    names = docs.select("doc", "hash", F.xxhash64(F.lit(1), "data").alias("hash2"), F.octet_length("data").alias("size"))
+    reps = steps.written(names.groupBy("hash", "hash2").agg(F.min("doc").alias("doc")), "first-copies")
+    copies = names.where(F.col("size") >= s.length).join(reps, ["doc", "hash", "hash2"], "left_anti").select("doc", "hash", F.lit(0).alias("start"), F.col("size").alias("end"))
 
     def placed(batches):
         schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64())])
@@ -269,10 +275,15 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     runs = docs.mapInArrow(placed, "doc long, first int, key long")
     shared = runs.groupBy("key").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low <> _high").select("key")
     # a document's anchors that others hold too; folded per document
-    flagged = written(runs.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set("first").alias("firsts")), "shared-anchors")
+    flagged = runs.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set("first").alias("firsts"))
+    flagged = steps.written(flagged.join(reps.select("doc", "hash").distinct(), "doc"), "shared-anchors")
 
     def cut(batches):
-        schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("stretch", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("name", pa.int64())])
+        cache = worker_cache()
+        if "byte-hashes" not in cache:
+            cache["byte-hashes"] = WordHashes()
+        hashes = cache["byte-hashes"]
 
         def pieces():
             for b in batches:
@@ -280,27 +291,49 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
                     data = data.as_py()
                     first, count, key = anchors(data, s)
                     keep = np.isin(first, firsts.values.to_numpy())
-                    first, ends = first[keep], first[keep] + count[keep] + s.length - 1
-                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(np.full(len(first), text_hash, np.int64)), pa.array(first.astype(np.int32)), pa.array(key[keep]),
-                           pa.array([data[f:e] for f, e in zip(first.tolist(), ends.tolist())], pa.binary())]
+                    first, size = first[keep], count[keep] + s.length - 1
+                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(np.full(len(first), text_hash, np.int64)), pa.array(first.astype(np.int32)),
+                           pa.array(size.astype(np.int32)), pa.array(key[keep]), pa.array(hashes.of_spans(data, first, first + size).view(np.int64))]
 
         yield from _batches(pieces(), schema)
 
-    stretches = docs.join(flagged, "doc").mapInArrow(cut, "doc long, hash long, first int, key long, stretch binary")
-    stretches = stretches.select("doc", "hash", "first", "key", "stretch", F.struct(F.xxhash64("stretch").alias("p"), F.xxhash64(F.lit(1), "stretch").alias("q")).alias("name"))
-    stretches = written(stretches, "stretches")
-    distinct = stretches.groupBy("key", "stretch").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("name").alias("name"))
-    distinct = written(distinct, "distinct-stretches")
-    volume = distinct.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
+    # places alone; a stretch goes by its anchor's hash and its own, 128 bits in all
+    stretches = docs.join(flagged, ["doc", "hash"]).mapInArrow(cut, "doc long, hash long, first int, size int, key long, name long")
+    stretches = steps.written(stretches, "stretches")
+    steps.drop("shared-anchors")
+    distinct = stretches.groupBy("key", "name").agg(F.min(F.struct("doc", "hash", "first", "size")).alias("at"))
+    wanted = distinct.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.collect_list(F.struct("at.first", "at.size", "key", "name")).alias("wanted"))
+    wanted = steps.written(wanted, "distinct-stretches")
+    volume = wanted.agg(F.sum(F.aggregate("wanted.size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(1, -(-volume // s.shard_bytes))
 
+    def fetched(batches):
+        schema = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("least", pa.int64()), ("stretch", pa.binary())])
+
+        def pieces():
+            for b in batches:
+                for doc, data, places in zip(b["doc"].to_pylist(), b["data"], b["wanted"]):
+                    data, places = data.as_py(), places.values
+                    first, size = (places.field(x).to_numpy() for x in ("first", "size"))
+                    yield [places.field("key"), places.field("name"), pa.array(np.full(len(first), doc, np.int64)),
+                           pa.array([data[f:e] for f, e in zip(first.tolist(), (first + size).tolist())], pa.binary())]
+
+        yield from _batches(pieces(), schema, 100_000)
+
+    # rows that repeat id and text are one document
+    texts = docs.join(wanted, ["doc", "hash"]).mapInArrow(fetched, "key long, name long, least long, stretch binary")
+
     def judged(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        names = table["name"].combine_chunks()
         least = table["least"].to_numpy()
         # an anchor with one stretch: all its strings are those of the least document
-        _, of, count = np.unique(table["key"].to_numpy(), return_inverse=True, return_counts=True)
-        alone, several = np.flatnonzero(count[of] == 1), np.flatnonzero(count[of] > 1)
+        keys, names = table["key"].to_numpy(), table["name"].to_numpy()
+        _, of = np.unique(keys, return_inverse=True)
+        low_name, high_name = np.full(of.max() + 1, names.max()), np.full(of.max() + 1, names.min())
+        np.minimum.at(low_name, of, names)
+        np.maximum.at(high_name, of, names)
+        single = (low_name == high_name)[of]
+        alone, several = np.flatnonzero(single), np.flatnonzero(~single)
         sizes = pc.binary_length(table["stretch"]).to_numpy()
         owner, place, group = equal_windows(table["stretch"].take(pa.array(several)).to_pylist(), s.length, s.queue_bytes)
         owner = several[owner]
@@ -314,15 +347,17 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         skip = np.concatenate([place[at], np.zeros(len(alone), np.int64)]).astype(np.int32)
         count = np.concatenate([np.diff(np.append(at, len(owner))), sizes[alone] - s.length + 1]).astype(np.int32)
         low = np.concatenate([low[at], least[alone]])
-        return pa.table({"p": names.field("p").take(pa.array(rows)), "q": names.field("q").take(pa.array(rows)), "skip": skip, "count": count, "low": low})
+        return pa.table({"key": table["key"].take(pa.array(rows)), "name": table["name"].take(pa.array(rows)), "skip": skip, "count": count, "low": low})
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    runs_of = distinct.select(shard, "key", "stretch", "least", "name").groupBy("shard").applyInArrow(judged, "p long, q long, skip int, count int, low long")
-    told = runs_of.groupBy("p", "q").agg(F.collect_list(F.struct("skip", "count", "low")).alias("runs"))
-    covered = stretches.select("doc", "hash", "first", "name").join(told, (F.col("name.p") == F.col("p")) & (F.col("name.q") == F.col("q")))
+    runs_of = texts.select(shard, "*").groupBy("shard").applyInArrow(judged, "key long, name long, skip int, count int, low long")
+    # written, so that the texts' shuffle goes before stretches are joined
+    told = steps.written(runs_of, "judged").groupBy("key", "name").agg(F.collect_set(F.struct("skip", "count", "low")).alias("runs"))
+    steps.drop("distinct-stretches")
+    covered = stretches.join(told, ["key", "name"])
     covered = covered.select("doc", "hash", "first", F.inline("runs")).where("low < doc").select(
         "doc", "hash", (F.col("first") + F.col("skip")).alias("start"), (F.col("first") + F.col("skip") + F.col("count") + s.length - 1).alias("end"))
-    spans = covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = covered.unionByName(copies).groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def merged(lists: pa.Array) -> pa.Array:
@@ -337,7 +372,9 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
             out.append(spans)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    return written(spans.select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), merged("spans").alias("spans")), "repeated-spans")
+    found = steps.written(spans.select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), merged("spans").alias("spans")), "repeated-spans")
+    steps.drop("first-copies", "stretches", "judged")
+    return found
 
 
 def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Settings = Settings()) -> DataFrame:
