@@ -89,8 +89,12 @@ def member(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
     total = 10 + 2 + 8 + len(body) + 8
-    extra = EXTRA + struct.pack("<HI", 4, total)
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if total > 0xFFFFFFFF:  # its length has no room in the field: a plain member, whose end a reader finds by inflating
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    else:
+        extra = EXTRA + struct.pack("<HI", 4, total)
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 class _Text:
@@ -126,14 +130,23 @@ class _Text:
                 return out
         return b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (i := self.buffer.find(mark)) < 0:
-            piece = self.more()
-            if not piece or len(self.buffer) > most:
+    def until(self, mark: bytes, most: int | None = None) -> bytes:
+        """What comes up to the end of a mark; empty where ``most`` bytes hold none. An error where the text ends without it."""
+        parts, kept = [], self.buffer
+        size = len(kept)
+        while (i := kept.find(mark)) < 0:
+            if most is not None and size > most:
+                self.buffer = b"".join([*parts, kept])
                 return b""
-            self.buffer += piece
-        out, self.buffer = self.buffer[: i + len(mark)], self.buffer[i + len(mark) :]
-        return out
+            piece = self.more()
+            if not piece:
+                raise ValueError("a record ends within its headers")
+            # the mark may lie across two pieces
+            cut = max(0, len(kept) - len(mark) + 1)
+            parts.append(kept[:cut])
+            kept, size = kept[cut:] + piece, size + len(piece)
+        self.buffer = kept[i + len(mark) :]
+        return b"".join([*parts, kept[: i + len(mark)]])
 
     def take(self, n: int, keep: bool) -> bytes:
         parts = []
@@ -168,7 +181,7 @@ def read_records(f, size: int, start: int, wanted, payloads: bool) -> Iterator[t
             text.buffer = first.lstrip(b"\r\n")
             if not text.buffer:
                 return
-        version = text.until(b"\r\n")
+        version = text.until(b"\r\n", CHUNK)
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
         # some writers send no header at all; then the blank line follows at once

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import os
 
+import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
@@ -88,3 +89,20 @@ def test_query_against_sql(spark):
     folder = "/root/testdata/sf0.01"
     n, wrong = differences(QUERIES["op6_warc"](spark, folder), connect(folder), ORACLES["op6_warc"])
     assert n == 250 and not wrong, wrong
+
+
+def test_headers_of_any_length():
+    import io
+    import random
+
+    r = random.Random(3)
+    row = {"record_type": "response", "record_id": "<a>", "date": "d", "refers_to": None, "payload_digest": "00" * 20, "payload_bytes": 4, "payload": b"text"}
+    for size in (10, 70_000, 1_200_000, 3_000_000):
+        uri = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=size))  # does not inflate in one step
+        raw = warc.record_bytes({**row, "target_uri": uri})
+        for data in (warc.member(raw) * 2, gzip.compress(raw) * 2, raw * 2):
+            found = list(warc.read_records(io.BytesIO(data), len(data), 0, lambda h: h.get("warc-type") == "response", True))
+            assert [(h["warc-target-uri"] == uri, p) for h, p in found] == [(True, b"text")] * 2
+    cut = gzip.compress(warc.record_bytes({**row, "target_uri": "u"})[:60])
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(cut), len(cut), 0, lambda h: True, True))
