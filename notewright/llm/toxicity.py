@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import worker_cache, written
+from notewright.llm.common import free_name, worker_cache, written
 
 _TOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
 QUOTES = frozenset("\"“”„«»")
@@ -249,10 +249,9 @@ def sample(df: DataFrame, labels: DataFrame, text: Column, key: str, label: str,
     share = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, min(1.0, s.rows_per_class / max(counts.get(k, 0), 1)))])[F.col("_label")]
     chosen = marked.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) / float(1 << 20) < share)  # bounded by rows_per_class
     rows = df.select(F.col(key).alias("_key"), text.alias("_text")).join(F.broadcast(chosen), "_key")
-    # copies and near copies, which mostly share their words' least hash, count once and stay in one half
-    words = F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    least = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
-    rows = rows.where("_text is not null").groupBy(least.alias("_hash"), F.col("_label").alias("label")).agg(F.min("_text").alias("text"))
+    # texts of the same words count once and stay in one half
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    rows = rows.where("_text is not null").groupBy(F.xxhash64(words).alias("_hash"), F.col("_label").alias("label")).agg(F.min("_text").alias("text"))
     toxic = counts.get(1, 0) / max(sum(counts.values()), 1)
     return rows.select("text", "label", (F.pmod(F.xxhash64("_hash"), F.lit(2)) == 0).alias("half")), toxic
 
@@ -340,5 +339,5 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out.append({"score": shipped.value.score(*scanner.sums(hits)), "terms": terms})
         return pa.array(out, arrow)
 
-    found = "_toxicity_found"
+    found = free_name(df, "_toxicity_found")
     return df.withColumn(found, judge(F.col(text))).withColumns({"toxicity": F.col(f"{found}.score"), "toxic_terms": F.col(f"{found}.terms")}).drop(found)

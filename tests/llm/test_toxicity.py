@@ -69,3 +69,11 @@ def test_held_out_accuracy(spark):
     tested = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     hit = sum(p and t for p, t in tested)
     assert hit / sum(t for _, t in tested) > 0.75 and hit / sum(p for p, _ in tested) > 0.9
+
+
+def test_unlike_rows_that_share_a_word_are_all_learned_from(spark):
+    rows = [(i, f"the {'vile' if i % 2 else 'mild'} word{i}") for i in range(200)] + [(200 + i, f"WORD{i} the {'vile' if i % 2 else 'mild'}!") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    chosen, share = tox.sample(df, labels, F.col("text"), "doc_id", "toxic", tox.Settings())
+    assert chosen.count() == 200 and share == 0.5  # the last fifty repeat the words of the first
