@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.llm.common import free_name
+
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 18  # characters hashed at a time
@@ -24,15 +26,14 @@ PIECE = 1 << 18  # characters hashed at a time
 @dataclass(frozen=True)
 class Settings:
     rows_per_language: int = 600  # labelled rows that are learned from, at most about so many of each language
-    languages: int = 500  # most frequent labels that are learned
+    rows: int = 60_000  # and at most about so many of all; every label is learned, of a table with very many from fewer rows each
     sample_chars: int = 2000  # a sampled row gives one window of at most so many characters
     bits: int = 15
     dim: int = 12
     epochs: int = 12
     rate: float = 0.5
     kept_back: int = 4  # every so many-th sampled row calibrates
-    rejected_share: float = 0.002  # share of rightly predicted rows that the threshold may reject
-    highest_threshold: float = 0.35  # unless that is no more than chance; short and mixed texts stay
+    rejected_share: float = 0.001  # share of rightly predicted rows that the threshold may reject
 
 
 def has_letter(text: str | None) -> bool:
@@ -102,6 +103,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def limit_of(scores: np.ndarray, share: float) -> float:
+    """The score that a share of right predictions stays below.
+
+    Kept-back rows are too few to show a share this small, so the odds' logarithms of the lowest tenth are carried on in a
+    straight line over the logarithm of the share (an exponential tail).
+    """
+    if not len(scores):
+        return 0.0
+    x = np.sort(scores)[: max(2, len(scores) // 10)]
+    shares = (np.arange(len(x)) + 0.5) / len(scores)
+    odds = np.log(x + 1e-9) - np.log1p(1e-9 - x)
+    if len(x) < len(scores) // 10 or len(x) < 5 or shares[0] <= share or odds[-1] - odds[0] < 1e-6:
+        return float(min(x[0], np.quantile(scores, share)))
+    slope, at = np.polyfit(np.log(shares), odds, 1)
+    return float(min(x[0], 1 / (1 + np.exp(-(at + slope * np.log(share))))))
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings()) -> Model:
     """A model from (language, buckets, shares) rows; the order of rows doesn't matter."""
     rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
@@ -136,10 +154,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(right)), right] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     p = softmax(logits / model.temperature)
-    scores = p.max(axis=1)[p.argmax(axis=1) == right]
-    limit = float(np.quantile(scores, s.rejected_share)) if len(scores) else 0.0
-    chance = 1.2 / k
-    model.threshold = max(chance, min(limit, s.highest_threshold))
+    model.threshold = max(1.2 / k, limit_of(p.max(axis=1)[p.argmax(axis=1) == right], s.rejected_share))
     return model
 
 
@@ -147,14 +162,15 @@ def fit(df: DataFrame, text: Column, label: Column, key: Column, s: Settings = S
     """Learns from the rows with a label and a letter; ``key`` chooses the sample, equal at any partitioning.
 
     Without such rows the model knows no language and answers ``und``. What reaches the driver is bounded by
-    ``rows_per_language`` and ``languages`` times the buckets of one window.
+    ``rows`` times the buckets of one window, and one count a label.
     """
     rows = df.select(text.alias("text"), label.alias("label"), F.xxhash64(key).alias("key")).where("label is not null and text is not null")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(s.languages).collect()
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").collect()
     if not counts:
         return train([], s)
     part = F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, s.rows_per_language / r["count"]))])[F.col("label")]
+    each = min(s.rows_per_language, max(1, s.rows // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, each / r["count"]))])[F.col("label")]
     start = F.pmod(F.shiftright("key", 20), F.greatest(F.length("text") - s.sample_chars, F.lit(0)) + 1).cast("int")
     sample = rows.where(part < share).select("label", F.substring("text", start + 1, F.lit(s.sample_chars)).alias("text"))
 
@@ -182,6 +198,6 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = [shipped.value.predict(t.as_py()) for t in texts]
         return pa.array([dict(zip(("lang", "score", "rejected"), f)) for f in found], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 
-    found = "_lang_found"
+    found = free_name(df, "_lang_found")
     out = df.withColumn(found, guess(F.col(text)))
     return out.withColumns({"lang_pred": F.col(f"{found}.lang"), "lang_score": F.col(f"{found}.score"), "lang_rejected": F.col(f"{found}.rejected")}).drop(found)

@@ -43,3 +43,14 @@ def test_held_out_accuracy_and_same_model_at_any_partitioning(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.01
     models = [langid.fit(d, F.col("text"), F.col("lang"), F.col("doc_id")) for d in (docs, docs.repartition(7))]
     assert np.array_equal(models[0].embeddings, models[1].embeddings)
+
+
+def test_rejection_by_the_calibrated_limit_and_any_number_of_languages():
+    r = np.random.default_rng(1)
+    scores = 1 / (1 + np.exp(-(4 + r.exponential(1, 400_000) * -0.5)))
+    few = langid.limit_of(scores[:3000], 0.0005)
+    assert abs(np.log(few / (1 - few)) - np.log(np.quantile(scores, 0.0005) / (1 - np.quantile(scores, 0.0005)))) < 0.6
+    assert langid.limit_of(np.array([]), 0.1) == 0.0 and langid.limit_of(np.full(50, 0.9), 0.001) <= 0.9
+    s = langid.Settings(epochs=2)
+    model = langid.train([(f"l{i:03}", *langid.bag(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, s.bits)) for i in range(520) for _ in range(2)], s)
+    assert len(model.languages) == 520
