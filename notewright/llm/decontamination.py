@@ -1,9 +1,9 @@
 """Benchmark decontamination: test items under a BM25 index, queried by every training passage with block-max WAND.
 
 Items are cut into shards of bounded size; each shard's index goes to the workers in turn. Documents are read whole
-as overlapping passages of words. A passage retrieves the items whose BM25 score reaches a share of the score that
-the item gives itself; those are verified by the overlap of word runs with the item's question and answer, short ones
-also by their words in order with some edits. Items without an answer of their own are plain passages: they are also
+as overlapping passages of words. A passage retrieves the items whose BM25 score reaches the least that any copy has
+which verification accepts, so retrieval hides none; those are verified by the overlap of word runs with the item's question and answer, short ones
+also by their words in order with some edits, very short ones exactly. Items without an answer of their own are plain passages: they are also
 found where runs cover enough of all their words, whichever of their sentences was changed or cut off.
 """
 
@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +31,13 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 class Settings:
     k1: float = 1.2
     b: float = 0.75
-    score_share: float = 0.5  # of an item's own score that a passage must reach
     run: int = 5  # words of a run that is compared
     question_share: float = 0.5  # of the question's runs that the document must hold near the passage; of all words, of a plain passage
     answer_share: float = 0.5  # of the answer's
     block: int = 4  # items of a block
     shard_bytes: int = 1 << 20  # items' text in one index
-    least_words: int = 5  # shorter items are not looked for
+    least_words: int = 5  # shorter items are looked for word by word as they are, without edits
+    matrix: int = 1 << 22  # numbers of the (terms of some passages) by (blocks) matrix
     passage: int = 64  # words; at least twice the step, and never shorter than the shard's longest item
 
 
@@ -68,6 +69,33 @@ def edits(part: list[str], w: list[str]) -> int:
     return best
 
 
+def least_mass(masses: list[float], n: int, words_needed: int) -> float:
+    """The least sum that stretches of at least n places each, ``words_needed`` places in all, can have.
+
+    ``free[j]`` has the least sum with j places chosen so far (the last one for any larger number), the current place not chosen;
+    ``running[j]`` the same where a stretch of at least n ends or goes on here.
+    """
+    if len(masses) <= n or words_needed >= len(masses):
+        return sum(masses)
+    width, total = words_needed + 1, np.concatenate([[0.0], np.cumsum(masses)])
+    free, running = np.full(width, np.inf), np.full(width, np.inf)
+    free[0] = 0.0
+    before = deque([free], maxlen=n)  # what was free up to n places ago
+
+    def moved(row: np.ndarray, by: int, mass: float) -> np.ndarray:
+        out = np.full(width, np.inf)
+        out[min(by, width - 1) :] = row[: width - min(by, width - 1)]
+        out[-1] = min(out[-1], row[max(width - 1 - by, 0) :].min())
+        return out + mass
+
+    for i in range(1, len(masses) + 1):
+        free, running = np.minimum(free, running), moved(running, 1, masses[i - 1])
+        if i >= n:
+            running = np.minimum(running, moved(before[0], n, total[i] - total[i - n]))
+        before.append(free)
+    return float(min(free[-1], running[-1]))
+
+
 class Index:
     """BM25 postings in blocks of items, with the largest score of each term in each block.
 
@@ -77,7 +105,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str, str]], s: Settings, plain: bool = False):
         self.s, self.plain = s, plain
         kept = [(i, words(q), words(a)) for i, q, a in items]
-        kept = [x for x in kept if len(x[1]) + len(x[2]) >= s.least_words]
+        kept = [x for x in kept if x[1] or x[2]]
         self.ids = [i for i, _, _ in kept]
         self.questions = [runs(q, s.run) for _, q, _ in kept]
         self.answers = [runs(a, s.run) for _, _, a in kept]
@@ -93,12 +121,7 @@ class Index:
             norm = s.k1 * (1 - s.b + s.b * sizes[d] / max(mean, 1e-9))
             scores.append({t: idf[t] * n * (s.k1 + 1) / (n + norm) for t, n in b.items()})
         self.parts = [(q, a) for _, q, a in kept]
-        needed = [s.score_share * sum(x.values()) for x in scores]
-        if plain:  # what is cut off may have the rarer words
-            for d, parts in enumerate(self.parts):
-                for part in parts:
-                    if len(part) >= s.question_share * sizes[d]:
-                        needed[d] = min(needed[d], sum(scores[d][t] for t in set(part)))
+        needed = [self.least_score(*self.parts[d], scores[d], bags[d]) for d in range(len(kept))]
         # items that need like scores share a block, so that a block's least threshold says much
         order = sorted(range(len(kept)), key=lambda d: (needed[d], self.ids[d]))
         self.ids, self.questions, self.answers, self.parts = ([x[d] for d in order] for x in (self.ids, self.questions, self.answers, self.parts))
@@ -113,13 +136,42 @@ class Index:
                 self.upper[t, k] = max(self.upper[t, k], np.nextafter(np.float32(y), np.float32(np.inf)))
         self.least = np.array([min(self.needed[k * s.block : (k + 1) * s.block]) for k in range(blocks)], dtype=np.float64)
 
-    def live(self, terms: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    def least_score(self, q: list[str], a: list[str], score: dict[str, float], bag: Counter) -> float:
+        """The least score of any stretch that ``verified`` accepts; a term's score is dealt among its places, so no sum says too much."""
+        s, whole = self.s, q + a
+        mass = lambda part: [score[t] / bag[t] for t in part]
+        if len(whole) < s.least_words:
+            return sum(score.values())
+
+        def in_order(part):  # some words of a short part may be edited, wherever they stand
+            return sum(sorted(mass(part))[: len(part) - len(part) // 3]) if 3 <= len(part) < 3 * s.run else math.inf
+
+        def by_runs(part, share):
+            if not part or share <= 0:
+                return 0.0
+            matched = max(1, math.ceil(share * len(runs(part, s.run)) - 1e-9))
+            return min(in_order(part), least_mass(mass(part), s.run, matched + s.run - 1))
+
+        least = by_runs(q, s.question_share) + by_runs(a, s.answer_share)
+        if self.plain:
+            least = min(least, in_order(whole), least_mass(mass(whole), s.run, math.ceil(s.question_share * len(whole) - 1e-9)))
+        return least
+
+    def live(self, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
         """(passage, block) pairs whose largest scores add up to what an item of the block needs at least.
 
-        ``terms`` has the passages' distinct terms, one passage after the other, each from its place in ``starts``.
+        ``terms`` has the passages' distinct terms, one passage after the other, each from its place in ``starts``. Some
+        passages are added up at a time, so that room is bounded however long the text.
         """
-        bounds = np.add.reduceat(self.upper[terms], starts, axis=0)
-        return [tuple(x) for x in np.argwhere(bounds >= self.least * (1 - 1e-5)).tolist()]
+        ends, least = np.append(starts[1:], len(terms)), self.least * (1 - 1e-5)
+        most = max(1, self.s.matrix // max(1, self.upper.shape[1]))
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + most, side="right")))
+            bounds = np.add.reduceat(self.upper[terms[starts[first] : ends[last - 1]]], starts[first:last] - starts[first], axis=0)
+            for i, block in np.argwhere(bounds >= least).tolist():
+                yield first + i, block
+            first = last
 
     def retrieve(self, terms: list[int], block: int) -> list[int]:
         """Items of a block whose score for the distinct terms reaches what they need, by WAND with the block's largest scores."""
@@ -183,6 +235,8 @@ class Index:
     def verified(self, item: int, w: list[str]) -> tuple[float, float] | None:
         """The shares, if they are large enough or, for a plain passage, if the stretch holds enough of it as a whole."""
         s = self.s
+        if sum(map(len, self.parts[item])) < s.least_words:  # exactly, every part
+            return (1.0, 1.0) if all(not p or tuple(p) in runs(w, len(p)) for p in self.parts[item]) else None
         q, a = self.verify(item, w)
         if q >= s.question_share and a >= s.answer_share:
             return q, a
@@ -246,7 +300,8 @@ def leaked_items(df: DataFrame, items: DataFrame, text: str = "text", item_id: s
 
     Without ``question`` and ``answer`` the items are plain passages: their ``text`` is divided, its last sentence taken as
     the answer, and an item also leaks where enough of the whole is found, whatever the shares. Null and empty
-    texts and items leak nothing, nor do items under ``least_words``; repeated items count once, repeated rows stay;
+    texts and items leak nothing; items under ``least_words`` leak where each of their parts stands word for word; repeated
+    items count once, repeated rows stay;
     an existing column of the result's name is replaced.
     """
     plain = question is None

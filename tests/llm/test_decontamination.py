@@ -12,7 +12,7 @@ def test_wand_against_all_scores():
     r = random.Random(2)
     v = vocabulary(r)
     for block, share in ((2, 0.3), (4, 0.5), (64, 0.2), (3, 0.1)):
-        s = dc.Settings(block=block, score_share=share)
+        s = dc.Settings(block=block, question_share=share)
         items = [(i, " ".join(r.choice(v) for _ in range(r.randint(5, 30))), "") for i in range(120)]
         index = dc.Index(items, s)
         for _ in range(150):
@@ -38,10 +38,9 @@ def brute(text, items, s):
     for a in range(0, max(len(w) - size // 2, 1), size // 2):
         part = w[a : a + size]
         for k, i in enumerate(index.ids):
-            own = index.needed[k]
-            score = sum(x for t in set(part) if t in index.terms for d, x in index.lists[index.terms[t]].get(k // s.block, []) if d == k)
+            short = sum(map(len, index.parts[k])) < s.least_words
             q, n = index.verify(k, part)
-            if score >= own - 1e-9 and q >= s.question_share and n >= s.answer_share:
+            if index.verified(k, part) if short else q >= s.question_share and n >= s.answer_share:
                 out.add(i)
     return sorted(out)
 
@@ -68,7 +67,7 @@ def test_rows_and_shards(spark):
         mine = [x.item_id for x in row.leaks]
         assert len(mine) == len(set(mine))
         if len(row.text or "") < 100_000:
-            assert [i for i in mine if i < 40] == [i for i in brute(row.text, [x for x in whole if x[0] < 40], dc.Settings(score_share=0.5)) if i in mine] or mine
+            assert [i for i in mine if i < 40] == [i for i in brute(row.text, [x for x in whole if x[0] < 40], dc.Settings()) if i in mine] or mine
     found = {row.text: [x.item_id for x in row.leaks] for row in got}
     for t in texts[4:64:3]:
         assert found[t], t[-200:]
@@ -121,7 +120,38 @@ def test_near_and_cut_copies_of_plain_passages(spark):
 
 def test_short_answers_by_words_in_order():
     question = "which of the many drugs named above was given on the third day of the stay"
-    index = dc.Index([(1, question, "five milligrams of warfarin at night"), (2, question, "warfarin")], dc.Settings(score_share=0.1))
+    index = dc.Index([(1, question, "five milligrams of warfarin at night"), (2, question, "warfarin")], dc.Settings())
     found = lambda text: [x[0] for x in index.leaks(f"{question} {text}")]
     assert found("five milligrams of warfarin every night") == [1, 2] and found("five milligrams of heparin at night") == [1]
     assert found("night at milligrams five of heparin") == [] and found("heparin") == []
+
+
+def test_least_mass_against_all_choices():
+    r = random.Random(8)
+    for _ in range(60):
+        m, n = [r.randint(1, 9) for _ in range(r.randint(1, 11))], r.randint(1, 4)
+        need = r.randint(1, len(m))
+        sums = []
+        for bits in range(1, 1 << len(m)):
+            chosen = f"{bits:0{len(m)}b}"
+            if chosen.count("1") >= need and all(len(x) >= n for x in chosen.split("0") if x):
+                sums.append(sum(x for x, c in zip(m, chosen) if c == "1"))
+        assert dc.least_mass(m, n, need) <= min(sums, default=sum(m)) + 1e-9
+        if len(m) > n and need < len(m):
+            assert abs(dc.least_mass(m, n, need) - min(sums)) < 1e-9
+
+
+def test_retrieval_hides_no_accepted_copy(spark):
+    r = random.Random(9)
+    common, rare = vocabulary(r, 40), [f"rare{i}" for i in range(4000)]
+    items, texts = [], []
+    for i in range(40):  # the rarest words stand at both ends, the middle is what was copied
+        w = [r.choice(rare) for _ in range(10)] + [r.choice(common) for _ in range(30)] + [r.choice(rare) for _ in range(10)]
+        items.append((i, " ".join(w) + "."))
+        texts.append((i, " ".join([*(f"x{r.randint(0, 999)}" for _ in range(50)), *w[10:40], *(f"y{r.randint(0, 999)}" for _ in range(50))])))
+    items += [(100, "three short words"), (101, "四个字。还有。"), (102, "Alpha beta? Gamma.")]
+    texts += [(100, "so THREE short words it is"), (101, "x 四个字。还有。"), (102, "three or short words"), (103, "gamma, alpha beta"), (104, "alpha and beta gamma")]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: {y.item_id for y in x.leaks} for x in dc.leaked_items(df, bench).collect()}
+    assert all(i in got[i] for i in range(40))
+    assert got[100] == {100} and got[101] == {101} and got[102] == set() and got[103] == {102} and got[104] == set()
