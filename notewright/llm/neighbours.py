@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -238,19 +239,27 @@ def audit(vectors: DataFrame, s: Settings) -> float:
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", s: Settings = Settings()) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) of every row, and the audited recall; an error if that stays below ``recall``.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of another
-    length than the most frequent one, and rows with a null id. Rows that repeat an id are taken as one vector (the
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null id.
+    Vectors of each length are compared among themselves, one length after the other (the recall is the least of them). Rows that repeat an id are taken as one vector (the
     first in order of their components), each returned with its values. An empty table gives an empty result.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(fine & F.col("id").isNotNull())
-    common = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     ids = rows.select("id")
-    if common is None:
+    vectors = written(good.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    lengths = sorted(r["dim"] for r in vectors.groupBy(F.size("v").alias("dim")).count().where("count > 1").collect())
+    if not lengths:
         return ids.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")), 1.0
-    dim, count = common
-    vectors = written(good.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    found = [_links_of_length(vectors.where(F.size("v") == dim), dim, s) for dim in lengths]
+    links = reduce(DataFrame.unionByName, [x for x, _ in found])
+    out = ids.join(links, "id", "left").select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), min(recall for _, recall in found)
+
+
+def _links_of_length(vectors: DataFrame, dim: int, s: Settings) -> tuple[DataFrame, float]:
+    """(id, n_links, component) of vectors of one length, and the audited recall."""
     # equal vectors are one with a weight, under their smallest id
     distinct = written(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "distinct-vectors")
     count = distinct.count()
@@ -279,7 +288,4 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         raise RuntimeError(f"{limit} attempts found {recall:.4f} of the audited links, fewer than {s.recall}")
     linked = now.join(parts.select(F.col("node").alias("id")), "id", "left_semi")
     counted = now.join(_component_links(linked, s), "id", "left").select("v", F.coalesce("n_links", F.col("weight") - 1).alias("n_links"), "component")
-    links = written(vectors.join(counted, "v").select("id", "n_links", "component"), "vector-links")
-    out = ids.join(links, "id", "left").select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), recall
+    return written(vectors.join(counted, "v").select("id", "n_links", "component"), "vector-links"), recall

@@ -109,3 +109,13 @@ def test_audit_weighs_vectors_and_a_missed_recall_raises(spark):
     assert nn.audit(vectors, nn.Settings()) == pytest.approx(0.9)
     with pytest.raises(RuntimeError):
         nn.near_duplicates(vectors.select("id", "v"), "id", "v", nn.Settings(recall=1.1, attempts=1))
+
+
+def test_vectors_of_every_length_link_among_themselves(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.0]), (4, [2.0, -1.0]), (5, [7.0])]
+    rows += [(10 + i, [1.0, float(i % 2), 0.0]) for i in range(6)]
+    got, recall = nn.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()}
+    assert by == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True)} | {
+        10 + i: (2, 10 + i % 2, i < 2) for i in range(6)}
+    assert recall == 1.0
