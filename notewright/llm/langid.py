@@ -33,7 +33,7 @@ class Settings:
     epochs: int = 12
     rate: float = 0.5
     kept_back: int = 4  # every so many-th sampled row calibrates
-    rejected_share: float = 0.001  # share of rightly predicted rows that the threshold may reject
+    rejected_share: float = 0.0005  # share of rightly predicted rows that the threshold may reject
 
 
 def has_letter(text: str | None) -> bool:
