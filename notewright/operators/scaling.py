@@ -30,10 +30,11 @@ def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str
     """Join with ``dim`` (unique on ``on``) after spreading every fact key over ``salts`` tasks.
 
     ``spread`` names fact columns that vary inside a key. ``dim`` is repeated once
-    per salt, so this suits sides much smaller than the fact.
+    per salt, so this suits sides much smaller than the fact. Both sides are shuffled: the
+    planner's estimate leaves the repeats out, so without the hint it may broadcast them all.
     """
     left = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.lit(list(range(salts)))))
+    right = dim.withColumn("_salt", F.explode(F.lit(list(range(salts))))).hint("merge")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -68,3 +68,12 @@ def test_spread(spark):
     assert S.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
     many = spark.range(0, 10, 1, 20)
     assert S.spread(many) is many
+
+
+def test_salted_join_never_broadcasts_the_repeats(spark):
+    """The planner's estimate of the repeated side is that of one copy."""
+    fact, dim = spark.range(500).select("id", (F.col("id") % 7).alias("k")), spark.range(5).select(F.col("id").alias("k"))
+    for how in ("inner", "left"):
+        joined = S.salted_join(fact, dim, ["k"], ["id"], how)
+        assert len(joined.collect()) == (500 if how == "left" else 358)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
