@@ -10,6 +10,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 # A hot key of the large side is spread over this many tasks.
 SALTS = 16
+# Rows of a task that folds narrow rows in memory.
+TASK_ROWS = 500_000
 # Positions per numbering bucket; a bucket never holds more rows than this.
 BUCKET = 1 << 17
 # Buckets per bucket of the level above; also the most that any position layout leaves at the top.
@@ -25,6 +27,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(rows: int, *sides: tuple[DataFrame, str], per_task: int = TASK_ROWS) -> list[DataFrame]:
+    """Sides of a join dealt by their keys over tasks of about ``per_task`` of the ``rows`` of the largest.
+
+    Where it sizes tasks itself, Spark goes by the bytes of the shuffle, and those of narrow rows are so few that a
+    task would sort and fold millions of rows. What is grouped by the key afterwards stays in these tasks.
+    """
+    parts = [max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)) for df, _ in sides]
+    return [df.repartition(n, key) for (df, key), n in zip(sides, parts, strict=True)]
+
+
 def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str | Column], how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Join with ``dim`` (unique on ``on``) after spreading every fact key over ``salts`` tasks.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.operators.scaling import spread
+from notewright.operators.scaling import dealt, spread
 from notewright.sources.scratch import scratch_path
 
 TABLES = (
@@ -240,6 +240,8 @@ def with_views(sql: str) -> str:
 
 # Tables that feed work that is heavy per row.
 SPREAD = ("documents", "pages", "events", "orders")
+# Tables that a view joins by these keys, the largest last.
+JOINED = {"v_eval_terms": {"orders": "o_orderkey", "lineitem": "l_orderkey"}}
 
 
 class Inputs:
@@ -248,18 +250,29 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.read(name)
         return spread(df) if name in SPREAD else df
 
+    def sides(self, view: str) -> dict[str, DataFrame]:
+        """The tables that a view joins, dealt by their keys; rows are counted from the files' footers."""
+        keys = JOINED.get(view, {})
+        read = {table: self.read(table) for table in keys}
+        if not read:
+            return {}
+        return dict(zip(keys, dealt(read[list(keys)[-1]].count(), *[(read[table], key) for table, key in keys.items()]), strict=True))
+
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         text = (VIEWS | SPARK_ONLY)[name]
-        words = set(text.replace("(", " ").replace(")", " ").split())
+        words, sides = set(text.replace("(", " ").replace(")", " ").split()), self.sides(name)
         for table in TABLES:
             if table in words:
-                self.table(table).createOrReplaceTempView(table)
+                (sides[table] if table in sides else self.table(table)).createOrReplaceTempView(table)
         for view in NEEDS.get(name, ()):
             self(view).createOrReplaceTempView(view)
         return self.spark.sql(text)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from notewright.operators import scaling as S
+from notewright.plans.views import Inputs
 
 
 def rows(df):
@@ -77,3 +78,21 @@ def test_salted_join_never_broadcasts_the_repeats(spark):
         joined = S.salted_join(fact, dim, ["k"], ["id"], how)
         assert len(joined.collect()) == (500 if how == "left" else 358)
         assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
+
+
+def test_dealt_sides_are_not_coalesced(spark):
+    left, right = spark.range(1000), spark.range(0, 1000, 2).withColumnRenamed("id", "k")
+    a, b = S.dealt(1000, (left, "id"), (right, "k"), per_task=25)
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 40
+    assert a.join(b, F.col("id") == F.col("k"), "left").count() == 1000
+
+
+def test_terms_to_score_are_dealt_by_their_rows(spark, tmp_path):
+    orders = [(i, "1-URGENT", "O") for i in range(300)] + [(7, "1-URGENT", "O"), (None, None, None)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i % 200, i, "N", 30.0, 0.05) for i in range(1000)] + [(None, 1, "N", 1.0, 0.0)]
+    kind = "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_quantity double, l_discount double"
+    spark.createDataFrame(lines, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    view = Inputs(spark, str(tmp_path))("v_eval_terms")
+    assert view.count() == 1000 + 100 + 5 + 1
+    assert view._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
