@@ -14,6 +14,8 @@ NUMBERS = T.ArrayType(T.LongType())
 _BASE = 0x9E3779B97F4A7C15
 # Runs of at most so many characters have numbers of their own; those of longer ones can meet by chance.
 EXACT = 3
+# Characters of the runs that are signs of a term, and how many signs are told apart.
+SIGN, SIGNS = 4, 1 << 16
 # Words of 64 bits of a filter: a quarter of the runs, so 16 bits for each, up to 32 MB. Beyond that a filter lets more
 # runs through that no term has, and the join drops them.
 LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 22
@@ -106,3 +108,62 @@ class RunFilter:
 
         # marked so that a filter on the result is not evaluated apart from it, before rows are spread
         return F.arrow_udf(kept, NUMBERS).asNondeterministic()(text)
+
+
+class FiledTerms:
+    """The terms of a dictionary that may be broadcast, looked up by the runs that they are filed by."""
+
+    def __init__(self, runs: np.ndarray, places: np.ndarray, terms: list[str], signs: np.ndarray):
+        self.runs, self.places, self.terms, self.signs = runs, places, terms, signs
+
+    @staticmethod
+    def made(runs: np.ndarray, places: np.ndarray, terms: list[str]) -> FiledTerms:
+        """With each term's signs: the low bits of its first, middle and last run of ``SIGN`` characters, if it has any."""
+        order, signs = np.argsort(runs, kind="stable"), np.full((len(terms), 3), -1, np.int32)
+        for i, t in enumerate(terms):
+            if len(own := Runs(t).of(SIGN)):
+                signs[i] = own[[0, len(own) // 2, -1]] & (SIGNS - 1)
+        return FiledTerms(runs[order], places[order].astype(np.int64), terms, signs)
+
+    @staticmethod
+    def of(filed: DataFrame, term: str, run: str) -> FiledTerms:
+        rows = filed.select(term, run).toArrow()
+        terms = rows[term].cast(pa.string()).combine_chunks().dictionary_encode()
+        return FiledTerms.made(rows[run].to_numpy(), terms.indices.to_numpy(zero_copy_only=False), terms.dictionary.to_pylist())
+
+    def within(self, text: str, opened: Runs, runs: np.ndarray) -> list[int]:
+        """Places of the terms that a text contains, of those that its distinct ``runs`` lead to.
+
+        Most others lack a sign in the text, so that it need not be searched for them.
+        """
+        if not len(runs):
+            return []
+        seen = np.zeros(SIGNS + 1, np.bool_)
+        seen[opened.of(SIGN) & (SIGNS - 1)] = True
+        seen[-1] = True  # what stands for no sign
+        first, last = np.searchsorted(self.runs, runs, "left"), np.searchsorted(self.runs, runs, "right")
+        n = last - first
+        at = np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+        met = np.unique(self.places[at])
+        met = met[seen[self.signs[met]].all(axis=1)].tolist()
+        return [i for i in met if len(self.terms[i]) <= EXACT or self.terms[i] in text]
+
+    def contained(self, spark: SparkSession, text: Column, filter_: RunFilter, kinds: Iterable[tuple[int, int]]) -> Column:
+        """The distinct places of the terms that a text contains; a run is one of its kinds (length, stride) that passes the filter."""
+        kinds, shared = list(kinds), spark.sparkContext.broadcast((filter_.words, self.runs, self.places, self.terms, self.signs))
+
+        def found(texts: pa.Array) -> pa.Array:
+            words, *filed = shared.value
+            filter_, filed, out = RunFilter(words), FiledTerms(*filed), []
+            for t in texts:
+                text = t.as_py() or ""
+                opened = Runs(text)
+                met = np.unique(np.concatenate([filter_.passing(opened.of(*kind)) for kind in kinds]))
+                out.append(np.array(filed.within(text, opened, met), np.int64))
+            return _lists(out)
+
+        return F.arrow_udf(found, NUMBERS).asNondeterministic()(text)
+
+    def listed(self, spark: SparkSession, place: str, term: str) -> DataFrame:
+        """The terms with their places."""
+        return spark.createDataFrame(pa.table({place: pa.array(range(len(self.terms)), pa.int64()), term: pa.array(self.terms, pa.string())}))

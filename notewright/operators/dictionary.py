@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright import fixed_values as V
-from notewright.functions.runs import EXACT, RunFilter, all_runs
+from notewright.functions.runs import EXACT, FiledTerms, RunFilter, all_runs
 from notewright.functions.text import col, trim_u
 from notewright.operators.scaling import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, salted_join
 from notewright.sources.scratch import settled
@@ -100,10 +100,11 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     consecutive runs of a term that it contains, one starts at such a place. Runs meet in an equality join, and what meets
     is checked against the whole text. Empty terms match nothing. ``key`` is unique per text, ``term`` per term.
 
-    A dictionary of at most ``max_rows`` terms and ``max_bytes`` is broadcast and nothing is shuffled: of several runs
-    that lead from a text to one term, the one listed first counts. A larger one is joined by shuffle: keys and passing
-    runs travel, salted by key so that a frequent run is spread, and texts with such runs come back in for the final
-    check. The filed terms are written out once, since they are read several times.
+    A dictionary of at most ``max_rows`` terms and ``max_bytes`` goes to all tasks, and nothing is shuffled: a text looks
+    its passing runs up and checks the terms that they lead to in its own row, and only what it contains is opened. A
+    larger one is joined by shuffle: keys and passing runs travel, salted by key so that a frequent run is spread, and
+    texts with such runs come back in for the final check. The filed terms are written out once, since they are read
+    several times.
     """
     n = F.length(term)
     kind = F.lit(None).cast("int")
@@ -112,13 +113,14 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, term: st
     filed = settled(_filed_terms(terms.where(n > 0).select(term, kind.alias("_kind")), term), "filed-terms")
     size = F.octet_length(term) + 8 * F.size("_earlier") + 16
     facts = filed.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sort_array(F.collect_set(kind)).alias("kinds")).first()
-    opened = RunFilter.of(filed, "_run", facts["n"]).opened(texts.sparkSession, F.col(text), [RUNS[k] for k in facts["kinds"]])
-    texts = texts.select(key, text, opened.alias("_runs")).where(F.size("_runs") > 0)
+    spark, kinds, runs = texts.sparkSession, [RUNS[k] for k in facts["kinds"]], RunFilter.of(filed, "_run", facts["n"])
+    if facts["n"] and facts["n"] <= max_rows and facts["bytes"] <= max_bytes:
+        known = FiledTerms.of(filed, term, "_run")
+        found = texts.select(key, known.contained(spark, F.col(text), runs, kinds).alias("_places"))
+        listed = F.broadcast(known.listed(spark, "_place", term))
+        return found.select(key, F.explode("_places").alias("_place")).join(listed, "_place").select(key, term)
+    texts = texts.select(key, text, runs.opened(spark, F.col(text), kinds).alias("_runs")).where(F.size("_runs") > 0)
     contained = (F.length(term) <= EXACT) | F.contains(F.col(text), F.col(term))
-    if facts["n"] <= max_rows and (facts["bytes"] or 0) <= max_bytes:
-        met = texts.select(key, text, "_runs", F.explode("_runs").alias("_run")).join(F.broadcast(filed), "_run")
-        first = (F.size("_earlier") == 0) | ~F.arrays_overlap("_runs", "_earlier")
-        return met.where(first & contained).select(key, term)
     met = salted_join(texts.select(key, F.explode("_runs").alias("_run")), filed.drop("_earlier"), ["_run"], [key]).select(key, term).distinct()
     return met.join(texts.select(key, text), key).where(contained).select(key, term)
 

@@ -108,3 +108,24 @@ def test_validation(spark):
     got = {r["i"]: (r["is_standard"], r["display"]) for r in T.validate_terms(df, terms).collect()}
     assert got == {1: (True, " 发热　"), 2: (False, "【咳嗽】"), 3: (False, None)}
     assert all(r["is_standard"] for r in T.validate_terms(df, terms.where(F.lit(False))).collect())
+
+
+def test_a_known_dictionary_opens_only_what_a_text_contains(spark):
+    """The rows that leave a text's own row are its terms: no text is repeated for each of its runs."""
+    texts = [(1, "abcdefgh ijklmnop"), (2, "bcdef xyz"), (3, None), (4, ""), (1, "abcdefgh")]
+    terms = ["abcd", "cdef", "efgh ij", "abcdefgh ijklmnop", "z", "xy", "nop", "klmnop", "bcdefg", "cdefX", "gh ijklmnopq", "術語"]
+    a, b = spark.createDataFrame(texts, "k bigint, x string"), spark.createDataFrame([(w,) for w in terms], "w string")
+    found = T.find_terms(a, b, "k", "x", "w")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, w) for k, x in texts for w in terms if x and w in x)
+    before = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1]
+    assert "ArrayType(StringType" not in before and "_runs" not in before
+
+
+def test_terms_looked_up_in_a_text(spark):
+    import numpy as np
+    from notewright.functions.runs import FiledTerms, Runs
+
+    terms = ["abcd", "abcdz", "zabcd", "術語"]
+    filed = FiledTerms.made(np.array([7, 7, 7, 3]), np.array([0, 1, 2, 3]), terms)
+    for text, runs, want in (("xabcdx", [7], [0]), ("zabcdz", [7], [0, 1, 2]), ("zz術語", [3, 5], [3]), ("abc", [7], []), ("", [], [])):
+        assert filed.within(text, Runs(text), np.array(runs, np.int64)) == want
