@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from notewright.functions.text import render
 from notewright.operators.scaling import running_index
 from notewright.sources.scratch import scratch_path
 
+# Rows of an Arrow batch whose prompts and answers a task holds as Python objects at once.
+ROWS_AT_ONCE = 500
 RESULT_FIELDS = "client int, response string, tokens bigint, attempts int, error string"
 
 
@@ -93,27 +95,28 @@ def infer(df: DataFrame, key: str, prompt: str, call: Callable[[int, str], Any],
         lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
         placed = placed.withColumn("_part", F.col("client") * lanes + lane).repartitionById(clients * lanes, F.col("_part")).drop("_part")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cap = RateCap(rate / lanes) if rate else None
 
         with ThreadPoolExecutor(threads) as pool:
-            for batch in batches:
+            # a few rows at a time become Python objects, however many a batch holds
+            for rows in (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
                 jobs = []
-                for client, text in zip(batch["client"], batch["_prompt"], strict=True):
-                    jobs.append(pool.submit(call_with_retries, call, int(client), text, attempts, is_failure, cap))
+                for client, text in zip(rows["client"].to_pylist(), rows["_prompt"].to_pylist(), strict=True):
+                    jobs.append(pool.submit(call_with_retries, call, client, text, attempts, is_failure, cap))
                 out = [j.result() for j in jobs]
                 answers = [a if isinstance(a, tuple) else (a, None) for a, _, _ in out]
-                yield pd.DataFrame({
-                    key: batch[key],
-                    "client": batch["client"],
-                    "response": [a for a, _ in answers],
-                    "tokens": pd.array([t for _, t in answers], dtype="Int64"),
-                    "attempts": [n for _, n, _ in out],
-                    "error": [e for _, _, e in out],
+                yield pa.RecordBatch.from_pydict({
+                    key: rows[key],
+                    "client": rows["client"],
+                    "response": pa.array([a for a, _ in answers], pa.string()),
+                    "tokens": pa.array([t for _, t in answers], pa.int64()),
+                    "attempts": pa.array([n for _, n, _ in out], pa.int32()),
+                    "error": pa.array([e for _, _, e in out], pa.string()),
                 })
 
     kind = df.schema[key].dataType.simpleString()
-    return placed.mapInPandas(run, f"{key} {kind}, {RESULT_FIELDS}")
+    return placed.mapInArrow(run, f"{key} {kind}, {RESULT_FIELDS}")
 
 
 def pending(df: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:

@@ -1,5 +1,6 @@
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -142,3 +143,13 @@ def test_counters_and_responses(spark):
 def test_prompt(spark):
     text = spark.range(1).select(I.render_prompt(F.lit("{x} 发热"))).first()[0]
     assert "## 给定文本\n{x} 发热\n" in text and "{description}" not in text
+
+
+def test_a_batch_is_answered_a_few_rows_at_a_time(spark):
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id as k", "case when id % 3 <> 0 then concat('p', id) end as p")
+    out = I.infer(rows, "k", "p", lambda client, prompt: (prompt.upper(), client), clients=1, rate=None, threads=2)
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows])}) for b in batches), "n bigint")
+    assert out.count() == 2000
+    got = {r["k"]: (r["response"], r["tokens"], r["attempts"], r["error"]) for r in out.collect()}
+    assert got[1] == ("P1", 0, 1, None) and got[3][0] is None and got[3][2] == 3 and "AttributeError" in got[3][3]
+    assert sum(r["n"] for r in sizes.collect()) == 2000 and I.ROWS_AT_ONCE < 2000
