@@ -244,7 +244,7 @@ def _shipped(spark, path: str):
 
 
 def _loaded(digest: str, shipped) -> BpeTables:
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if digest not in cache:
         cache[digest] = BpeTables(shipped.value)
     return cache[digest]

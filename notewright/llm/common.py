@@ -17,11 +17,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker; functions travel by value, so globals of this package don't."""
+def worker_cache(owner: str) -> dict:
+    """An operator's dictionary in the Python worker; functions travel by value, so globals of this package don't.
+
+    Workers go on from one operator's tasks to the next one's. What an operator kept stays for the task that follows its
+    last one and is then let go, so that a worker doesn't hold the tables of all operators that it ever worked for.
+    """
     import pyspark
 
-    return pyspark.__dict__.setdefault("_notewright_worker_cache", {})
+    kept = pyspark.__dict__.setdefault("_notewright_worker_cache", {"task": None, "now": {}, "before": {}})
+    context = pyspark.TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if kept["task"] != task:
+        kept.update(task=task, now={}, before=kept["now"])
+    if owner not in kept["now"]:
+        kept["now"][owner] = kept["before"].pop(owner, {})
+    return kept["now"][owner]
 
 
 def held_out(doc_id: Column) -> Column:

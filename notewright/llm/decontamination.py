@@ -319,7 +319,7 @@ def _searcher(df: DataFrame, rows: list, k: int, s: Settings, plain: bool):
 
     @F.arrow_udf(LEAK)
     def search(texts: pa.Array) -> pa.Array:
-        cache, slot = worker_cache(), f"bm25-{k}"
+        cache, slot = worker_cache("decontamination"), f"bm25-{k}"
         if cache.get(slot, ("",))[0] != token:
             cache[slot] = token, Index(shipped.value, s, plain)
         index = cache[slot][1]

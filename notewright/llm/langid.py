@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import free_name
+from notewright.llm.common import free_name, worker_cache
 
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -195,6 +195,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def guess(texts: pa.Array) -> pa.Array:
+        worker_cache("langid")  # keeps nothing, but lets go of what other operators kept
         found = [shipped.value.predict(t.as_py()) for t in texts]
         return pa.array([dict(zip(("lang", "score", "rejected"), f)) for f in found], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 

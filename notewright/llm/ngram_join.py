@@ -129,7 +129,7 @@ def shingles(df: DataFrame, text: Column, s: Settings) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
-        cache = worker_cache()
+        cache = worker_cache("ngram_join")
         if "word-hashes" not in cache:
             cache["word-hashes"] = WordHashes()
         parts = [shingle_hashes(t.as_py(), words, cache["word-hashes"]) for t in texts]

@@ -66,7 +66,7 @@ class Powers:
 
 
 def _powers() -> Powers:
-    cache = worker_cache()
+    cache = worker_cache("phrase_dedup")
     if "phrase-powers" not in cache:
         cache["phrase-powers"] = Powers()
     return cache["phrase-powers"]

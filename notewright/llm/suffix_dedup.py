@@ -280,7 +280,7 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
 
     def cut(batches):
         schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("name", pa.int64())])
-        cache = worker_cache()
+        cache = worker_cache("suffix_dedup")
         if "byte-hashes" not in cache:
             cache["byte-hashes"] = WordHashes()
         hashes = cache["byte-hashes"]

@@ -329,7 +329,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf(kind)
     def judge(texts: pa.Array) -> pa.Array:
-        cache = worker_cache()
+        cache = worker_cache("toxicity")
         if cache.get("toxicity", ("",))[0] != token:
             cache["toxicity"] = token, shipped.value.scanner()
         scanner, out = cache["toxicity"][1], []
