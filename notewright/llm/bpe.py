@@ -31,6 +31,7 @@ from notewright.llm.common import worker_cache
 
 PIECE_CACHE = 250_000  # pieces between blanks whose tokens a worker keeps at once
 CACHED_LENGTH = 48
+TOGETHER = 2 << 20  # characters whose distinct pieces are looked up at once
 _UNUSUAL = re.compile(r"[^\x00-ɏ]")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"  # blanks to Python's split alone
 
@@ -45,6 +46,16 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _written_out(pattern: str) -> re.Pattern | None:
+    """The pattern for Python's own engine, with the characters that ``regex`` counts into a class, up to the usual ones' last."""
+    if "\\" in re.sub(r"\[[^\]]*\]", "", pattern) or re.search(r"\\(?!s|p\{[LN]\})", pattern):
+        return None
+    classes = {c: "".join(f"\\u{i:04x}" for i in range(0x250) if regex.match(c, chr(i))) for c in (r"\s", r"\p{L}", r"\p{N}")}
+    for name, letters in classes.items():
+        pattern = pattern.replace(name, letters)
+    return re.compile(pattern)
+
+
 def _packed(ids) -> bytes:
     return array("i", ids).tobytes()
 
@@ -84,6 +95,7 @@ class BpeTables:
         self._word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         if "(?" in self._word.pattern:
             raise ValueError("a word must be a word by itself too, whatever stands around it")
+        self._usual_word = _written_out(self._word.pattern) or self._word  # many times faster
         self._blank = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
@@ -221,9 +233,37 @@ class BpeTables:
                 out += map(self._pieces.__getitem__, self._plain_pieces(part))  # words hold no blanks
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
+    def _is_plain(self, text: str) -> bool:
+        """Whether a text is encoded as what stands between its blanks, without added tokens or letters newer than Python's tables."""
+        if self._cut and "<|" in text:
+            return False
+        return text.isascii() or not _UNUSUAL.search(text) or all(unicodedata.category(c) != "Cn" for c in set(text))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts, one after the other, and how many each has; a piece that many hold is looked up once."""
+        pieces, ends, others = [], [0], []
+        for text in texts:
+            if self._is_plain(text):
+                pieces += self._plain_pieces(text)
+            else:
+                pieces.append(None)
+                others.append(self.encode(text).tobytes())
+            ends.append(len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy().astype(np.int64)
+        # numbers go up where a piece comes for the first time
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1) > 0)
+        codes[codes < 0] = len(first) + np.arange(len(others))
+        packed = [*map(self._pieces.__getitem__, map(pieces.__getitem__, first.tolist())), *others]
+        pool = np.frombuffer(b"".join(packed), dtype=np.int32)
+        sizes = np.array([len(p) for p in packed], dtype=np.int64) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        return pool[np.repeat(starts - places[:-1], sizes) + np.arange(places[-1])], np.diff(places[ends])
+
     def encode_piece(self, piece: str) -> bytes:
         """The packed ids of text between two blanks."""
-        words = self._word.findall(piece)
+        words = (self._usual_word if piece.isascii() or not _UNUSUAL.search(piece) else self._word).findall(piece)
         return self.encode_word(piece) if words == [piece] else b"".join([self._pieces[w] for w in words])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -261,11 +301,18 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     @arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         tables = _loaded(digest, shipped)
-        # one text at a time: Python's numbers of a whole batch would take many times the texts' room
-        parts = [tables.encode(t.as_py() or "") for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
-        values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        # some texts at a time: the pieces of a whole batch would take many times the texts' room
+        values, counts, held, room = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], 0
+        for i, t in enumerate(texts, 1):
+            held.append(t.as_py() or "")
+            room += len(held[-1])
+            if room >= TOGETHER or i == len(texts):
+                found, n = tables.encode_all(held)
+                values.append(found)
+                counts.append(n)
+                held, room = [], 0
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
     return df.withColumn(ids, ids_of(F.col(text)))
 

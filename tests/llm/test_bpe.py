@@ -52,3 +52,41 @@ def test_query_on_all_documents(spark, small):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(text))
+
+
+def test_all_texts_at_once_as_one_by_one():
+    with open(PATH, "rb") as f:
+        tables = bpe.BpeTables(f.read())
+    r = random.Random(3)
+    odd = ["", " ", "<|endoftext|>x<|startoftext|>", "a <| b", "\x1ca\x1fb c", "՘ Ᲊb", "éà it's we'll 12.5!?", "straße ǅx ²½"]
+    texts = [r.choice(odd) if r.random() < 0.3 else " ".join(r.choice(["der", "it's", "x.", "été,", "12a"]) for _ in range(r.randint(0, 9))) for _ in range(300)]
+    values, counts = tables.encode_all(texts)
+    one_by_one = [tables.encode(t).tolist() for t in texts]
+    assert counts.tolist() == [len(x) for x in one_by_one] and values.tolist() == sum(one_by_one, [])
+    values, counts = tables.encode_all([])
+    assert len(values) == 0 and len(counts) == 0
+
+
+def test_a_piece_that_texts_share_is_looked_up_once():
+    with open(PATH, "rb") as f:
+        tables = bpe.BpeTables(f.read())
+    asked, make = [], tables._pieces.make
+
+    class Counted(bpe.Cache):
+        def __getitem__(self, key):
+            asked.append(key)
+            return self.make(key)
+
+    tables._pieces = Counted(make)
+    tables.encode_all(["one two two", "two one three"] * 50)
+    assert sorted(asked) == ["one", "three", "two"]
+
+
+def test_words_are_cut_by_the_plain_engine_as_by_the_full_one():
+    with open(PATH, "rb") as f:
+        tables = bpe.BpeTables(f.read())
+    assert tables._usual_word is not tables._word
+    r = random.Random(5)
+    for _ in range(20_000):
+        piece = "".join(chr(r.randrange(0x250)) if r.random() < 0.5 else r.choice("'stvremld1.") for _ in range(r.randint(1, 9)))
+        assert tables._usual_word.findall(piece) == tables._word.findall(piece)
