@@ -171,8 +171,9 @@ def suffix_order(s: np.ndarray, letters: int, depth: int, room: int) -> np.ndarr
         while rank.max() < len(star) and reach * 2 <= depth + 2:
             nxt = np.zeros(len(star), dtype=np.int64)
             nxt[:-reach] = rank[reach:] if reach < len(star) else nxt[:-reach]
-            key = np.lexsort((nxt, rank))
-            fresh = np.concatenate([[True], (rank[key[1:]] != rank[key[:-1]]) | (nxt[key[1:]] != nxt[key[:-1]])])
+            pair = rank * np.int64(len(star) + 1) + nxt  # one number, as a rank is at most the number of stretches
+            key = np.argsort(pair)
+            fresh = np.concatenate([[True], pair[key[1:]] != pair[key[:-1]]])
             new = np.zeros(len(star), dtype=np.int64)
             new[key] = np.cumsum(fresh)
             rank, reach = new, reach * 2

@@ -96,3 +96,15 @@ def test_query_against_brute_force(spark, small):
     for r in got:
         n, removed, spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_runs_of_stretches_are_ranked_as_one_number(monkeypatch):
+    monkeypatch.setattr(np, "lexsort", None)  # sorting by two columns took most of a shard's time
+    r = random.Random(11)
+    for letters in ("ab", "abcd"):
+        block = "".join(r.choice(letters) for _ in range(30))
+        text = "".join(r.choice([block, block[::-1], r.choice(letters)]) for _ in range(200))
+        s = np.array([ord(c) - 96 for c in text] + [0], dtype=np.int16)
+        order = sd.suffix_order(s, 6, 50, 1 << 20)
+        cut = [tuple(s[i : i + 50].tolist()) for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(len(s))) and cut == sorted(cut)
