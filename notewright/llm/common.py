@@ -23,13 +23,18 @@ def worker_cache(owner: str) -> dict:
     Workers go on from one operator's tasks to the next one's. What an operator kept stays for the task that follows its
     last one and is then let go, so that a worker doesn't hold the tables of all operators that it ever worked for.
     """
+    import gc
+
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_notewright_worker_cache", {"task": None, "now": {}, "before": {}})
     context = pyspark.TaskContext.get()
     task = context.taskAttemptId() if context else None
     if kept["task"] != task:
+        gone = any(kept["before"].values())
         kept.update(task=task, now={}, before=kept["now"])
+        if gone:
+            gc.collect()  # tables and their caches refer to each other
     if owner not in kept["now"]:
         kept["now"][owner] = kept["before"].pop(owner, {})
     return kept["now"][owner]

@@ -7,12 +7,11 @@ from notewright.llm.op02_bpe import VOCABULARY
 
 
 def test_a_worker_lets_go_of_what_operators_before_kept(spark):
-    import pyspark
-
     @F.arrow_udf("int")
     def held(x: pa.Array) -> pa.Array:
-        kept = pyspark.__dict__.get("_notewright_worker_cache", {})
-        return pa.array([sum(map(len, [*kept.get("now", {}).values(), *kept.get("before", {}).values()]))] * len(x), pa.int32())
+        import gc
+
+        return pa.array([sum(type(o).__name__ == "BpeTables" for o in gc.get_objects())] * len(x), pa.int32())
 
     docs = spark.createDataFrame([(i, "some words") for i in range(64)], "doc_id long, text string").repartition(32)
     model = langid.train([], langid.Settings())
