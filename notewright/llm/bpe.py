@@ -302,17 +302,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def ids_of(texts: pa.Array) -> pa.Array:
         tables = _loaded(digest, shipped)
         # some texts at a time: the pieces of a whole batch would take many times the texts' room
-        values, counts, held, room = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], 0
+        values, counts, held, room = bytearray(), [np.empty(0, np.int64)], [], 0
         for i, t in enumerate(texts, 1):
             held.append(t.as_py() or "")
             room += len(held[-1])
             if room >= TOGETHER or i == len(texts):
                 found, n = tables.encode_all(held)
-                values.append(found)
+                values += found.data
                 counts.append(n)
                 held, room = [], 0
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, dtype=np.int32)))
 
     return df.withColumn(ids, ids_of(F.col(text)))
 
@@ -329,6 +329,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         tables = _loaded(digest, shipped)
         flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         numbers = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-        return pa.array([tables.decode(numbers[a:b]).decode("utf-8") for a, b in zip(ends, ends[1:])], pa.string())
+        # the texts' bytes one after the other, as the result holds them
+        values, offsets = bytearray(), [0]
+        for a, b in zip(ends, ends[1:]):
+            values += tables.decode(numbers[a:b])
+            offsets.append(len(values))
+        return pa.StringArray.from_buffers(len(lists), pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(values))
 
     return df.withColumn(text, text_of(F.col(ids)))

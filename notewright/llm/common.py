@@ -20,21 +20,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def worker_cache(owner: str) -> dict:
     """An operator's dictionary in the Python worker; functions travel by value, so globals of this package don't.
 
-    Workers go on from one operator's tasks to the next one's. What an operator kept stays for the task that follows its
-    last one and is then let go, so that a worker doesn't hold the tables of all operators that it ever worked for.
+    Workers go on from one operator's tasks to the next one's. What an operator kept stays while tasks that use it follow each
+    other; when the first task of another operator begins it is let go, and its room is given back to the system before that
+    task goes on, so that a worker never holds the tables of two operators that don't share a task.
     """
+    import ctypes
     import gc
 
+    import pyarrow as pa
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_notewright_worker_cache", {"task": None, "now": {}, "before": {}})
     context = pyspark.TaskContext.get()
     task = context.taskAttemptId() if context else None
     if kept["task"] != task:
-        gone = any(kept["before"].values())
-        kept.update(task=task, now={}, before=kept["now"])
+        gone = any(kept["before"].values()) or owner not in kept["now"]
+        kept.update(task=task, now={}, before=kept["now"] if owner in kept["now"] else {})
         if gone:
             gc.collect()  # tables and their caches refer to each other
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # freed room stays with the process otherwise
+            except (AttributeError, OSError):
+                pass  # not glibc
+        pa.default_memory_pool().release_unused()  # of the batches before
     if owner not in kept["now"]:
         kept["now"][owner] = kept["before"].pop(owner, {})
     return kept["now"][owner]
