@@ -3,8 +3,8 @@
 Every string of ``length`` bytes holds an anchor: of its short grams the one with the least hash. Strings that are equal
 have the same anchor at the same place, so a document's strings with one anchor occurrence (a stretch of at most
 ``2 length - gram`` bytes) can be judged together with those of equal anchors, in one shard, wherever they stem from.
-Of equal texts only the one with the least id is searched. Anchors that one document alone holds are left out before any
-text moves. Stretches are kept as places with a hash; of equal ones only the least document's bytes go to a shard.
+Of equal texts only the one with the least id is searched. Anchors that one text alone holds, in however many copies, are left
+out before any text moves. Stretches are kept as places with a hash; of equal ones only the least document's bytes go to a shard.
 
 Within a shard all suffixes of its stretches are sorted by induction: the order of the leftmost S suffixes induces that
 of all others, bucket by bucket, through queues of suffix tuples that go to disk when they outgrow their room.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,33 +151,43 @@ def suffix_order(s: np.ndarray, letters: int, depth: int, room: int) -> np.ndarr
     is_star[star] = True
     ranked = order[is_star[order]]  # sorted by their stretch up to the next leftmost S suffix
     if len(ranked) > 1:
-        number = np.zeros(n, dtype=np.int64)
+        number = np.zeros(n, dtype=np.int32)
         number[star] = np.arange(len(star))
+        of = number[ranked]
+        del number, order, ranked, is_star
         ends = np.append(star[1:] + 1, n)  # a stretch holds its successor's first letter
         with np.errstate(over="ignore"):
             power = np.full(n + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
             power[0] = 1
-            power = np.multiply.accumulate(power)
-            inverse_free = np.concatenate([[np.uint64(0)], np.cumsum((s.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93) % np.uint64(2**61 - 1) * power[:n])])
-            total = inverse_free[ends] - inverse_free[star]
+            np.multiply.accumulate(power, out=power)
+            letter = (np.arange(letters, dtype=np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93) % np.uint64(2**61 - 1)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.take(letter, s, out=sums[1:])
+            sums[1:] *= power[:n]
+            np.cumsum(sums, out=sums)
             # brought to a common place: equal stretches give equal values wherever they stand
-            value = total * power[n - star]
+            value = (sums[ends] - sums[star]) * power[n - star]
+        del power, sums
         size = ends - star
-        of = number[ranked]
         fresh = np.concatenate([[True], (value[of[1:]] != value[of[:-1]]) | (size[of[1:]] != size[of[:-1]])])
+        del value, size, ends
+        # a stretch's rank is the place of the first one that equals it
         rank = np.zeros(len(star), dtype=np.int64)
-        rank[of] = np.cumsum(fresh)
-        reach = 1
+        rank[of] = np.maximum.accumulate(np.where(fresh, np.arange(len(star)), 0))
+        tied, reach = of[~(fresh & np.append(fresh[1:], True))], 1
         # names of ever longer runs of stretches, each at least two letters long, until they tell all suffixes apart to the depth
-        while rank.max() < len(star) and reach * 2 <= depth + 2:
-            nxt = np.zeros(len(star), dtype=np.int64)
-            nxt[:-reach] = rank[reach:] if reach < len(star) else nxt[:-reach]
-            pair = rank * np.int64(len(star) + 1) + nxt  # one number, as a rank is at most the number of stretches
+        while len(tied) and reach * 2 <= depth + 2:
+            nxt = tied + reach
+            inside = nxt < len(star)
+            pair = rank[tied] * np.int64(len(star) + 1)  # one number, as a rank is less than the number of stretches
+            pair[inside] += rank[nxt[inside]] + 1
             key = np.argsort(pair)
-            fresh = np.concatenate([[True], pair[key[1:]] != pair[key[:-1]]])
-            new = np.zeros(len(star), dtype=np.int64)
-            new[key] = np.cumsum(fresh)
-            rank, reach = new, reach * 2
+            tied, pair = tied[key], pair[key]
+            before, places = rank[tied], np.arange(len(tied))
+            fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
+            group = np.concatenate([[True], before[1:] != before[:-1]])
+            rank[tied] = before + np.maximum.accumulate(np.where(fresh, places, 0)) - np.maximum.accumulate(np.where(group, places, 0))
+            tied, reach = tied[~(fresh & np.append(fresh[1:], True))], reach * 2
         seeds = star[np.argsort(rank, kind="stable")]
         order = _induced(s, small, seeds, letters, room)
     return order
@@ -192,33 +203,36 @@ def equal_windows(stretches: list[bytes], length: int, room: int) -> tuple[np.nd
     n = int(sizes.sum() + len(sizes))
     s = plain[:n].astype(np.int16) + 1
     s[starts + sizes] = 0
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    place = np.arange(n) - starts[owner]
     order = suffix_order(s, 257, length, room)
-    order = order[place[order] + length <= sizes[owner[order]]]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    whole = np.arange(n) + length <= (starts + sizes)[owner]
+    order = order[whole[order]]
     words = np.ndarray(shape=(len(plain) - 7,), dtype="<u8", buffer=plain.data, strides=(1,))
-    fresh = np.zeros(len(order), dtype=bool)
-    fresh[:1] = True
+    same = np.arange(1, len(order))  # neighbours that are equal so far
     for at in [*range(0, length - 7, 8), length - 8]:
-        value = words[order + at]
-        fresh[1:] |= value[1:] != value[:-1]
-    return owner[order], place[order], np.cumsum(fresh) - 1
+        same = same[words[order[same] + at] == words[order[same - 1] + at]]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[same] = False
+    owner = owner[order]
+    return owner, order - starts[owner], np.cumsum(fresh) - 1
 
 
 # ---- anchors and stretches --------------------------------------------------------------------------------------
 
 
 BASE = 0x9E3779B97F4A7C15
+HALVES = 2  # shares of the anchors, worked on one after the other
+TOGETHER = 1 << 15  # bytes of texts whose anchors are looked for at once
 
 
-def anchors(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: (first string's place, number of strings, anchor's hash).
+def anchors_of(data: bytes, sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings with one anchor, of texts that stand one after the other: (text, first string's place, number of strings, anchor's hash).
 
     A run is usually the strings around one place; where a gram repeats at short distance it is longer.
     """
     n = len(data) - s.length + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     h, span = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1), 1
     # hashes of ever longer grams, put together of two shorter ones
     while span < s.gram:
@@ -232,8 +246,39 @@ def anchors(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarra
         step = min(span, target - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return cuts, np.diff(np.append(cuts, n)), least[cuts].view(np.int64)
+    ends = np.cumsum(sizes)
+    starts, lasts = ends - sizes, ends - s.length + 1  # of a text's strings; the last one is before the latter
+    texts = np.flatnonzero(lasts > starts)
+    fresh = np.empty(n, dtype=bool)
+    fresh[0] = True
+    np.not_equal(least[1:], least[:-1], out=fresh[1:])
+    fresh[starts[texts]] = True
+    cuts = np.flatnonzero(fresh)
+    text = texts[np.maximum(np.searchsorted(starts[texts], cuts, "right") - 1, 0)] if len(texts) else np.zeros(len(cuts), np.int64)
+    # strings across the end of a text are none
+    inside = (cuts >= starts[text]) & (cuts < lasts[text])
+    count = np.minimum(np.append(cuts[1:], n), lasts[text]) - cuts
+    cuts, text = cuts[inside], text[inside]
+    return text, cuts - starts[text], count[inside], least[cuts].view(np.int64)
+
+
+def anchors(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one text's strings with one anchor: (first string's place, number of strings, anchor's hash)."""
+    return anchors_of(data, np.array([len(data)]), s)[1:]
+
+
+def _together(batches, columns: list[str]):
+    """Texts of batches, joined some at a time: (bytes, sizes, the columns' values)."""
+    for b in batches:
+        texts, others = b["data"], [b[c].to_numpy() for c in columns]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            room = TOGETHER + (int(ends[at - 1]) if at else 0)
+            end = max(at + 1, int(np.searchsorted(ends, room, "right")))
+            part = texts.slice(at, end - at).to_pylist()
+            yield b"".join(part), np.array([len(x) for x in part], dtype=np.int64), [x[at:end] for x in others]
+            at = end
 
 
 def _batches(pieces, schema: pa.Schema, most: int = 500_000):
@@ -261,25 +306,21 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
     reps = steps.written(names.groupBy("hash", "hash2").agg(F.min("doc").alias("doc")), "first-copies")
     copies = names.where(F.col("size") >= s.length).join(reps, ["doc", "hash", "hash2"], "left_anti").select("doc", "hash", F.lit(0).alias("start"), F.col("size").alias("end"))
 
-    def placed(batches):
-        schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("key", pa.int64())])
+    def placed(batches, half):
+        """Texts' anchors of one half."""
+        schema = pa.schema([("hash", pa.int64()), ("key", pa.int64())])
 
         def pieces():
-            for b in batches:
-                for doc, data in zip(b["doc"].to_pylist(), b["data"]):
-                    first, _, key = anchors(data.as_py(), s)
-                    if len(key):
-                        yield [pa.array(np.full(len(key), doc, np.int64)), pa.array(first.astype(np.int32)), pa.array(key)]
+            for data, sizes, (marks,) in _together(batches, ["hash"]):
+                text, _, _, key = anchors_of(data, sizes, s)
+                own = key % HALVES == half
+                text, key = text[own], key[own]
+                yield [pa.array(marks[text]), pa.array(key)]
 
         yield from _batches(pieces(), schema)
 
-    runs = docs.mapInArrow(placed, "doc long, first int, key long")
-    shared = runs.groupBy("key").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low <> _high").select("key")
-    # a document's anchors that others hold too; folded per document
-    flagged = runs.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set("first").alias("firsts"))
-    flagged = steps.written(flagged.join(reps.select("doc", "hash").distinct(), "doc"), "shared-anchors")
-
-    def cut(batches):
+    def cut(batches, half):
+        """Texts' stretches at anchors of one half, with their hashes."""
         schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("name", pa.int64())])
         cache = worker_cache("suffix_dedup")
         if "byte-hashes" not in cache:
@@ -287,21 +328,25 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         hashes = cache["byte-hashes"]
 
         def pieces():
-            for b in batches:
-                for doc, text_hash, data, firsts in zip(b["doc"].to_pylist(), b["hash"].to_pylist(), b["data"], b["firsts"]):
-                    data = data.as_py()
-                    first, count, key = anchors(data, s)
-                    keep = np.isin(first, firsts.values.to_numpy())
-                    first, size = first[keep], count[keep] + s.length - 1
-                    yield [pa.array(np.full(len(first), doc, np.int64)), pa.array(np.full(len(first), text_hash, np.int64)), pa.array(first.astype(np.int32)),
-                           pa.array(size.astype(np.int32)), pa.array(key[keep]), pa.array(hashes.of_spans(data, first, first + size).view(np.int64))]
+            for data, sizes, (ids, marks) in _together(batches, ["doc", "hash"]):
+                text, first, count, key = anchors_of(data, sizes, s)
+                own = key % HALVES == half
+                text, first, count, key = text[own], first[own], count[own], key[own]
+                size, at = count + s.length - 1, first + (np.cumsum(sizes) - sizes)[text]
+                yield [pa.array(ids[text]), pa.array(marks[text]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key),
+                       pa.array(hashes.of_spans(data, at, at + size).view(np.int64))]
 
         yield from _batches(pieces(), schema)
 
-    # places alone; a stretch goes by its anchor's hash and its own, 128 bits in all
-    stretches = docs.join(flagged, ["doc", "hash"]).mapInArrow(cut, "doc long, hash long, first int, size int, key long, name long")
-    stretches = steps.written(stretches, "stretches")
-    steps.drop("shared-anchors")
+    # places alone; a stretch goes by its anchor's hash and its own, 128 bits in all. Anchors that texts of one content alone hold
+    # are left out. Half of the anchors at a time, so that only their rows are on disk
+    halves = []
+    for half in range(HALVES):
+        held = docs.select("hash", "data").mapInArrow(partial(placed, half=half), "hash long, key long")
+        shared = held.groupBy("key").agg(F.min("hash").alias("_low"), F.max("hash").alias("_high")).where("_low <> _high").select("key")
+        found = docs.mapInArrow(partial(cut, half=half), "doc long, hash long, first int, size int, key long, name long")
+        halves.append(steps.written(found.join(shared.hint("shuffle_hash"), "key", "left_semi").select("doc", "hash", "first", "size", "key", "name"), f"stretches-{half}"))
+    stretches = reduce(DataFrame.unionByName, halves)
     distinct = stretches.groupBy("key", "name").agg(F.min(F.struct("doc", "hash", "first", "size")).alias("at"))
     wanted = distinct.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.collect_list(F.struct("at.first", "at.size", "key", "name")).alias("wanted"))
     wanted = steps.written(wanted, "distinct-stretches")
@@ -374,7 +419,7 @@ def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s: Setti
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
     found = steps.written(spans.select(F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), merged("spans").alias("spans")), "repeated-spans")
-    steps.drop("first-copies", "stretches", "judged")
+    steps.drop("first-copies", *(f"stretches-{half}" for half in range(HALVES)), "judged")
     return found
 
 

@@ -108,3 +108,28 @@ def test_runs_of_stretches_are_ranked_as_one_number(monkeypatch):
         order = sd.suffix_order(s, 6, 50, 1 << 20)
         cut = [tuple(s[i : i + 50].tolist()) for i in order.tolist()]
         assert sorted(order.tolist()) == list(range(len(s))) and cut == sorted(cut)
+
+
+def test_a_shard_takes_a_bounded_number_of_bytes_for_each_byte():
+    import tracemalloc
+
+    r = random.Random(12)
+    vocab = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(500)]
+    parts = [" ".join(r.choice(vocab) for _ in range(14)).encode()[:70] for _ in range(8000)]
+    tracemalloc.start()
+    try:
+        sd.equal_windows(parts, 50, 1 << 20)
+        assert tracemalloc.get_traced_memory()[1] < 65 * sum(map(len, parts))
+    finally:
+        tracemalloc.stop()
+
+
+def test_anchors_of_texts_together_are_those_of_each():
+    r = random.Random(13)
+    for s in (sd.Settings(length=12, gram=4), sd.Settings()):
+        for _ in range(100):
+            texts = [bytes(r.choice(b"abc") for _ in range(r.choice([0, 3, 11, 12, 13, 49, 50, 51, 200]))) for _ in range(r.randint(1, 9))]
+            text, first, count, key = sd.anchors_of(b"".join(texts), np.array([len(t) for t in texts]), s)
+            want = [(i, *row) for i, t in enumerate(texts) for row in zip(*(x.tolist() for x in sd.anchors(t, s)))]
+            assert list(zip(text.tolist(), first.tolist(), count.tolist(), key.tolist())) == want
+            assert sum(count) == sum(max(0, len(t) - s.length + 1) for t in texts)
