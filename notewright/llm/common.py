@@ -17,6 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def trim() -> None:
+    """Gives freed room back to the system, as it stays with a process otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def worker_cache(owner: str) -> dict:
     """An operator's dictionary in the Python worker; functions travel by value, so globals of this package don't.
 
@@ -24,7 +37,6 @@ def worker_cache(owner: str) -> dict:
     other; when the first task of another operator begins it is let go, and its room is given back to the system before that
     task goes on, so that a worker never holds the tables of two operators that don't share a task.
     """
-    import ctypes
     import gc
 
     import pyarrow as pa
@@ -38,10 +50,7 @@ def worker_cache(owner: str) -> dict:
         kept.update(task=task, now={}, before=kept["now"] if owner in kept["now"] else {})
         if gone:
             gc.collect()  # tables and their caches refer to each other
-            try:
-                ctypes.CDLL(None).malloc_trim(0)  # freed room stays with the process otherwise
-            except (AttributeError, OSError):
-                pass  # not glibc
+            trim()
         pa.default_memory_pool().release_unused()  # of the batches before
     if owner not in kept["now"]:
         kept["now"][owner] = kept["before"].pop(owner, {})

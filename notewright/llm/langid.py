@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.common import free_name, worker_cache
+from notewright.llm.common import free_name, trim, worker_cache
 
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -120,9 +121,29 @@ def limit_of(scores: np.ndarray, share: float) -> float:
     return float(min(x[0], 1 / (1 + np.exp(-(at + slope * np.log(share))))))
 
 
+def _first(row: tuple[str, np.ndarray, np.ndarray]) -> tuple[str, int]:
+    return row[0], len(row[1])
+
+
+def _rest(row: tuple[str, np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
+    return row[1].astype(np.int64).tobytes(), row[2].astype(np.float64).tobytes()
+
+
+def sampled(got: pa.Table) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, buckets, shares) rows of a table; the arrays are parts of the table's own."""
+    rows = []
+    for batch in got.to_batches():
+        at, share = batch["at"], batch["share"]
+        places = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+        buckets, shares = at.flatten().to_numpy(), share.flatten().to_numpy()
+        rows += [(x, buckets[a:b], shares[a:b]) for x, a, b in zip(batch["label"].to_pylist(), places.tolist(), places[1:].tolist())]
+    return rows
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings()) -> Model:
     """A model from (language, buckets, shares) rows; the order of rows doesn't matter."""
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    # the bytes of rows are compared only where labels and lengths are equal, not held for all at once
+    rows = [r for _, same in groupby(sorted(rows, key=_first), _first) for r in sorted(same, key=_rest)]
     languages = sorted({r[0] for r in rows})
     rng = np.random.default_rng(0)
     number = {x: i for i, x in enumerate(languages)}
@@ -137,6 +158,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings
     for _ in range(s.epochs):
         for i in rng.permutation(len(learned)):
             lang, at, share = learned[i]
+            share = share.astype(np.float64)
             rate = s.rate * (1 - step / steps)
             step += 1
             h = share @ E[at]
@@ -149,7 +171,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings = Settings
     model = Model(languages, E, W, 1.0, 0.0, s.bits)
     if k < 2:
         return model
-    logits = np.array([share @ E[at] @ W for _, at, share in checks])
+    logits = np.array([share.astype(np.float64) @ E[at] @ W for _, at, share in checks])
     right = np.array([number[r[0]] for r in checks])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(right)), right] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
@@ -182,8 +204,9 @@ def fit(df: DataFrame, text: Column, label: Column, key: Column, s: Settings = S
                 "label": pa.array([x[0] for x in kept], pa.string()), "at": pa.array([x[1] for x in kept], pa.list_(pa.int32())),
                 "share": pa.array([x[2] for x in kept], pa.list_(pa.float32()))})
 
-    got = sample.mapInArrow(bags, "label string, at array<int>, share array<float>").toArrow()
-    return train([(x, np.array(a, dtype=np.int64), np.array(v)) for x, a, v in zip(got["label"].to_pylist(), got["at"].to_pylist(), got["share"].to_pylist())], s)
+    model = train(sampled(sample.mapInArrow(bags, "label string, at array<int>, share array<float>").toArrow()), s)
+    trim()
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

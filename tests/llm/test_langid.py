@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notewright.llm import langid
@@ -54,3 +55,18 @@ def test_rejection_by_the_calibrated_limit_and_any_number_of_languages():
     s = langid.Settings(epochs=2)
     model = langid.train([(f"l{i:03}", *langid.bag(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3, s.bits)) for i in range(520) for _ in range(2)], s)
     assert len(model.languages) == 520
+
+
+def test_fitting_holds_no_lists_and_sorts_as_before():
+    r = np.random.default_rng(2)
+    rows = [(lang, *langid.bag("".join(r.choice(list("abcdef "), 60)), 15)) for lang in ("x", "y") for _ in range(40)]
+    rows += rows[:5]
+    table = pa.table({"label": pa.array([x[0] for x in rows]), "at": pa.array([x[1] for x in rows], pa.list_(pa.int32())), "share": pa.array([x[2] for x in rows], pa.list_(pa.float32()))})
+    table = pa.concat_tables([table.slice(0, 30), table.slice(30)])
+    got = langid.sampled(table)
+    assert [(x, a.tolist(), v.tolist()) for x, a, v in got] == [(x, a.tolist(), v.tolist()) for x, a, v in rows]
+    assert all(a.base is not None and v.base is not None and v.dtype == np.float32 for _, a, v in got)  # parts of the table's arrays
+    wide = [(x, a.astype(np.int64), v.astype(np.float64)) for x, a, v in rows]
+    s = langid.Settings(epochs=2)
+    assert np.array_equal(langid.train(got, s).embeddings, langid.train(wide[::-1], s).embeddings)
+    assert langid.sampled(table.slice(0, 0)) == []
