@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -90,3 +91,52 @@ def test_words_are_cut_by_the_plain_engine_as_by_the_full_one():
     for _ in range(20_000):
         piece = "".join(chr(r.randrange(0x250)) if r.random() < 0.5 else r.choice("'stvremld1.") for _ in range(r.randint(1, 9)))
         assert tables._usual_word.findall(piece) == tables._word.findall(piece)
+
+
+def test_new_pieces_are_laid_together_as_the_library_lays_them(monkeypatch):
+    with open(PATH, "rb") as f:
+        tables = bpe.BpeTables(f.read())
+    library = Tokenizer.from_file(PATH)
+    r = random.Random(11)
+    names = [k.replace("</w>", "") for k in library.get_vocab()]
+    odd = ["", "don't", "x\x1cy", "“quoted”", "éà", "1½", "—", "日本", "a" * 60]
+    kinds = (lambda: "".join(r.choice("etaoinshrdluxzq") for _ in range(r.randint(1, 30))), lambda: "".join(r.choice(names) for _ in range(r.randint(1, 4))),
+             lambda: "".join(chr(r.choice([r.randrange(33, 127), r.randrange(0xA1, 0x250)])) for _ in range(r.randint(1, 8))), lambda: r.choice(odd))
+    texts = [" ".join(r.choice(kinds)() for _ in range(r.randint(0, 20))) for _ in range(2000)]
+    alone = []
+    word = tables.encode_word
+    monkeypatch.setattr(tables, "encode_word", lambda w: alone.append(w) or word(w))
+    values, counts = tables.encode_all(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and values.tolist() == sum(want, [])
+    assert len(alone) < 1500  # before, each of some 15,000 words
+    usual = " ".join(t for t in texts if all(c < "ɐ" for c in t)).split()
+    assert tables.encode_pieces(usual) == [*map(tables.encode_piece, usual)]
+
+
+def test_the_arrays_find_what_the_automaton_finds():
+    with open(PATH, "rb") as f:
+        tables = bpe.BpeTables(f.read())
+    r = random.Random(13)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 40))).encode() for _ in range(2000)]
+    codes, ends = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint16), np.cumsum([len(w) for w in words])
+    codes[ends - 1] += 256
+    want = codes.astype(int)
+    for end, (before, token) in tables.matches.iter(codes.tobytes().decode("utf-16-le")):
+        want[end - before] = token
+    assert np.array_equal(tables._matches.longest(codes, np.append(0, ends[:-1]), ends, tables._length), want)
+    pairs = np.array([[r.randrange(len(tables.length)) for _ in range(2)] for _ in range(20_000)] + [*tables.pairs][:20_000])
+    want = [tables._border_stands(a, b, len(tables.length)) for a, b in pairs.tolist()]
+    for _ in range(2):
+        assert tables._compatible_pairs(pairs[:, 0].copy(), pairs[:, 1].copy()).tolist() == want
+    assert 0 < sum(want) < len(want)
+
+
+def test_the_cache_keeps_what_the_last_keys_use(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_CACHE", 4)
+    made = []
+    cache = bpe.Cache(lambda k: k.encode())
+    for keys in (["a", "b"], ["b", "c", "d"], ["e", "a", "x" * 99], ["d", "f"], []):
+        cache.fill(keys, lambda new: made.extend(new) or [k.encode() for k in new])
+        assert all(cache[k] == k.encode() for k in keys)
+    assert made == ["a", "b", "c", "d", "e", "f"] and "x" * 99 not in cache
