@@ -133,3 +133,49 @@ def test_anchors_of_texts_together_are_those_of_each():
             want = [(i, *row) for i, t in enumerate(texts) for row in zip(*(x.tolist() for x in sd.anchors(t, s)))]
             assert list(zip(text.tolist(), first.tolist(), count.tolist(), key.tolist())) == want
             assert sum(count) == sum(max(0, len(t) - s.length + 1) for t in texts)
+
+
+def test_a_short_phrase_in_common_gives_no_common_key():
+    r, s = random.Random(14), sd.Settings()
+    phrase = b"of twenty-four bytes all"
+    texts = [bytes(r.choice(b"abcdefgh ") for _ in range(80)) + phrase + bytes(r.choice(b"abcdefgh ") for _ in range(80)) for _ in range(60)]
+    keys = [set(sd.anchors(t, s)[2].tolist()) for t in texts]
+    assert sum(map(len, keys)) == len(set.union(*keys))  # with keys of 16 bytes, stretches around the phrase were sorted
+
+
+def test_strings_with_grams_that_come_again_have_their_own_key():
+    r, s = random.Random(15), sd.Settings()
+    seen, n = {}, 0
+    for _ in range(200):
+        block = bytes(r.choice(b"ab") for _ in range(r.randint(1, 40)))
+        text = b"".join(r.choice([block, block[: r.randint(0, len(block))], bytes([r.choice(b"ab")])]) for _ in range(20))
+        halves = [row for half in range(sd.HALVES) for row in zip(*(x.tolist() for x in sd.anchors_of(text, np.array([len(text)]), s, half)))]
+        assert sorted(halves) == sorted(zip(*(x.tolist() for x in sd.anchors_of(text, np.array([len(text)]), s))))
+        for _, f, count, k in halves:
+            for i in range(f, f + count):
+                assert seen.setdefault(text[i : i + 50], k) == k
+                n += 1
+    assert n > 10_000
+
+
+def test_values_of_many_rows_travel_in_one():
+    r = np.random.default_rng(16)
+    values = [r.integers(-(1 << 62), 1 << 62, 1000), r.integers(0, 99, 1000), r.integers(0, 9, 1000), r.integers(9, 99, 1000)]
+    part = values[1] % 7
+    batch = sd.dealt(sd.SPAN, values, part, 12)
+    assert batch["part"].to_pylist() == list(range(7))
+    for i in range(7):
+        for got, x in zip(sd.gathered(batch.slice(i, 1), sd.SPAN), values):
+            assert got.tolist() == x[part == i].tolist()
+
+
+def test_many_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PART_BYTES", 2000)
+    r, s = random.Random(17), sd.Settings(length=20, gram=4, shard_bytes=500)
+    passage = ["".join(r.choice("abcdef ") for _ in range(90)) for _ in range(4)]
+    rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.randint(0, 120))) + r.choice(passage)[r.randint(0, 60) :] + "ab" * r.randint(0, 30)) for i in range(150)]
+    rows += [(1000 - i, rows[i][1]) for i in range(10)]
+    want = brute(rows, 20)
+    for x in sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), s=s).collect():
+        n, removed, spans, kept = want[x.doc_id]
+        assert (len(x.repeated_spans), sum(y.end - y.start for y in x.repeated_spans), bytes(x.kept)) == (spans, removed, kept), x.doc_id
